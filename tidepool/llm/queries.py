@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, sharding, token_counts
+from . import bpe, decontaminate, near_join, pii, quality, sharding, token_counts, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
     "op2_token_counts": token_counts.query,
     "op3_sharding": sharding.query,
+    "op4_decontamination": decontaminate.query,
+    "op5_top_k": top_k.query,
+    "op6_ngram_jaccard_join": near_join.query,
+    "op8_quality": quality.query,
     "op9_pii": pii.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": top_k.SQL}

@@ -65,11 +65,11 @@ class SlotMap:
         targets = range(self.shards, n) if n > self.shards else range(n)  # growth moves slots into new shards only
         for _ in range(len(to)):
             high, low = max(range(n), key=loads.__getitem__), min(targets, key=loads.__getitem__)
-            room = loads[high] - loads[low]
+            room, excess = loads[high] - loads[low], loads[high] - mean
             fit = [x for x in held[high] if x[0] < room]
-            if loads[high] <= mean * (1 + tolerance) or not fit:
+            if excess <= mean * tolerance or not fit:
                 break
-            size, slot = best = min(fit, key=lambda x: (abs(x[0] - room / 2), x[1]))
+            size, slot = best = max((x for x in fit if x[0] <= excess), default=min(fit))
             held[high].remove(best)
             held[low].append(best)
             loads[high] -= size
