@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_join, pii, quality, sharding, token_counts, top_k
+from . import bpe, decontaminate, language_id, lm_scores, near_join, pii, quality, sharding, token_counts, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
@@ -15,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": decontaminate.query,
     "op5_top_k": top_k.query,
     "op6_ngram_jaccard_join": near_join.query,
+    "op7_language_id": language_id.query,
     "op8_quality": quality.query,
     "op9_pii": pii.query,
+    "op10_lm_scores": lm_scores.query,
 }
 ORACLE_SQL: dict[str, str] = {"op5_top_k": top_k.SQL}
