@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import batch_of, spread, table, text_blocks
 
 #: Pre-tokens that a worker remembers, and pre-tokens of a text that are held at once.
-CACHE, BLOCK = 400_000, 200_000
+CACHE, BLOCK = 400_000, 300_000
 #: The unknown piece's name; it holds a character that no mapped byte has.
 UNKNOWN = "⁇unknown"
 SCHEMA = "doc_id bigint, ids array<int>, decoded binary"
@@ -118,18 +118,27 @@ class Codec:
             while block := [m[0] for m in islice(found, BLOCK)]:
                 yield block
 
-    def encode(self, text: str) -> np.ndarray:
-        out = []
-        for block in self.blocks(text):
-            known = self.known
-            try:
-                out.append(b"".join([known[p] for p in block]))
-            except KeyError:
-                if len(known) > CACHE:
-                    known.clear()
-                self._learn(set(block) - known.keys())
-                out.append(b"".join([known[p] for p in block]))
-        return np.frombuffer(b"".join(out), "<i4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. New pre-tokens of short texts are learnt together, since each call of the library has a cost of its own."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for block in self.blocks(text):
+                held.append((i, block))
+                size += len(block)
+                if size > BLOCK:
+                    self._flush(held, out)
+                    held, size = [], 0
+        self._flush(held, out)
+        return [np.frombuffer(b"".join(x), "<i4") for x in out]
+
+    def _flush(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        self._learn({p for _, block in held for p in block if p not in known})
+        for i, block in held:
+            out[i].append(b"".join([known[p] for p in block]))
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
@@ -139,6 +148,18 @@ class Codec:
         return self.blob[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
 
 
+_CODECS: dict[tuple[int, str], Codec] = {}
+
+
+def codec_of(tokens: list[bytes], model: bytes, pattern: str) -> Codec:
+    """The worker's codec, which later tasks in the same worker use again."""
+    key = hash(model), pattern
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(tokens, pattern, model)
+    return _CODECS[key]
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (the text's tokens) and decoded (the bytes that the ids stand for), a row for each row of `docs`."""
     tokens = read_ranks(ranks_path)
@@ -147,9 +168,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(given.value[0], pattern, given.value[1])
+        codec = codec_of(*given.value, pattern)
         for part, texts in text_blocks(batches):
-            ids = [codec.encode(t) for t in texts]
+            ids = codec.encode(texts)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             yield batch_of(schema, part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), [codec.decode(x) for x in ids])
