@@ -73,10 +73,10 @@ class Counting:
     def count(self, text: str) -> int:
         freq, n = self.frequencies(text)
         pieces = self.pieces
-        if new := freq.keys() - pieces.keys():
+        if new := [p for p in freq if p not in pieces]:
             if len(pieces) > CACHE:
                 pieces.clear()
-                new = freq.keys()
+                new = list(freq)
             for p in new:
                 pieces[p] = len(self.model.tokenize(p.encode().decode("latin-1").translate(self.shown)))
         return n + sum([pieces[p] * k for p, k in freq.items()])
