@@ -1,0 +1 @@
+"""tidepool: image-table cleaning, versioning and export as Spark plans."""
