@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,35 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one Arrow batch of results covers at most (one whole text at least).
-BLOCK_CHARS = 4_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidepool-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..storing import forget, shared_dir, stored
 
+__all__ = ["BLOCK_CHARS", "HashOf", "batch_of", "forget", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet to the shared folder and reads it again: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes what `stored` wrote for `df`, which nothing may read afterwards."""
-    if path := getattr(df, "_stored_at", None):
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+#: Characters of text that one Arrow batch of results covers at most (one whole text at least).
+BLOCK_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
