@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IntegrityError, NameConflictError, NotFoundError, UnsafePathError
+from ..storing import JsonFiles
 
 
 def safe_path(path: str) -> str:
@@ -119,6 +120,8 @@ class Storage:
 
 def unverified(rows: DataFrame, root: str) -> DataFrame:
     """The rows (asset_id, relative_path) whose file is missing or has other bytes; the files are read and digested by Spark."""
+    if not JsonFiles(rows.sparkSession).exists(root):
+        return rows
     files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.rstrip("/").removeprefix("file://") + "/")
     found = files.select(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), F.concat(F.lit(r"^\Q"), base, F.lit(r"\E")), F.lit("")).alias("relative_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("_digest"))

@@ -22,7 +22,7 @@ from ..errors import AuthorizationError, ConflictError, NameConflictError, NotFo
 from ..sources.storage import Prefix, Storage, unverified
 from ..storing import JsonFiles
 from . import vectors as vec
-from .rows import KEY, SYSTEM, add_fields, check_rows, conform, counters, merged, name_key
+from .rows import KEY, SYSTEM, add_fields, check_rows, conform, counters, merged, name_key, relaxed
 
 MAIN = "main"
 
@@ -214,7 +214,7 @@ class Repository:
         both.write.parquet(f"{data}-marked")
         marked = self.manager.spark.read.parquet(f"{data}-marked")
         marked.select("asset_id", "value").write.parquet(data)
-        sums = marked.agg(F.count_if("_new and _n = 1").alias("generated"), F.count_if("_new and _n > 1").alias("updated")).first()
+        sums = marked.agg(F.count_if(F.expr("_new and _n = 1")).alias("generated"), F.count_if(F.expr("_new and _n > 1")).alias("updated")).first()
         log.write(n, {"data": data})
         return {"generated": sums["generated"], "updated": sums["updated"], "skipped": assets.count() - sums["generated"] - sums["updated"]}
 
@@ -260,9 +260,9 @@ class View:
         schema = self.dataset.schema()
         spark = self.dataset.repo.manager.spark
         if self.snapshot is None:
-            df = spark.createDataFrame([], schema)
+            df = spark.createDataFrame([], relaxed(schema))
         else:
-            df = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])).parquet(self.dataset.snapshots()[self.snapshot]["data"])
+            df = spark.read.schema(T.StructType([T.StructField(f.name, relaxed(f.dataType)) for f in schema.fields])).parquet(self.dataset.snapshots()[self.snapshot]["data"])
         for v in vectors:
             df = df.join(self.dataset.repo.current_vectors(v).withColumnRenamed("value", v), KEY, "left")
         if fields is None:

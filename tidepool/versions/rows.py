@@ -79,6 +79,15 @@ def fits(c: Column, kind: T.DataType, nullable: bool) -> Column:
     return ok
 
 
+def relaxed(kind: T.DataType) -> T.DataType:
+    """The type with all parts optional, which any value can be cast to; `check_rows` looks at required parts."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(relaxed(kind.elementType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, relaxed(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 def conform(df: DataFrame, schema: T.StructType, partial: bool = False) -> DataFrame:
     """Columns of the schema in its order and types. Unknown columns are errors; missing optional ones become null unless `partial`."""
     if len(set(df.columns)) < len(df.columns):
@@ -89,7 +98,7 @@ def conform(df: DataFrame, schema: T.StructType, partial: bool = False) -> DataF
     if missing := [f.name for f in schema.fields if f.name not in df.columns and (not f.nullable or f.name == KEY) and not (partial and f.name != KEY)]:
         raise ValidationError(f"missing columns: {', '.join(missing)}")
     fields = [f for f in schema.fields if f.name in df.columns or not partial]
-    made = [(sorted_unique(F.col("tag_ids")) if f.name == "tag_ids" else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    made = [(sorted_unique(F.col("tag_ids")) if f.name == "tag_ids" else F.col(f"`{f.name}`")).cast(relaxed(f.dataType)).alias(f.name) if f.name in df.columns else F.lit(None).cast(relaxed(f.dataType)).alias(f.name) for f in fields]
     return df.select(*made)
 
 
