@@ -135,7 +135,7 @@ def fused(rows: DataFrame, langs: list[str], model: dict[str, np.ndarray], html:
     n = len(langs)
     if not n:
         return rows.drop("text").withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "text_lang": F.lit(None).cast("string")})
-    name = lambda i: F.element_at(F.array(*map(F.lit, langs)), i)
+    name = lambda i: F.when(i.isNotNull(), F.element_at(F.array(*map(F.lit, langs)), i))
     parts = F.split("host", r"\.")
     domain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))
     read = text_evidence(rows, model, n, html).withColumns({"declared": F.lower(F.substring(F.coalesce("declared", F.lit("")), 1, 2)), "suffix": F.element_at(parts, -1), "domain": domain})
