@@ -72,3 +72,12 @@ def test_pairs_and_relation(spark):
     assert {r["image_id"]: (r["exact_duplicate_group_id"], r["exact_duplicate_count"]) for r in grouped.collect()} == {"first": ("exact-h1", 2), "second": ("exact-h1", 2), "unique": ("", 1), "none": ("", 1)}
     rel = duplicates.relation(duplicates.exact_pairs(grouped), "exact_duplicate", "exact_duplicate_group_id", "duplicate_group_computer")
     assert rel.columns == list(duplicates.RELATION) and [(r["source_image_id"], r["target_image_id"]) for r in rel.collect()] == [("first", "second")]
+
+
+def test_large_groups_are_joined_apart(spark, monkeypatch):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(str(i), i, rng.choice(["a", "a", "a", "b", f"u{i}", ""])) for i in range(200)], "image_id string, _pos long, content_hash string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    one = key(duplicates.exact_groups(df))
+    monkeypatch.setattr(duplicates, "LARGE", 50)
+    assert key(duplicates.exact_groups(df)) == one
