@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tidepool.operators import duplicates, leaders
+from tidepool.operators import duplicates, grouping, leaders
+from tidepool.operators.checks import CHECKS, evaluate
 
 
 def sequential(items, value, holds, better):
@@ -79,5 +80,7 @@ def test_large_groups_are_joined_apart(spark, monkeypatch):
     df = spark.createDataFrame([(str(i), i, rng.choice(["a", "a", "a", "b", f"u{i}", ""])) for i in range(200)], "image_id string, _pos long, content_hash string")
     key = lambda d: sorted(map(tuple, d.collect()))
     one = key(duplicates.exact_groups(df))
-    monkeypatch.setattr(duplicates, "LARGE", 50)
+    checked = key(evaluate(duplicates.exact_groups(df), [CHECKS["exact_duplicate"].configured()]))
+    monkeypatch.setattr(grouping, "LARGE", 50)
     assert key(duplicates.exact_groups(df)) == one
+    assert key(evaluate(duplicates.exact_groups(df), [CHECKS["exact_duplicate"].configured()])) == checked

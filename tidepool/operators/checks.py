@@ -2,7 +2,7 @@
 
 A check that does not fire gives `keep` and an empty reason. Missing values never fire a check, except in `decode` (missing is
 failed) and `dimension` (missing is 0). Thresholds are literals of the plan, so that all checks of a run are one projection; only the
-duplicate checks need a window, over the rows that are in a group at all.
+duplicate checks need a join, with the first position of each group.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, ValidationError
 from ..functions import clean_text, flag, number, two_level_action
+from .grouping import attach
 from .metrics import METRICS
 
 ACTIONS = ("keep", "review", "drop", "restricted")
@@ -89,13 +90,9 @@ class ConfiguredCheck:
         hit, reason = c.fires(config)
         action = F.when(hit, F.lit(config["action"]))
         if c.grouped:
-            group, count = clean_text(c.grouped[0]), F.coalesce(F.col(c.grouped[1]).try_cast("long"), F.lit(1))
-            member = (group != "") & (count > 1)
-            # Rows outside groups get partitions of their own and so no common task.
-            key = F.when(member, group).otherwise(F.concat(F.lit("\0"), F.col(POSITION).cast("string")))
-            later = F.row_number().over(Window.partitionBy(key).orderBy(POSITION)) > 1
-            action = F.when(member & later & hit, F.lit(config["action"]))
-            reason = F.when(member & later & hit, reason)
+            # `with_first` gives the position of each group's first row.
+            later = F.coalesce(F.col(POSITION) > F.col(self.first_column), F.lit(False))
+            action, reason = F.when(later & hit, F.lit(config["action"])), F.when(later & hit, reason)
         else:
             reason = F.when(hit, reason)
         out = {c.action_column: F.coalesce(action, F.lit("keep")), c.reason_column: F.coalesce(reason, F.lit(""))}
@@ -106,6 +103,17 @@ class ConfiguredCheck:
             out = {c.action_column: ruled, c.reason_column: F.when(ruled != "keep", F.concat(F.lit(f"{c.name} in the range of "), ruled)).otherwise(F.lit(""))}
         return out
 
+    @property
+    def first_column(self) -> str:
+        return f"_first_{self.name}"
+
+    def with_first(self, parameters: DataFrame) -> DataFrame:
+        """Adds the position of the first row of each row's group, null outside groups; an aggregation and a join, no window."""
+        group, count = clean_text(self.check.grouped[0]), F.coalesce(F.col(self.check.grouped[1]).try_cast("long"), F.lit(1))
+        key = F.when(count > 1, group).otherwise("")
+        sums = parameters.where(key != "").groupBy(key.alias("group_key")).agg(F.count("*").alias("group_rows"), F.min(POSITION).alias(self.first_column))
+        return attach(parameters, key, sums, POSITION).drop("group_key", "group_rows")
+
     def rule_ranges(self) -> dict[str, str]:
         """Intervals for drop and review from `rules` or from the blocks of these names."""
         found = {}
@@ -119,10 +127,7 @@ class ConfiguredCheck:
 
     def evaluate(self, parameters: DataFrame) -> DataFrame:
         """image_id and the evaluation columns."""
-        missing = [c for c in self.check.required if c not in parameters.columns]
-        if missing:
-            raise ValidationError(f"{self.name} needs {', '.join(missing)}")
-        return parameters.select("image_id", *[c.alias(n) for n, c in self.columns().items()])
+        return evaluate(parameters, [self]).select("image_id", *self.check.evaluation_columns)
 
 
 def _real(config: Config, key: str) -> float:
@@ -230,4 +235,7 @@ def evaluate(parameters: DataFrame, checks: list[ConfiguredCheck]) -> DataFrame:
             if n in made:
                 raise ValidationError(f"{n} has two owners")
             made[n] = column
-    return parameters.withColumns(made)
+    grouped = [c for c in checks if c.check.grouped]
+    for c in grouped:
+        parameters = c.with_first(parameters)
+    return parameters.withColumns(made).drop(*[c.first_column for c in grouped])

@@ -7,28 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_text
 from .checks import POSITION
+from .grouping import attach
 from .leaders import hamming_edges, lead, similarity_edges
 
 RELATION = ("relation_type", "source_image_id", "target_image_id", "score", "group_id", "parameter_name", "computer_name", "artifact_ref", "created_at")
 
 
-#: Groups from this size on are joined by broadcast: there are at most rows / LARGE of them.
-LARGE = 100_000
-
-
 def exact_groups(rows: DataFrame, key: str = "content_hash") -> DataFrame:
-    """Adds exact_duplicate_group_id and _count. Counts are aggregated before they are joined back, and empty hashes take no part.
-    Large groups' counts, which are few whatever the rows are, go to all tasks, so that no task gets a large group's rows; these
-    rows then have a key of their own in the join with the other counts."""
+    """Adds exact_duplicate_group_id and _count. Counts are aggregated before they are joined back, and empty hashes take no part."""
     h = clean_text(key)
-    sums = rows.where(h != "").groupBy(h.alias("_hash")).agg(F.count("*").alias("_n")).where("_n > 1")
-    large = F.broadcast(sums.where(F.col("_n") >= LARGE).select(F.col("_hash").alias("_large"), F.col("_n").alias("_m")))
-    out = rows.join(large, h == F.col("_large"), "left")
-    own = F.when(F.col("_large").isNull() & (h != ""), h).otherwise(F.concat(F.lit("\0"), F.col(POSITION).cast("string")))
-    out = out.withColumn("_own", own).join(sums.where(F.col("_n") < LARGE), F.col("_own") == F.col("_hash"), "left")
-    group = F.coalesce("_large", "_hash")
-    made = {"exact_duplicate_group_id": F.coalesce(F.concat(F.lit("exact-"), group), F.lit("")), "exact_duplicate_count": F.coalesce("_m", "_n", F.lit(1)).cast("long")}
-    return out.withColumns(made).drop("_hash", "_n", "_large", "_m", "_own")
+    sums = rows.where(h != "").groupBy(h.alias("group_key")).agg(F.count("*").alias("group_rows")).where("group_rows > 1")
+    out = attach(rows, h, sums, POSITION)
+    made = {"exact_duplicate_group_id": F.coalesce(F.concat(F.lit("exact-"), F.col("group_key")), F.lit("")), "exact_duplicate_count": F.coalesce("group_rows", F.lit(1)).cast("long")}
+    return out.withColumns(made).drop("group_key", "group_rows")
 
 
 def relation(pairs: DataFrame, kind: str, parameter: str, computer: str, artifact: str = "") -> DataFrame:
