@@ -1,4 +1,5 @@
 import struct
+import zipfile
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from tidepool.operators.computers import PER_IMAGE, Computer, Registry, builtin,
 from tidepool.plans.cleaner import BasicCleaner
 from tidepool.sources import annotations, images, importer, raw, urls
 from tidepool.sources.storage import Prefix, Storage, safe_path
-from tidepool.sources.tabular import Dataset, fingerprint, grid_limit, sample, sorted_by, with_position
+from tidepool.sources.tabular import Dataset, fingerprint, grid_limit, register_format, sample, sorted_by, with_position
 
 
 def png(x, extra=b""):
@@ -84,6 +85,8 @@ def test_a_run_from_images_to_views(spark, folder, tmp_path):
         result.operator("none")
     with pytest.raises(NotFoundError):
         result.explain("none")
+    assert result.manifest()["summary"]["total"] == 5
+    assert zipfile.ZipFile(result.export_debug(str(tmp_path / "debug.zip"))).namelist() == ["state.json", "manifest.json", "parameters.jsonl", "evaluations.jsonl"]
     page = result.preview_html("exact_duplicate", include_group_context=True)
     assert page.count("<figure>") == 2
     assert Dataset.load(str(tmp_path / "clean.csv")).format == "csv"
@@ -134,6 +137,8 @@ def test_tables(spark, tmp_path):
         d = Dataset.write(df.coalesce(1), str(tmp_path / name))
         assert d.scan(spark, ["id", "id"], {"k": "a"}).orderBy("id").collect() == [(1,), (3,)]
         assert d.count(spark) == 3
+    register_format(".tsv", lambda s, p: s.read.option("sep", "\t").option("header", True).csv(p), lambda d, p: d.write.option("sep", "\t").option("header", True).csv(p))
+    assert Dataset.write(df, str(tmp_path / "t.tsv")).frame(spark, ["k"]).count() == 3
     d = Dataset.load(str(tmp_path / "t.parquet"))
     assert d.fingerprint(spark) == fingerprint(df.repartition(3)) != fingerprint(df.limit(2))
     assert "source_uri" not in d.export(spark, str(tmp_path / "e.parquet")).frame(spark).columns

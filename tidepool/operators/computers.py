@@ -40,7 +40,8 @@ class Image:
 
 @dataclass(frozen=True)
 class Computer:
-    """`types` gives the produced columns. `image(image, config)` is for PER_IMAGE, `table(df, config)` for the others."""
+    """`types` gives the produced columns. `image(image, config)` or, for batches, `images(images, config)` is for PER_IMAGE,
+    `table(df, config)` for the others."""
 
     name: str
     mode: str
@@ -48,6 +49,7 @@ class Computer:
     requires: tuple[str, ...] = ()
     config: tuple[str, ...] = ()
     image: Callable[[Image, Mapping], Mapping[str, Any]] | None = None
+    images: Callable[[list[Image], Mapping], list[Mapping[str, Any]]] | None = None
     table: Callable[[DataFrame, Mapping], DataFrame] | None = None
     before_run: Callable[[Mapping], None] | None = None
     relations: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
@@ -96,13 +98,17 @@ def builtin(embed: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> li
         if embed is None:
             raise ModelError("no embedding provider is given")
 
-    def embedding(x: Image, _: Mapping) -> dict:
-        if x.rgb is None:
-            return {"embedding": None, "semantic_embedding_ref": ""}
-        v = np.asarray(embed([x.rgb]), np.float32)
-        if v.ndim != 2 or v.shape[0] != 1 or not np.isfinite(v).all():
-            raise ModelError("a provider must return one finite vector for each image")
-        return {"embedding": v[0].tolist(), "semantic_embedding_ref": "embedding"}
+    def embedding(xs: list[Image], c: Mapping) -> list[dict]:
+        out: list[dict] = [{"embedding": None, "semantic_embedding_ref": ""} for _ in xs]
+        some, size = [i for i, x in enumerate(xs) if x.rgb is not None], int(c.get("batch_size", 32))
+        for at in range(0, len(some), size):
+            part = some[at : at + size]
+            v = np.asarray(embed([xs[i].rgb for i in part]), np.float32)
+            if v.ndim != 2 or len(v) != len(part) or not np.isfinite(v).all():
+                raise ModelError("a provider must return one finite vector for each image")
+            for i, row in zip(part, v, strict=True):
+                out[i] = {"embedding": row.tolist(), "semantic_embedding_ref": "embedding"}
+        return out
 
     return [
         Computer("image_metadata_computer", PER_IMAGE, {"width": "int", "height": "int", "format": "string", "decode_ok": "boolean", "decode_error": "string", "file_size": "bigint"}, image=_metadata),
@@ -115,7 +121,7 @@ def builtin(embed: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> li
         Computer("image_perceptual_hash_computer", PER_IMAGE, {"phash": "string"}, image=lambda x, c: {"phash": "" if x.gray is None else pixels.phash(x.gray)}),
         Computer("duplicate_group_computer", AGGREGATE, {"exact_duplicate_group_id": "string", "exact_duplicate_count": "bigint"}, ("content_hash",), table=lambda df, c: duplicates.exact_groups(df), relations={"exact_duplicate": duplicates.exact_pairs}),
         Computer("perceptual_duplicate_group_computer", AGGREGATE, {"perceptual_duplicate_group_id": "string", "perceptual_duplicate_count": "bigint", "perceptual_duplicate_distance": "bigint"}, ("phash",), ("max_distance",), table=lambda df, c: duplicates.perceptual_groups(df, c.get("max_distance", 10)), relations={"perceptual_duplicate": duplicates.perceptual_pairs}),
-        Computer("semantic_embedding_computer", PER_IMAGE, {"embedding": "array<float>", "semantic_embedding_ref": "string"}, config=("provider", "model_id", "batch_size"), image=embedding, before_run=check_provider),
+        Computer("semantic_embedding_computer", PER_IMAGE, {"embedding": "array<float>", "semantic_embedding_ref": "string"}, config=("provider", "model_id", "batch_size"), images=embedding, before_run=check_provider),
         Computer("semantic_duplicate_group_computer", AGGREGATE, {"semantic_duplicate_group_id": "string", "semantic_duplicate_count": "bigint", "semantic_duplicate_score": "double", "semantic_nearest_image_id": "string"}, ("embedding",), ("threshold",), table=lambda df, c: duplicates.semantic_groups(df, c.get("threshold", 0.92)), relations={"semantic_duplicate": duplicates.semantic_pairs}),
     ]
 
@@ -249,13 +255,14 @@ def run_images(df: DataFrame, steps: Sequence[tuple[Computer, tuple[str, ...]]],
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made: dict[str, list] = {n: [] for n, _ in columns}
+            all_images = []
             for i in range(len(frame)):
                 data = frame["content"].iat[i]
                 data = bytes(data) if data is not None else None
                 rgb, error = _pixels_of(frame["image"].iat[i]) if has_image else decode(data)
-                x = Image(data, rgb, error)
-                for c, names, conf in asked:
-                    got = c.image(x, conf)
+                all_images.append(Image(data, rgb, error))
+            for c, names, conf in asked:
+                for got in c.images(all_images, conf) if c.images else (c.image(x, conf) for x in all_images):
                     for n in names:
                         made[n].append(got[n])
             out = frame[keep].copy()

@@ -275,6 +275,22 @@ class CleanerResult:
             raise NotFoundError(image_id)
         return row.asDict(recursive=True) | {"plan_hash": self.state()["plan_hash"]}
 
+    def manifest(self) -> dict:
+        """The plan, its settings and what the run holds, as one document."""
+        state = self.state()
+        return {k: state[k] for k in ("run_id", "status", "plan_hash", "parameter_hash", "fingerprint", "sample", "checks", "nodes", "label", "tags")} | {"summary": self.summary() if state["status"] == "completed" else None}
+
+    def export_debug(self, path: str, rows: int = 200) -> str:
+        """A zip file on the driver with the state, the manifest and the first rows of each table."""
+        import zipfile
+
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("state.json", json.dumps(self.state(), indent=1, default=str))
+            z.writestr("manifest.json", json.dumps(self.manifest(), indent=1, default=str))
+            for name in ("parameters", "evaluations"):
+                z.writestr(f"{name}.jsonl", "\n".join(self.view(name).orderBy(POSITION).limit(rows).toJSON().collect()))
+        return path
+
     def preview(self, operator: str | None = None, **options: Any) -> DataFrame:
         return filtered(self.full(), self._check(operator), **options)
 

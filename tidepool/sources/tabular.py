@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,8 +14,19 @@ from ..operators.checks import POSITION
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".jsonl": "json", ".json": "json"}
 
 
+#: Other formats by suffix: how a path is read and how a table is written to it.
+_OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[DataFrame, str], None] | None]] = {}
+
+
+def register_format(suffix: str, read: Callable[[SparkSession, str], DataFrame], write: Callable[[DataFrame, str], None] | None = None) -> None:
+    """Makes tables of another suffix known, e.g. by a data source of the caller's."""
+    if suffix in FORMATS or not suffix.startswith("."):
+        raise ValueError(f"{suffix!r} cannot be registered")
+    _OTHERS[suffix] = (read, write)
+
+
 def format_of(path: str) -> str:
-    for suffix, kind in FORMATS.items():
+    for suffix, kind in (FORMATS | {s: s for s in _OTHERS}).items():
         if path.rstrip("/").lower().endswith(suffix):
             return kind
     raise ValueError(f"no table format for {path!r}; known are {', '.join(FORMATS)}")
@@ -43,11 +54,19 @@ class Dataset:
     @classmethod
     def write(cls, df: DataFrame, path: str, mode: str = "overwrite", format: str | None = None) -> Dataset:
         kind = format or format_of(path)
+        if kind in _OTHERS:
+            if _OTHERS[kind][1] is None:
+                raise ValueError(f"{kind} tables are only read")
+            _OTHERS[kind][1](df, path)
+            return cls(path, kind)
         writer = df.write.mode(mode)
         (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
         return cls(path, kind)
 
     def frame(self, spark: SparkSession, columns: Sequence[str] | None = None) -> DataFrame:
+        if self.format in _OTHERS:
+            df = _OTHERS[self.format][0](spark, self.path)
+            return df.select(*columns) if columns is not None else df
         reader = spark.read.option("header", True).option("inferSchema", True) if self.format == "csv" else spark.read
         df = reader.format(self.format).load(self.path)
         return df.select(*columns) if columns is not None else df
