@@ -200,6 +200,7 @@ def _check(name: str, category: str, required: str, defaults: Config, fires: Fir
     return Check(name, category, tuple(required.split()), defaults, fires, **more)
 
 
+#: Names, categories, columns, default settings and reason texts of the checks.
 CHECKS: dict[str, Check] = {
     c.name: c
     for c in (

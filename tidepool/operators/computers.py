@@ -86,6 +86,7 @@ def _only(names: Iterable[str], made: Callable[[Image], Mapping]) -> Callable[[I
     return lambda x, c: dict.fromkeys(names) if x.rgb is None else made(x, c)
 
 
+#: What the computers are called and produce (here and in `builtin`).
 _QUALITY = ("blur_score", "brightness_score", "contrast_score", "blank_score")
 _DETAIL = ("dark_pixel_ratio", "bright_pixel_ratio", "clipped_pixel_ratio", "noise_score", "mono_color_score")
 _BORDER = {"border_padding_ratio": "double", "border_padding_sides": "string", "border_padding_color": "string"}

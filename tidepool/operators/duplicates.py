@@ -10,6 +10,7 @@ from .checks import POSITION
 from .grouping import attach
 from .leaders import hamming_edges, lead, similarity_edges
 
+#: The columns of a relation table.
 RELATION = ("relation_type", "source_image_id", "target_image_id", "score", "group_id", "parameter_name", "computer_name", "artifact_ref", "created_at")
 
 

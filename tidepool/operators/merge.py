@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .checks import ConfiguredCheck
 
+#: Actions by gravity, and the views by their action.
 PRIORITY = {"keep": 0, "review": 1, "drop": 2, "restricted": 3}
 BUCKETS = {"clean": "keep", "review": "review", "dropped": "drop", "restricted": "restricted"}
 

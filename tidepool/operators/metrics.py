@@ -16,6 +16,7 @@ class MetricSpec:
     absolute_max: float | None = None
 
 
+#: The ranges of the metrics (from 0 to the number given, or to 1) and which end is bad.
 _RELATIVE = {"blur": ("lower_is_worse", 300.0), "contrast": ("lower_is_worse", 100.0), "perceptual_duplicate": ("lower_is_worse", 100.0)}
 _SHARES = ("blank", "exposure", "noise", "mono_color", "border_padding", "semantic_duplicate")
 _CATEGORIES = ("decode", "animated", "orientation", "exact_duplicate")

@@ -16,6 +16,7 @@ from ..operators.checks import POSITION, ConfiguredCheck
 from ..operators.merge import BUCKETS
 
 
+#: The limits of 200 rows, 50 groups and 20 rows a group.
 @dataclass(frozen=True)
 class PreviewPolicy:
     """What a check's preview shows where the caller does not say."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pixels
 
+#: The image suffixes and their content types.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
 MIME = {"JPEG": "image/jpeg", "PNG": "image/png", "GIF": "image/gif", "BMP": "image/bmp", "WEBP": "image/webp"}
 
