@@ -61,8 +61,10 @@ class Boosted:
 
 
 def calibrate(score: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and offset that turn scores into probabilities (a logistic fit on rows that the trees have not seen)."""
-    a, b = 1.0, 0.0
+    """Slope and offset that turn scores into probabilities: a logistic fit on rows that the trees have not seen, to targets a little
+    off 0 and 1 (by Laplace's rule), so that separable scores do not become certainties."""
+    a, b, n = 1.0, 0.0, y.sum()
+    y = np.where(y > 0, (n + 1) / (n + 2), 1 / (len(y) - n + 2))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
         g = np.array([((p - y) * score).mean(), (p - y).mean()])

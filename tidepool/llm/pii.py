@@ -147,8 +147,8 @@ def examples(n: int, seed: int) -> tuple[list[str], list[Span], np.ndarray]:
         hint = pick(True, True, False)
         if kind == "phone":
             a, b = num(3), num(4)
-            s = pick(f"({num(3)}) {a}-{b}", f"{num(3)}-{a}-{b}", f"{num(3)}.{a}.{b}", f"0{num(3)} {num(6)}", f"00{pick('33', '34', '49', '1')} {num(2)} {num(3)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}") if good else pick(num(int(rng.integers(7, 16))), f"{pick('19', '20')}{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(1)}.{num(2)}.{num(3)}.{num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(3)} {num(5)}", f"{num(4)} {num(4)}", f"{num(2)} {num(1)} {num(4)} {num(2)}")
-            lead = pick("tel", "phone", "call", "mobile", "fax") if good and (hint or s[0] not in "(0") else pick("order", "invoice", "id", "isbn", word(), word()) if not good else word()
+            s = pick(f"({num(3)}) {a}-{b}", f"{num(3)}-{a}-{b}", f"{num(3)}.{a}.{b}", f"0{num(3)} {num(6)}", f"00{pick('33', '34', '49', '1')} {num(2)} {num(3)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}") if good else pick(num(int(rng.integers(7, 16))), f"{pick('19', '20')}{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(1)}.{num(2)}.{num(3)}.{num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(3)} {num(5)}", f"{num(4)} {num(4)}", f"{num(2)} {num(1)} {num(4)} {num(2)}", card(15), grouped(card(15), (4, 6, 5), pick(" ", "-")), grouped(card(14), (4, 6, 4), " "))
+            lead = pick("tel", "phone", "call", "mobile", "fax") if good and (hint or s[0] not in "(0") else pick("order", "invoice", "id", "isbn", "card", "amex", word(), word()) if not good else word()
         elif kind == "card":
             s = pick(grouped(card(15), (4, 6, 5), pick(" ", "-")), card(15), grouped(card(16), (4, 4, 4, 4), pick(". ", "/", ".")), grouped(card(14), (4, 6, 4), " ")) if good else pick(num(13), num(14), num(17), num(19), f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", f"{num(8)} {num(8)}")
             lead = pick("card", "visa", "credit card", "amex", "tarjeta") if good else pick("order", "serial", word(), word())
