@@ -26,8 +26,10 @@ def sequential(items, value, holds, better):
     return out
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
 @pytest.mark.parametrize("distance", [3, 16])
-def test_hamming_groups_are_those_of_the_loop(spark, distance):
+def test_hamming_groups_are_those_of_the_loop(spark, distance, small, monkeypatch):
+    monkeypatch.setattr(leaders, "SMALL", small)
     rng = random.Random(distance)
     base = [rng.getrandbits(64) for _ in range(12)]
     hashes = [None, "", "zz"] + [f"{b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) & (2**64 - 1):016x}" for b in base for _ in range(8)]
@@ -48,8 +50,9 @@ def test_hamming_groups_are_those_of_the_loop(spark, distance):
             assert (r["perceptual_duplicate_count"], r["perceptual_duplicate_distance"]) == (sizes[k], v or 0)
 
 
-@pytest.mark.parametrize("threshold", [0.92, 0.3])
-def test_similarity_groups_are_those_of_the_loop(spark, threshold, monkeypatch):
+@pytest.mark.parametrize("threshold, small", [(0.92, 0), (0.3, 0), (0.3, 10**6)])
+def test_similarity_groups_are_those_of_the_loop(spark, threshold, small, monkeypatch):
+    monkeypatch.setattr(leaders, "SMALL", small)
     monkeypatch.setattr(leaders.similarity_edges, "__defaults__", (16,))
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((8, 6))
