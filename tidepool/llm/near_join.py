@@ -106,9 +106,11 @@ def block_pairs(nodes: DataFrame, small: DataFrame | None = None) -> DataFrame:
     first = member.groupBy("node").agg(F.min("head").alias("label"))
     step = first.select(F.col("node").alias("label"), F.col("label").alias("next"))
     label = first.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    sized = label.join(nodes.select("node", "n_grams"), "node")
+    sized = stored(label.join(nodes.select("node", "n_grams"), "node"), "labels")
     chunks = sized.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_NODES)).alias("chunks"))
-    dealt = stored(sized.join(chunks, "label").select("node", F.xxhash64("label", F.expr("pmod(xxhash64(node), chunks)")).alias("block")), "blocks")
+    # Only labels of more than one block are joined, as a table of its own, so that a label with many nodes can be split.
+    many = sized.join(stored(chunks.where("chunks > 1"), "chunks"), "label", "left")
+    dealt = stored(many.select("node", F.xxhash64("label", F.expr("pmod(xxhash64(node), coalesce(chunks, 1))")).alias("block")), "blocks")
     seen = member.join(dealt, "node").select("bucket", "block").distinct()
     pairs = seen.withColumnRenamed("block", "low").join(seen.withColumnRenamed("block", "high"), "bucket").where("low <= high").select("low", "high").distinct()
     ends = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
