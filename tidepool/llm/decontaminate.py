@@ -203,3 +203,51 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def _sql() -> str:
+    """The same over all places of all texts: seeds as joined tokens, and the best run by running sums."""
+    masks = ", ".join(f"({n}, {len(m)}, {[i for i, c in enumerate(m) if c == '1']})" for n, m in enumerate(MASKS))
+    return rf"""
+WITH m AS (
+  SELECT * FROM (VALUES {masks}) t(mask, span, kept)
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents
+), i AS MATERIALIZED (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), ds AS (
+  SELECT r, mask, p, array_to_string(list_transform(kept, lambda k: w[p + k + 1]), ' ') AS s
+  FROM (SELECT r, w, mask, kept, unnest(range(0, len(w) - span + 1)) AS p FROM d, m WHERE len(w) >= span)
+), si AS (
+  SELECT q, mask, p, array_to_string(list_transform(kept, lambda k: w[p + k + 1]), ' ') AS s
+  FROM (SELECT q, w, mask, kept, unnest(range(0, len(w) - span + 1)) AS p FROM i, m WHERE len(w) >= span)
+), h AS (
+  SELECT DISTINCT r, q, ds.p - si.p AS shift FROM ds JOIN si USING (mask, s)
+), o AS (
+  SELECT r, q, shift, doc_id, item_id, d.w AS dw, i.w AS iw, greatest(0, -shift) AS lo, least(len(i.w), len(d.w) - shift) AS hi
+  FROM h JOIN d USING (r) JOIN i USING (q)
+), c AS (
+  SELECT r, q, shift, doc_id, item_id, lo, len(iw) AS n, j - lo + 1 AS k, iw[j + 1] = dw[j + shift + 1] AS same
+  FROM (SELECT *, unnest(range(lo, hi)) AS j FROM o)
+), t AS (
+  SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER (PARTITION BY r, q, shift ORDER BY k) AS total FROM c
+), l AS (
+  SELECT *, least(0, min(total) OVER (PARTITION BY r, q, shift ORDER BY k)) AS low FROM t
+), e AS (
+  SELECT r, q, shift, arg_max(k, (total - low) * 1000000 - k) AS stop, arg_max(low, (total - low) * 1000000 - k) AS low FROM l GROUP BY ALL
+), b AS (
+  SELECT r, q, shift, stop, CASE WHEN e.low = 0 THEN 0 ELSE min(k) FILTER (total = e.low) END AS start FROM l JOIN e USING (r, q, shift) GROUP BY r, q, shift, stop, e.low
+), f AS (
+  SELECT doc_id, r, item_id, CAST(lo + start + shift AS INTEGER) AS doc_start, CAST(lo + start AS INTEGER) AS item_start, CAST(stop - start AS INTEGER) AS n_words,
+    CAST(count(*) FILTER (same AND k > start AND k <= stop) AS INTEGER) AS n_matches, n
+  FROM c JOIN b USING (r, q, shift) GROUP BY doc_id, r, item_id, lo, start, shift, stop, n
+), g AS (
+  SELECT *, n_matches / CAST(n AS DOUBLE) AS share FROM f
+  WHERE n_matches >= least({MIN_MATCHES}, ceil({MIN_SHARE}::DOUBLE * n)) AND n_matches >= {MIN_IDENTITY}::DOUBLE * n_words
+)
+SELECT doc_id, item_id, doc_start, item_start, n_words, n_matches, share FROM g
+QUALIFY row_number() OVER (PARTITION BY doc_id, r, item_id ORDER BY n_matches DESC, n_words, doc_start, item_start DESC, share DESC) = 1
+"""
+
+
+SQL = _sql()

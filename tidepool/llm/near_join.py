@@ -258,3 +258,30 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).drop("text_hash", "rep", "alone")
+
+
+#: The same by comparing all documents that share an n-gram; classes by closure over the links.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents
+), g AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w
+), k AS MATERIALIZED (
+  SELECT doc_id, len(g) AS n, sha256(array_to_string(list_sort(g), chr(10))) AS h FROM g
+), u AS MATERIALIZED (
+  SELECT doc_id, unnest(g) AS s FROM g
+), p AS MATERIALIZED (
+  SELECT c.x, c.y, a.h = b.h AS same, b.h AS h FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  ) c JOIN k a ON a.doc_id = c.x JOIN k b ON b.doc_id = c.y WHERE 5 * c.c >= 4 * (a.n + b.n - c.c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM k UNION SELECT r.x, p.y FROM reach r JOIN p ON p.x = r.y
+), top AS (
+  SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY 1
+), n AS (
+  SELECT x AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS n_copies, count(DISTINCT h) FILTER (NOT same) AS n_texts FROM p GROUP BY 1
+)
+SELECT k.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies, coalesce(n_texts, 0) AS n_texts
+FROM k JOIN top USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
