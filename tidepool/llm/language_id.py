@@ -4,7 +4,7 @@ For a page or document the posterior of language l is proportional to
 
     P(l | host) * P(declared | l) * P(suffix | l) * P(text | l) ^ temper
 
-The text likelihood is that of character n-grams (one to three, within words), trained on documents of known language. A first
+The text likelihood is that of character trigrams within words and their bounds, trained on documents of known language. A first
 decision from text alone gives, by grouped aggregation over all rows, how often each declared markup language and each address suffix
 goes with each language (smoothed), and the host priors, which are smoothed along a hierarchy: all rows, the address suffix, the
 host's domain, the host; each level's counts are shrunk to its parent's distribution with the weight STRENGTH. A row's own first
@@ -35,7 +35,7 @@ from ._common import batch_of, spread, stored, table, text_blocks
 TRAIN_DOCS, MOST_LANGUAGES = 4_000, 200
 #: Weight of a parent's distribution, in rows; pseudo-count of declared languages and suffixes; exponent of the text likelihood.
 STRENGTH, SMOOTH, TEMPER = 20.0, 1.0, 0.3
-GRAMS, CACHE = 3, 200_000
+GRAMS, CACHE = 3, 400_000
 
 ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1>", re.S | re.I)
 HIDDEN = re.compile(r"<(script|style|nav|head|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -49,13 +49,13 @@ def visible(page: str) -> str:
 
 def grams(word: str) -> list[str]:
     w = f" {word} "
-    return [w[i : i + k] for k in range(1, GRAMS + 1) for i in range(len(w) - k + 1)]
+    return [w[i : i + GRAMS] for i in range(len(w) - GRAMS + 1)]
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], dict[str, np.ndarray]]:
     """Languages, and log-likelihoods of each n-gram by language."""
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    n = known.count()
+    n = docs.where("lang is not null").count()  # reads no text
     if n > most:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / n))
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
@@ -87,26 +87,37 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], dict[str,
     return langs, model
 
 
-class Likelihood(dict):
-    """Log-likelihoods of words by language, remembered for the words met lately."""
+class Likelihood:
+    """Log-likelihoods of texts by language, by words that are remembered for a while; new words of a block are scored together."""
 
     def __init__(self, model: dict[str, np.ndarray]):
-        super().__init__()
-        self.model, self.rows = model, [np.zeros(len(model[""]))]
-
-    def __missing__(self, word: str) -> int:
-        none = self.model[""]
-        self.rows.append(sum(self.model.get(g, none) for g in grams(word)))
-        v = self[word] = len(self.rows) - 1
-        return v
+        self.gram = {g: i for i, g in enumerate(model)}
+        self.matrix = np.array(list(model.values()))
+        self.none = self.gram[""]
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((0, self.matrix.shape[1]))
+
+    def _learn(self, words: list[str]) -> None:
+        each = [grams(w) for w in words]
+        get, none = self.gram.get, self.none
+        found = np.fromiter((get(g, none) for e in each for g in e), np.int64)
+        starts = np.cumsum([0, *map(len, each[:-1])])
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.table = np.concatenate([self.table, np.add.reduceat(self.matrix[found], starts)])
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-            del self.rows[1:]
-        at = [np.fromiter(map(self.__getitem__, t.lower().split()), np.int64) for t in texts]
-        rows = np.array(self.rows)
-        return np.array([rows[a].sum(0) for a in at]).reshape(len(texts), -1)
+        split = [t.lower().split() for t in texts]
+        new = list({w for s in split for w in s if w not in self.at})
+        if len(self.at) + len(new) > CACHE:
+            self.at, self.table = {}, self.table[:0]
+            new = list({w for s in split for w in s})
+        for i in range(0, len(new), 50_000):
+            self._learn(new[i : i + 50_000])
+        out = np.zeros((len(texts), self.table.shape[1]))
+        for i, s in enumerate(split):
+            if s:
+                out[i] = self.table[np.fromiter(map(self.at.__getitem__, s), np.int64, len(s))].sum(0)
+        return out
 
 
 def text_evidence(rows: DataFrame, model: dict[str, np.ndarray], n: int, html: bool) -> DataFrame:
@@ -145,7 +156,8 @@ def fused(rows: DataFrame, langs: list[str], model: dict[str, np.ndarray], html:
     none = F.array_repeat(F.lit(0.0), n)
     # Grouped counts at each level; a text without words counts nowhere.
     every = read.agg(counted.alias("n_all"))
-    level = lambda key: read.groupBy(key).agg(counted.alias(f"n_{key}"))
+    # Stored, so that the join's sides are plain tables and a host with many rows can be split.
+    level = lambda key: stored(read.groupBy(key).agg(counted.alias(f"n_{key}")), "counts")
     out = read.join(F.broadcast(every))  # one row
     for key in ("suffix", "domain", "host", "declared"):
         out = out.join(level(key), key, "left").withColumn(f"n_{key}", F.coalesce(f"n_{key}", none))
