@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..storing import forget, shared_dir, stored
 
-__all__ = ["BLOCK_CHARS", "HashOf", "batch_of", "forget", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
+__all__ = ["BLOCK_CHARS", "HashOf", "batch_of", "forget", "lean", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
 
 #: Characters of text that one Arrow batch of results covers at most (one whole text at least).
 BLOCK_CHARS = 4_000_000
+#: The setting that bounds Arrow batches in bytes, Spark's default and ours.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deals rows anew only if the input has far fewer partitions than the cluster has cores; otherwise it is left as it is."""
+    """Deals rows anew only if the input has far fewer partitions than the cluster has cores; otherwise it is left as it is.
+
+    Rows go to Python from here, so that the session's Arrow batches are bounded too, unless it has a bound of its own: long texts would
+    else make batches that JVM and worker hold several times over."""
+    if df.sparkSession.conf.get(BATCH[0], None) == BATCH[1]:
+        df.sparkSession.conf.set(BATCH[0], BATCH[2])
     cores = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
 
@@ -49,6 +59,20 @@ def _offsets(col: pa.Array) -> np.ndarray:
     return raw[col.offset : col.offset + len(col) + 1]
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function, after which the worker gives its memory back: workers live on, and what one task has needed would else add up
+    with what the JVM and other workers need later."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -68,7 +92,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class HashOf(dict):
     """Word to 64-bit hash, remembered for the words met lately; at most `most` entries are held."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         from xxhash import xxh3_64_intdigest
 

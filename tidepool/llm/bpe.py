@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_of, spread, table, text_blocks
+from ._common import batch_of, lean, spread, table, text_blocks
 
 #: Pre-tokens that a worker remembers, and pre-tokens of a text that are held at once.
-CACHE, BLOCK = 400_000, 300_000
+CACHE, BLOCK = 250_000, 300_000
 #: The unknown piece's name; it holds a character that no mapped byte has.
 UNKNOWN = "⁇unknown"
 SCHEMA = "doc_id bigint, ids array<int>, decoded binary"
@@ -152,11 +152,12 @@ _CODECS: dict[tuple[int, str], Codec] = {}
 
 
 def codec_of(tokens: list[bytes], model: bytes, pattern: str) -> Codec:
-    """The worker's codec, which later tasks in the same worker use again."""
+    """The worker's codec, which later tasks in the same worker use again; what it has learnt is not kept from task to task."""
     key = hash(model), pattern
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(tokens, pattern, model)
+    _CODECS[key].known.clear()
     return _CODECS[key]
 
 
@@ -174,8 +175,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             yield batch_of(schema, part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), [codec.decode(x) for x in ids])
+        codec.known.clear()
 
-    return spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(lean(run), SCHEMA)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

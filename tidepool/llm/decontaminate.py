@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import HashOf, batch_of, mix64, spread, stored, table, text_blocks
+from ._common import HashOf, batch_of, lean, mix64, spread, stored, table, text_blocks
 
 #: Kept (1) and ignored (0) positions.
 MASKS = ("11101011", "111001011", "1101100101", "1011010011")
@@ -105,8 +105,8 @@ def item_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # An item is its text: rows with the same id and text are one.
     read_items = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).dropDuplicates()
-    words = stored(spread(read_items).mapInArrow(read, "item_id bigint, words array<bigint>"), "items")
-    return words.mapInArrow(hash_, "h bigint, item_id bigint, at int"), words
+    words = stored(spread(read_items).mapInArrow(lean(read), "item_id bigint, words array<bigint>"), "items")
+    return words.mapInArrow(lean(hash_), "h bigint, item_id bigint, at int"), words
 
 
 def regions(docs: DataFrame, keep: Filter, reach: int) -> DataFrame:
@@ -146,7 +146,7 @@ def regions(docs: DataFrame, keep: Filter, reach: int) -> DataFrame:
             yield batch_of(schema, part.column(0).take(pick), part.column(1).take(pick), [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
 
     given = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    return spread(given).mapInArrow(run, "doc_id bigint, text_hash bigint, start int, words array<bigint>, hits array<struct<h:bigint,at:int>>")
+    return spread(given).mapInArrow(lean(run), "doc_id bigint, text_hash bigint, start int, words array<bigint>, hits array<struct<h:bigint,at:int>>")
 
 
 def best_run(same: np.ndarray) -> tuple[int, int, int]:
@@ -185,7 +185,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield batch_of(schema, *map(list, zip(*rows, strict=True)))
 
     slim = pairs.select("doc_id", "text_hash", "item_id", "shift", "start", "words", "item_words")
-    return slim.mapInArrow(verify, "doc_id bigint, text_hash bigint, item_id bigint, doc_start int, item_start int, n_words int, n_matches int, share double")
+    return slim.mapInArrow(lean(verify), "doc_id bigint, text_hash bigint, item_id bigint, doc_start int, item_start int, n_words int, n_matches int, share double")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_of, spread, stored, table, text_blocks
+from ._common import batch_of, lean, spread, stored, table, text_blocks
 
 #: Documents that the text likelihood is trained on, about, and languages that it knows at most (the most frequent).
 TRAIN_DOCS, MOST_LANGUAGES = 4_000, 200
@@ -71,7 +71,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], dict[str,
                     seen[lang, g] += k
             yield batch_of(schema, [k[0] for k in seen], [k[1] for k in seen], list(seen.values()))
 
-    counted = known.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = known.mapInArrow(lean(run), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = stored(counted, "language-grams")
     langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
     at = {x: i for i, x in enumerate(langs)}
@@ -134,7 +134,7 @@ def text_evidence(rows: DataFrame, model: dict[str, np.ndarray], n: int, html: b
             yield pa.RecordBatch.from_arrays([*columns, evidence], names=[*names, "evidence"])
 
     kinds = dict(rows.dtypes)
-    return spread(rows).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", evidence array<double>")
+    return spread(rows).mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in names) + ", evidence array<double>")
 
 
 def host_of(url: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common
-from ._common import HashOf, batch_of, stored, table, text_blocks
+from ._common import HashOf, batch_of, lean, stored, table, text_blocks
 from .recurrent import Recurrent
 
 CLASSES, WIDTH, HIDDEN = 32, 32, 24
@@ -81,7 +81,7 @@ def token_counts(train: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return train.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
+    return train.select("text").mapInArrow(lean(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
 
 
 class Model:
@@ -137,7 +137,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
         for _, texts in text_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([hashed(t, hashes) for t in texts], pa.list_(pa.int64()))], names=["tokens"])
 
-    sample = chosen.select("doc_id", "text").mapInArrow(run, "tokens array<bigint>").collect()
+    sample = chosen.select("doc_id", "text").mapInArrow(lean(run), "tokens array<bigint>").collect()
     model.network.fit(_mixed(model, sample), updates=UPDATES)
     return model
 
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 yield batch_of(schema, pa.array(flat[order[new]]), pa.array(rows[doc[order[new]]]), pa.array(times), pa.nulls(len(new), head))
 
     ddl = "h bigint, row bigint, n int, head struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,n_other:bigint,base:double,score:double>"
-    parts = docs.mapInArrow(run, ddl).join(counts, "h", "left")
+    parts = docs.mapInArrow(lean(run), ddl).join(counts, "h", "left")
     word = F.when(F.col("head").isNull(), F.col("n"))
     summed = parts.groupBy("row").agg(F.first("head", ignorenulls=True).alias("head"), F.sum(word * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), word)).alias("known"))
     rare = F.coalesce("rare", F.lit(0.0))

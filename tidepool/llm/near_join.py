@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import HashOf, batch_of, forget, mix64, spread, stored, table, text_blocks
+from ._common import HashOf, batch_of, forget, lean, mix64, spread, stored, table, text_blocks
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Hashes of a signature at most; nodes and n-grams of a block, about.
@@ -90,7 +90,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             yield batch_of(schema, part.column(0), part.column(1), nodes, [len(s) for s in sets], [sign(s) if len(s) else None for s in sets])
 
     given = docs.select(F.col("doc_id").cast("bigint"), text_hash().alias("text_hash"), F.col("text").cast("string"))
-    return spread(given).mapInArrow(run, "doc_id bigint, text_hash bigint, node binary, n_grams bigint, bands array<bigint>")
+    return spread(given).mapInArrow(lean(run), "doc_id bigint, text_hash bigint, node binary, n_grams bigint, bands array<bigint>")
 
 
 def nodes_of(marked: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float) -> DataFr
             part = part.take(pa.array(first, pa.int64()))
             yield batch_of(payload, *part.columns[:5], [grams(texts[i], hashes, n).tobytes() for i in first])
 
-    sets = read.select("low", "high", "block", "node", "n_docs", "text").mapInArrow(cut, "low bigint, high bigint, block bigint, node binary, n_docs bigint, grams binary")
+    sets = read.select("low", "high", "block", "node", "n_docs", "text").mapInArrow(lean(cut), "low bigint, high bigint, block bigint, node binary, n_docs bigint, grams binary")
     out = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("n_links", pa.int64()), ("n_sets", pa.int64())])
 
     def verify(low: int, high: int, rows: dict[bytes, tuple]) -> pa.RecordBatch | None:
@@ -207,7 +207,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float) -> DataFr
         if at and (found := verify(*at, rows)):
             yield found
 
-    return sets.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(meet, "node binary, root binary, n_links bigint, n_sets bigint")
+    return sets.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(lean(meet), "node binary, root binary, n_links bigint, n_sets bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

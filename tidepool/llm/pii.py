@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_of, spread, table, text_blocks
+from ._common import batch_of, lean, spread, table, text_blocks
 from .boosting import Boosted, calibrate, threshold
 
 KINDS = ("email", "ip", "card", "phone")
@@ -228,7 +228,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield batch_of(schema, part.column(0), [shown(b) for b in base], [shown(s) for s in spans])
 
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, f"doc_id bigint, base {kind}, spans {kind}")
+    return spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(lean(run), f"doc_id bigint, base {kind}, spans {kind}")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -260,7 +260,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[j] = pa.array([None if t is None else len(t) for t in new], part.schema.field(j).type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

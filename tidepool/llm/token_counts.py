@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_of, spread, table, text_blocks
+from ._common import batch_of, lean, spread, table, text_blocks
 from .bpe import BLOCK, CACHE, byte_characters
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint"
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for part, texts in text_blocks(batches):
             yield batch_of(schema, part.column(0), [len(t.encode()) for t in texts], [counting.count(t) for t in texts])
 
-    return spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(lean(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:

@@ -6,7 +6,7 @@ Queries come in blocks. A block first searches one shard, which gives each of it
 shard with that score as a bound. Within a task nodes are taken by their bound, largest first, by all queries that still need
 them, and the k-th score reached in one shard is the bound in the next. Only scores that can be among the k best leave a task.
 
-Scores are sums of products of integers and exact. Nodes are left out only if their bound is less than the k-th score, so that ties are
+Scores are sums of products of integers and exact while they stay below 2^53 in size. Nodes are left out only if their bound is less than the k-th score, so that ties are
 found and go to the smaller id. Vectors that are null or hold null or non-finite components take no part, nor do vectors without an id or of
 another length than the most frequent one (ties: the longer). Rows that repeat an id are candidates each by itself; a query does not
 find rows of its own id, and a repeated query id is one query for each distinct vector. Fewer than k candidates give fewer rows.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import batch_of, stored, table
+from ._common import batch_of, lean, stored, table
 
 #: Vectors of a shard, about; of a leaf at most; queries of a block, about.
 SHARD, LEAF, BLOCK = 16_384, 128, 2_048
@@ -190,14 +190,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256,
     # One shard of the block's own gives the first bounds: the k-th best there is reached by the whole's k-th best.
     none = F.lit(None).cast("array<struct<place:int,floor:bigint>>")
     homed = asked.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")).join(trees, "shard")
-    first = stored(homed.select("block", "queries", none.alias("floor"), "tree").mapInArrow(meet, found_ddl), "bounds")
+    first = stored(homed.select("block", "queries", none.alias("floor"), "tree").mapInArrow(lean(meet), found_ddl), "bounds")
     kth = first.groupBy("block", "place").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k)
     kth = kth.groupBy("block").agg(F.collect_list(F.struct("place", F.col("floor").alias("floor"))).alias("floor"))
     # Every block meets every shard: `lanes` of shards a block, each lane one task that hands its k-th scores on.
     lanes = min(shards, max(1, -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
     ready = asked.join(kth, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     ready = ready.join(trees, "shard").withColumn("lane", F.pmod("shard", F.lit(lanes)))
-    met = ready.repartition("block", "lane").sortWithinPartitions("block", "lane", "shard").select("block", "queries", "floor", "tree").mapInArrow(meet, found_ddl)
+    met = ready.repartition("block", "lane").sortWithinPartitions("block", "lane", "shard").select("block", "queries", "floor", "tree").mapInArrow(lean(meet), found_ddl)
     place = Window.partitionBy("query_id", "block", "place").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
