@@ -237,9 +237,11 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     found = stored(links(docs, nodes, n, threshold), "links")
     label = components(found)
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_sets").alias("n_texts"))
-    all_nodes = nodes.select("node", "rep", "n_docs").join(counts, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tops = all_nodes.groupBy("label").agg(F.min("rep").alias("top"))
-    known = all_nodes.join(tops, "label").select("node", "top", "n_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+    joined = nodes.select("node", "rep", "n_docs").join(counts, "node", "left").join(label, "node", "left")
+    every = stored(joined.withColumn("label", F.coalesce("label", "node")), "classes")
+    # Both sides are tables of their own, so that a class with many nodes can be split; nodes that are alone need no join.
+    tops = stored(every.groupBy("label").agg(F.min("rep").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "tops")
+    known = every.join(tops, "label", "left").select("node", F.coalesce("top", "rep").alias("top"), "n_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
     own = F.struct("doc_id", "text_hash")
     out = marked.select("doc_id", "text_hash", "node").join(known, "node", "left").withColumn("rep", F.coalesce("top", own))
     copies = F.coalesce(F.col("n_docs") - 1, F.lit(0))
