@@ -103,7 +103,7 @@ def block_pairs(nodes: DataFrame, small: DataFrame | None = None) -> DataFrame:
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("bucket", "head")
     member = stored(rows.join(shared, "bucket"), "members")
-    first = member.groupBy("node").agg(F.min("head").alias("label"))
+    first = stored(member.groupBy("node").agg(F.min("head").alias("label")), "first-labels")  # a plain table on both sides of the look-up
     step = first.select(F.col("node").alias("label"), F.col("label").alias("next"))
     label = first.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
     sized = stored(label.join(nodes.select("node", "n_grams"), "node"), "labels")
