@@ -204,3 +204,25 @@ def test_probabilities_sum_to_one_and_windows_do_not_matter():
     one, two = net.score(texts), net.score(texts, length=4, cells=8)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(one, two, strict=True))
     assert np.allclose(net.score(texts[2:3])[0], one[2], atol=1e-5)
+
+
+def test_the_network_is_trained_on_every_token_of_the_training_side(spark, monkeypatch):
+    monkeypatch.setattr(lm_scores, "TRAIN_DOCS", 1)
+    monkeypatch.setattr(lm_scores, "UPDATES", 1)
+    monkeypatch.setattr(lm_scores, "SHARD_TOKENS", 2_000)
+    df = docs(spark, ["one two three four five six"] * 2_000, repeat=False).select("doc_id", "text")
+    side = df.where(~lm_scores.held_out())
+    counts = lm_scores.token_counts(side)
+    one, two = (lm_scores.train(d, counts) for d in (side.coalesce(1), side.repartition(7)))
+    assert one.trained == two.trained == one.n == side.count() * 7
+    # The weights are the same whatever the partitions are.
+    assert all(np.array_equal(v, two.network.p[k]) for k, v in one.network.p.items())
+
+
+def test_lanes_go_once_over_all_documents(monkeypatch):
+    net = Recurrent(3, 4, 5, np.ones(12))
+    seen, started = [], []
+    monkeypatch.setattr(net, "window", lambda tokens, before, h, rate: (seen.extend(tokens.ravel()), started.extend((before == net.start).ravel()), (0.0, h))[2])
+    net.follow([np.full(n, i) for i, n in enumerate((50, 3, 0, 120, 7))], (0.01, 0.01), lanes=4, length=8)
+    assert len(seen) == 180 and sum(started) == 4
+    assert Counter(seen) == {0: 50, 1: 3, 3: 120, 4: 7}

@@ -5,7 +5,9 @@ is not 2 are the training side; over all of it a grouped aggregation counts ever
 
 The network (`recurrent`) predicts each token from the state that it carries through the whole document: a class, then a token of the
 class. Its vocabulary is the VOCABULARY most frequent tokens, among them the end, and a token for all other words. It is trained by truncated
-backpropagation on about TRAIN_DOCS documents of the training side (a bounded sample by hash of the id). A word
+backpropagation: first on the driver on about TRAIN_DOCS documents, from which weights all start, then by tasks on every document of the
+training side once, in ROUNDS. A round's documents are dealt by hash into shards of about SHARD_TOKENS; each shard is trained from the
+round's first weights, and the shards' weights are averaged, by tokens. Shards, and so updates, grow with the corpus. A word
 outside the vocabulary has the probability of "other" times its share (c + 1) of what the vocabulary leaves of N + V + 1, so
 that a text's probability is a proper one over all texts.
 
@@ -19,6 +21,7 @@ give a row and count each time. An empty table gives an empty one. Columns other
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,14 +32,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common
-from ._common import HashOf, batch_of, lean, stored, table, text_blocks
+from ._common import HashOf, batch_of, forget, lean, stored, table, text_blocks
 from .recurrent import Recurrent
 
 CLASSES, WIDTH, HIDDEN = 32, 32, 24
 VOCABULARY = CLASSES * WIDTH - 1
-#: Documents that the network is trained on, about; tokens sent to the tasks at most.
+#: Documents that the first weights are trained on, about; tokens sent to the tasks at most.
 TRAIN_DOCS, FREQUENT = 800, 200_000
 UPDATES = 400
+#: Rounds over parts of the training side, after each of which weights are averaged; tokens of a shard, about; a round's rates, from first to last.
+ROUNDS, SHARD_TOKENS = 2, 500_000
+RATES = ((0.004, 0.002), (0.002, 0.0002))
+#: Weights that are averaged together.
+BLOCK = 4096
 #: The end's hash is that of the empty word, which no text holds.
 END = b""
 FOLDS, HELD = 7, 2
@@ -139,9 +147,97 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
 
     sample = chosen.select("doc_id", "text").mapInArrow(lean(run), "tokens array<bigint>").collect()
     model.network.fit(_mixed(model, sample), updates=UPDATES)
+    model.trained = train_all(docs, model)
     return model
 
 
+class Ids(dict):
+    """Word to token, remembered for the words met lately."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self._known = dict(zip(model.vocabulary.view(np.uint64).tolist(), model.ids.tolist(), strict=True))
+        self._hash, self._other = HashOf()._hash, model.other
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 250_000:
+            self.clear()
+        v = self[word] = self._known.get(self._hash(word), self._other)
+        return v
+
+
+def train_all(docs: DataFrame, model: Model) -> int:
+    """Trains the model's network on every document of `docs`; the number of tokens that it was trained on."""
+    shards = max(1, -(-model.n // (ROUNDS * SHARD_TOKENS)))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(sent.value)
+        for part, texts in text_blocks(batches):
+            made = [np.fromiter(map(ids.__getitem__, [*words(t), END]), np.uint16).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["key", "tokens"])
+
+    # By id and text, so that neither null ids nor copies meet in one shard.
+    key = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(ROUNDS * shards)).cast("int").alias("key")
+    dealt = stored(docs.select(key, "text").mapInArrow(lean(tokens), "key int, tokens binary"), "lm-tokens")
+    total = 0
+    for i in range(ROUNDS):
+        total += _round(dealt.where(F.col("key") % ROUNDS == i).select((F.col("key") / ROUNDS).cast("int").alias("shard"), "tokens"), shards, model.network, RATES[i])
+    forget(dealt)
+    return total
+
+
+def _round(dealt: DataFrame, shards: int, network: Recurrent, rates: tuple[float, float]) -> int:
+    """Puts the shards' mean weights into the network; the number of tokens."""
+    network.restart()
+    sent = dealt.sparkSession.sparkContext.broadcast(network)
+    schema = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        nets: dict[int, Recurrent] = {}
+        size, seen = Counter(), Counter()
+
+        def follow(shard: int) -> None:
+            # In an order that does not depend on how the rows came.
+            part = [np.frombuffer(x, np.uint16) for x in sorted(held.pop(shard), key=lambda x: (zlib.crc32(x), x))]
+            if shard not in nets:
+                nets[shard] = copy.deepcopy(sent.value)
+            nets[shard].follow(part, rates)
+            seen[shard] += size.pop(shard)
+
+        for batch in batches:
+            for shard, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(shard, []).append(x)
+                size[shard] += len(x) // 2
+                if size[shard] > 4 * SHARD_TOKENS:  # many rows with the same id and text, or very long texts: as they come
+                    follow(shard)
+        for shard in sorted(held):
+            follow(shard)
+        for shard, net in nets.items():
+            flat = net.flat()
+            cut = [flat[j : j + BLOCK].tobytes() for j in range(0, len(flat), BLOCK)]
+            yield batch_of(schema, list(range(len(cut))), [shard] * len(cut), [seen[shard]] * len(cut), cut)
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        n: Counter = Counter()
+        for batch in batches:
+            for block, _, k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[block] = sums.get(block, 0.0) + k * np.frombuffer(x, np.float32).astype(np.float64)
+                n[block] += k
+        yield batch_of(schema, list(sums), [0] * len(sums), [n[b] for b in sums], [(v / max(1, n[b])).tobytes() for b, v in sums.items()])
+
+    ddl = "block int, shard int, n bigint, weights binary"
+    learnt = dealt.repartitionById(shards, F.col("shard")).mapInArrow(lean(learn), ddl)
+    # Summed in the order of shards, so that the mean is the same in every run; one network's weights reach the driver.
+    rows = learnt.repartition(16, "block").sortWithinPartitions("block", "shard").mapInArrow(lean(mean), ddl).collect()
+    if not rows:
+        return 0
+    network.put(np.concatenate([np.frombuffer(r["weights"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]))
+    return rows[0]["n"]
+
+
 def _mixed(model: Model, sample: list) -> list[np.ndarray]:
     """The sample's documents in an order that does not depend on how the rows came."""
     docs = [model.tokens(np.array(r["tokens"], np.int64)) for r in sample]

@@ -5,10 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -62,58 +58,117 @@ class Recurrent:
         return out
 
     def window(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
-        """One update from tokens (time, lane) after `before` (the inputs), from state h; the loss a token and the state at the end."""
+        """One update from tokens (time, lane) after `before` (the inputs), from state h; the loss a token and the state at the end.
+        Where the input is the start, the state before it is dropped, as in scoring."""
         p, k, w = self.p, self.hidden, self.width
         t, b = tokens.shape
-        g = {n: np.zeros_like(v) for n, v in p.items()}
+        n = t * b
+        g = {name: np.zeros_like(v) for name, v in p.items()}
+        x_all = p["x"][before] + p["b"]
+        live = (before != self.start)[:, :, None]
+        goes_on = live.all((1, 2))
         past, held, states = h, [], []
         for i in range(t):
-            x, u = p["x"][before[i]], past @ p["u"]
-            r = _sigmoid(x[:, :k] + u[:, :k] + p["b"][:k])
-            z = _sigmoid(x[:, k : 2 * k] + u[:, k : 2 * k] + p["b"][k : 2 * k])
-            new = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :] + p["b"][2 * k :])
+            if not goes_on[i]:
+                past = past * live[i]
+            x, u = x_all[i], past @ p["u"]
+            gates = 0.5 * np.tanh(0.5 * (x[:, : 2 * k] + u[:, : 2 * k])) + 0.5
+            r, z = gates[:, :k], gates[:, k:]
+            new = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
             held.append((past, u, r, z, new))
             past = new + z * (past - new)
             states.append(past)
         hs = np.concatenate(states)
         y = tokens.reshape(-1)
-        cls = y // w
-        rows = np.arange(len(y))
+        # Tokens of a class are taken together, in the order of classes.
+        cls = (y // w).astype(np.uint8 if self.classes < 256 else np.int64)
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        hs, y, cls = hs[order], y[order].astype(np.int64), cls[order]
         top = _softmax(hs @ p["wc"] + p["bc"])
-        low = _softmax(np.einsum("nh,nhw->nw", hs, p["wt"][cls]) + p["bt"][cls])
-        loss = -(np.log(top[rows, cls] + 1e-12) + np.log(low[rows, y - cls * w] + 1e-12)).mean()
+        rows = np.arange(n)
+        loss = -np.log(top[rows, cls] + 1e-12).sum()
         top[rows, cls] -= 1
-        low[rows, y - cls * w] -= 1
-        top /= len(y)
-        low /= len(y)
+        top /= n
         g["wc"], g["bc"] = hs.T @ top, top.sum(0)
-        np.add.at(g["bt"], cls, low)
-        for c in np.unique(cls):
-            m = cls == c
-            g["wt"][c] = hs[m].T @ low[m]
-        dh_all = (top @ p["wc"].T + np.einsum("nw,nhw->nh", low, p["wt"][cls])).reshape(t, b, k)
-        dh = np.zeros((b, k), np.float32)
+        dh_sorted = top @ p["wc"].T
+        for c in range(self.classes):
+            lo, hi = cuts[c], cuts[c + 1]
+            if lo == hi:
+                continue
+            part, of = hs[lo:hi], (np.arange(hi - lo), y[lo:hi] - c * w)
+            low = _softmax(part @ p["wt"][c] + p["bt"][c])
+            loss -= np.log(low[of] + 1e-12).sum()
+            low[of] -= 1
+            low /= n
+            g["wt"][c], g["bt"][c] = part.T @ low, low.sum(0)
+            dh_sorted[lo:hi] += low @ p["wt"][c].T
+        dh_all = np.empty_like(dh_sorted)
+        dh_all[order] = dh_sorted
+        dh_all = dh_all.reshape(t, b, k)
+        dh = np.zeros((b, k), dh_all.dtype)
+        da_all, du_all = np.empty((t, b, 3 * k), dh_all.dtype), np.empty((t, b, 3 * k), dh_all.dtype)
         for i in range(t - 1, -1, -1):
             past, u, r, z, new = held[i]
             dh = dh + dh_all[i]
-            dnew = dh * (1 - z) * (1 - new**2)
-            dz = dh * (past - new) * z * (1 - z)
-            dr = dnew * u[:, 2 * k :] * r * (1 - r)
-            da = np.concatenate([dr, dz, dnew], 1)
-            du = np.concatenate([dr, dz, dnew * r], 1)
-            np.add.at(g["x"], before[i], da)
-            g["b"] += da.sum(0)
-            g["u"] += past.T @ du
+            dnew = dh * (1 - z) * (1 - new * new)
+            da, du = da_all[i], du_all[i]
+            da[:, 2 * k :] = dnew
+            da[:, k : 2 * k] = dh * (past - new) * z * (1 - z)
+            da[:, :k] = dnew * u[:, 2 * k :] * r * (1 - r)
+            du[:, : 2 * k] = da[:, : 2 * k]
+            du[:, 2 * k :] = dnew * r
             dh = dh * z + du @ p["u"].T
+            if not goes_on[i]:
+                dh = dh * live[i]
+        flat, inputs = da_all.reshape(n, -1), before.reshape(-1).astype(np.uint16 if self.start < 65_536 else np.int64)
+        by = np.argsort(inputs, kind="stable")
+        met = np.flatnonzero(np.diff(inputs[by], prepend=-1))
+        g["x"][inputs[by[met]]] = np.add.reduceat(flat[by], met, 0)
+        g["b"] = flat.sum(0)
+        g["u"] = np.concatenate([x[0] for x in held]).T @ du_all.reshape(n, -1)
         norm = float(np.sqrt(sum((v**2).sum() for v in g.values())))
         self.steps += 1
-        for n, v in g.items():
+        for name, v in g.items():
             v = v * min(1.0, 1.0 / (norm + 1e-9))
-            m, s = self.moments[n]
+            m, s = self.moments[name]
             m += 0.1 * (v - m)
             s += 0.01 * (v * v - s)
-            p[n] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-        return float(loss), states[-1]
+            p[name] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+        return float(loss / n), states[-1]
+
+    def restart(self) -> None:
+        """Forgets the moments of the updates so far."""
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        self.steps = 0
+
+    def follow(self, docs: list[np.ndarray], rates: tuple[float, float], lanes: int = 128, length: int = 24) -> list[float]:
+        """Goes once over all documents, at a rate that falls from the first to the second. They are laid one after the other and cut into lanes
+        of one length; fewer tokens than there are lanes are met twice."""
+        docs = [d for d in docs if len(d)]
+        if not docs:
+            return []
+        tokens = np.concatenate(docs).astype(np.int64)
+        before = np.concatenate([[self.start], tokens[:-1]])
+        before[np.cumsum([0, *map(len, docs[:-1])])] = self.start
+        lanes = min(lanes, -(-len(tokens) // length))
+        each = -(-len(tokens) // lanes)
+        tokens, before = (np.ascontiguousarray(np.resize(x, lanes * each).reshape(lanes, each).T) for x in (tokens, before))
+        h, losses = np.zeros((lanes, self.hidden), np.float32), []
+        for i in range(0, each, length):
+            loss, h = self.window(tokens[i : i + length], before[i : i + length], h, rates[0] + (rates[1] - rates[0]) * i / each)
+            losses.append(loss)
+        return losses
+
+    def flat(self) -> np.ndarray:
+        """All weights in a row."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def put(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
 
     def fit(self, docs: list[np.ndarray], lanes: int = 64, length: int = 24, updates: int = 400, rate: float = 0.01) -> list[float]:
         """Documents (each ending in its end token) are laid into lanes one after the other; a lane's state goes on from window
