@@ -44,6 +44,20 @@ def test_the_trees_find_other_forms_and_leave_other_numbers():
     assert hits >= 0.6 * sum(g and not b for g, b in zip(y, base, strict=True)) and wrong <= 0.02 * hits
 
 
+def test_numbers_beside_each_other_are_found():
+    def found(text):
+        return [(k, text[a:b]) for k, a, b in pii.selector().select(text, pii.base_spans(text))]
+
+    assert found("Éçan 7536784127813050 4845168114407329 èaique") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    assert found("card 4111 1111 1111 1111 4111-1111-1111-1111 end") == [("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111")]
+    assert found("hand 2353820953013749 4550997810720808 thheed") == [("card", "4550997810720808")]
+    assert found("Des +1 (826) 555-4081 190.137.223.204 du") == [("ip", "190.137.223.204"), ("phone", "+1 (826) 555-4081")]
+    assert found("tel 555-123-4567 3rd floor") == [("phone", "555-123-4567")]
+    # Every run of groups with a right count of digits is proposed.
+    text = "+1 (826) 555-4081 22 333x"
+    assert {text[a:b] for k, a, b in pii.candidates(text) if k == "phone"} == {"+1 (826) 555", "+1 (826) 555-4081", "+1 (826) 555-4081 22", "(826) 555-4081", "(826) 555-4081 22", "555-4081", "555-4081 22"}
+
+
 def test_spans_and_redaction_over_odd_rows(spark):
     found = by_id(pii.find(docs(spark)))
     for i, t in enumerate(ODD_TEXTS):

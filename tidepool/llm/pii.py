@@ -1,12 +1,13 @@
 """Operator 9: personal data by candidate gradient boosting.
 
-High-recall generators propose overlapping spans of four kinds (email, ip, card, phone). Those that meet the strict form of their
+High-recall generators propose overlapping spans of four kinds (email, ip, card, phone); of digit groups beside each other every run that
+may be a phone or a card is proposed. Those that meet the strict form of their
 kind are taken as they are. Every other candidate is described by format and context features, scored by boosted trees, and
 selected where its calibrated probability reaches the kind's threshold, which is set for a stated precision on held-out examples.
 Of selected candidates that overlap each other or a strict span of any kind, the more probable stays (ties: the earlier, the longer).
 
 The trees are trained here, on examples made by rule from a fixed seed (`examples`): forms that the strict patterns miss - other
-phone and card groupings, addresses written with "at", IPv6 - among dates, versions, amounts and numbers of other kinds. The
+phone and card groupings, numbers beside each other, addresses written with "at", IPv6 - among dates, versions, amounts and numbers of other kinds. The
 model's size is fixed by its parameters.
 
 Offsets are code points, ends exclusive. Null texts count as empty ones; repeated rows each give a row; an empty table gives an
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,11 @@ DIGIT = re.compile(r"[0-9]")
 #: Generators of candidates beyond the strict forms.
 WORDED = re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}+ ?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}+){1,4}", re.I)
 SIX = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:.])")
-NUMBER = re.compile(r"(?<![0-9A-Za-z])(?:00|\()?[0-9]+(?:[\x20()./-]{1,2}[0-9]+)*+(?![0-9A-Za-z])")
+#: Digit groups that touch no letter, and what may stand between two groups of one number.
+GROUP = re.compile(r"(?<![0-9A-Za-z])[0-9]++(?![A-Za-z])")
+GAP = re.compile(r"[\x20()./-]{1,2}")
+#: Digits of a number of each kind.
+SIZES = {"phone": (7, 15), "card": (13, 19)}
 WORDS = {
     "phone": re.compile(r"\b(?:tel|phone|call|mobile|cell|fax|whatsapp|telefon|tél|teléfono|llame|anruf)", re.I),
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|courriel|correo|kontakt)", re.I),
@@ -95,15 +101,46 @@ def candidates(text: str) -> list[Span]:
     if DIGIT.search(text):
         if ":" in text:
             out += [("ip", *m.span()) for m in SIX.finditer(text) if DIGIT.search(m[0])]
-        for m in NUMBER.finditer(text):
-            n = sum("0" <= c <= "9" for c in m[0])
-            if 7 <= n <= 15:
-                out.append(("phone", *m.span()))
-            if 13 <= n <= 19:
-                out.append(("card", *m.span()))
+        out += numbers(text)
+    return out
+
+
+def numbers(text: str) -> list[Span]:
+    """All runs of consecutive digit groups with a phone's or a card's count of digits, so that numbers beside each other are each proposed;
+    a run has 19 groups at most. A bracket and, for phones, a plus before the first group belong to it."""
+    out: list[Span] = []
+    groups = [m.span() for m in GROUP.finditer(text)]
+    joined = [b[0] - a[1] <= 2 and GAP.fullmatch(text, a[1], b[0]) is not None for a, b in pairwise(groups)]
+    most = max(hi for _, hi in SIZES.values())
+    for i, (first, _) in enumerate(groups):
+        n, j = 0, i
+        start = first - 1 if text[first - 1 : first] == "(" and not text[first - 2 : first - 1].isalnum() else first
+        while n <= most:
+            n += groups[j][1] - groups[j][0]
+            for kind, (lo, hi) in SIZES.items():
+                if lo <= n <= hi:
+                    plus = kind == "phone" and start > 0 and text[start - 1] == "+"
+                    out.append((kind, start - plus, groups[j][1]))
+            if j + 1 == len(groups) or not joined[j]:
+                break
+            j += 1
     return out
 
 
+#: The digit group that a number goes on with on either side.
+LAST = re.compile(r"(\+?\(?[0-9]+)([\x20()./-]{1,2})$")
+NEXT = re.compile(r"^([\x20()./-]{1,2})([0-9]+)")
+
+
+def _beside(side: re.Pattern, context: str) -> tuple[float, float, float]:
+    """Digits of the group beside a number (0: there is none), what is between, and whether a plus stands there."""
+    m = side.search(context)
+    if not m:
+        return 0.0, -1.0, 0.0
+    group, gap = (m[1], m[2]) if side is LAST else (m[2], m[1])
+    return float(sum("0" <= c <= "9" for c in group)), float(" ./-()".index(gap[0]) + 6 * (len(gap) > 1)), float("+" in group)
+
+
 def features(text: str, span: Span) -> list[float]:
     kind, start, end = span
     s = text[start:end]
@@ -118,6 +155,7 @@ def features(text: str, span: Span) -> list[float]:
         s.lower().count("at)") + s.lower().count("at]") + s.lower().count("at}"), s.lower().count("dot"),
         *(float(bool(w.search(before))) for w in WORDS.values()), float(bool(WORDS["other"].search(after))),
         float(before[-1:].isspace() or not before), float(before[-1:] in "$€£#=_"), float(after[:1] in "%€$"),
+        float(s.startswith("+")), *_beside(LAST, before), *_beside(NEXT, after), len({c for c in s if not c.isalnum()}),
     ]
 
 
@@ -141,8 +179,38 @@ def examples(n: int, seed: int) -> tuple[list[str], list[Span], np.ndarray]:
             i += k
         return by.join(x for x in out if x)
 
+    def beside() -> tuple[str, Span, bool] | None:
+        """Two numbers beside each other, or one before a word that begins with a digit; a run of groups that is one of them or not."""
+        parts = []
+        for _ in range(2):
+            kind = pick("phone", "phone", "card", "card", "ip", "other")
+            by = pick(" ", "-")
+            s = {
+                "phone": lambda: pick(f"+{pick('1', '33', '49')} ({num(3)}) {num(3)}-{num(4)}", f"+1-{num(3)}-{num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(3)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}"),
+                "card": lambda: pick(card(16), card(16), grouped(card(16), (4, 4, 4, 4), by), grouped(card(15), (4, 6, 5), by)),
+                "ip": lambda: ".".join(str(int(rng.integers(1, 256))) for _ in range(4)),
+                "other": lambda: pick(num(int(rng.integers(1, 7))), num(16), num(12), f"{num(2)}.{num(2)}.{num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}th"),
+            }[kind]()
+            parts.append((kind, s))
+        text = f"{prose(3)} {pick('', '', 'tel ', 'card ', 'host ')}"
+        true = []
+        for kind, s in parts:
+            true += [(kind, len(text), len(text) + len(s))] if kind in SIZES else []
+            text += s + " "
+        text += prose(3)
+        found = numbers(text)
+        good = bool(rng.integers(2))
+        found = [s for s in found if (s in true) == good]
+        return (text, pick(*found), good) if found else None
+
     texts, spans, y = [], [], []
     while len(texts) < n:
+        if not rng.integers(3):
+            if made := beside():
+                texts.append(made[0])
+                spans.append(made[1])
+                y.append(made[2])
+            continue
         kind, good = pick(*KINDS), bool(rng.integers(2))
         hint = pick(True, True, False)
         if kind == "phone":
@@ -172,7 +240,7 @@ def examples(n: int, seed: int) -> tuple[list[str], list[Span], np.ndarray]:
 class Selector:
     """The trained trees, the calibration, and a threshold for each kind."""
 
-    def __init__(self, n: int = 3000, precision: float = PRECISION, seed: int = 7):
+    def __init__(self, n: int = 9000, precision: float = PRECISION, seed: int = 7):
         texts, spans, y = examples(n, seed)
         x = np.array([features(t, s) for t, s in zip(texts, spans, strict=True)])
         fit, held = slice(0, n * 2 // 3), slice(n * 2 // 3, n)
@@ -191,7 +259,17 @@ class Selector:
         found = candidates(text)
         if not found:
             return base
-        prob = self._probability(self.model.score(np.array([features(text, s) for s in found])))
+        # Spans that look alike with all their context are scored once, in blocks of bounded size.
+        alike: dict[tuple[str, str, int], int] = {}
+        place, new = np.empty(len(found), np.int64), []
+        for i, (kind, a, b) in enumerate(found):
+            lo = max(0, a - AROUND)
+            key = (kind, text[lo : b + AROUND], (a - lo) << 32 | (b - a))
+            if (at := alike.get(key)) is None:
+                at = alike[key] = len(new)
+                new.append(found[i])
+            place[i] = at
+        prob = np.concatenate([self._probability(self.model.score(np.array([features(text, s) for s in new[i : i + 20_000]]))) for i in range(0, len(new), 20_000)])[place]
         ranked = sorted(((-p, s[1], s[1] - s[2], s) for p, s in zip(prob, found, strict=True) if p >= self.least[KINDS.index(s[0])]), key=lambda r: r[:3])
         kept: list[Span] = []
         taken = sorted((a, b) for _, a, b in base)
