@@ -68,6 +68,35 @@ def test_probabilities_are_those_of_the_definition(spark):
         assert sum(map(p, chars)) + p("\0") == pytest.approx(1, abs=1e-9)
 
 
+def test_ngrams_run_across_words(spark):
+    texts = ["the cat that sat on the mat", "then the thin cat  hid", "a cat\na hat a rat", "catch that bat"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for order in (3, 5):
+        seen, back = quality.tables(df, order=order, across=True)
+        assert "t t"[:order] in seen and {g for g in seen if len(g) == order} == {w[i : i + order] for t in texts for w in [f" {' '.join(t.split())} "] for i in range(len(w) - order + 1)}
+        own = quality.Joined(seen, back, order)
+
+        def plain(text, order=order, seen=seen, back=back):
+            w, v = f" {text} ", 0.0
+            for i in range(1, len(w)):
+                j = max(0, i - order + 1)
+                while j <= i and w[j : i + 1] not in seen:
+                    v += back.get(w[j:i], 0.0)
+                    j += 1
+                v += seen[w[j : i + 1]]
+            return v
+
+        for t in ("the cat sat on a mat", "a", "zebra a z", "cat cat cat cat", "hid thin"):
+            assert own.text(t.split()) == pytest.approx(plain(t), abs=1e-9)
+        assert own.text("cat the that sat".split()) != pytest.approx(own.text("sat cat that the".split()), abs=1e-3)
+
+
+def test_repeated_words_and_junk_are_rejected_more_often(spark):
+    sf = "/root/testdata/sf0.1"
+    got = quality.judged(table(spark, "documents", sf), table(spark, "labels", sf)).join(table(spark, "labels", sf), "doc_id").toPandas()
+    assert got[got.quality == 0].keep.mean() <= 0.18 and got[got.quality == 1].keep.mean() >= 0.995
+
+
 def test_junk_is_rejected_and_trusted_text_kept(spark):
     got = quality.judged(table(spark, "documents"), table(spark, "labels")).join(table(spark, "labels"), "doc_id").toPandas()
     assert got[got.quality == 1].keep.mean() >= 0.995
