@@ -58,6 +58,11 @@ def test_numbers_beside_each_other_are_found():
     assert {text[a:b] for k, a, b in pii.candidates(text) if k == "phone"} == {"+1 (826) 555", "+1 (826) 555-4081", "+1 (826) 555-4081 22", "(826) 555-4081", "(826) 555-4081 22", "555-4081", "555-4081 22"}
 
 
+def test_worded_addresses_in_capitals_are_candidates():
+    for text in ("JOHN (AT) EXAMPLE (DOT) COM", "john [AT] example.com", "JOHN AT EXAMPLE DOT COM"):
+        assert ("email", 0, len(text)) in pii.candidates(text)
+
+
 def test_spans_and_redaction_over_odd_rows(spark):
     found = by_id(pii.find(docs(spark)))
     for i, t in enumerate(ODD_TEXTS):

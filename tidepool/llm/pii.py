@@ -96,7 +96,8 @@ def base_spans(text: str) -> list[Span]:
 def candidates(text: str) -> list[Span]:
     """What may be personal data besides the strict spans; the spans may overlap, and one stretch may be of several kinds."""
     out: list[Span] = []
-    if "at" in text and any(x in text for x in ("(at)", "[at]", "{at}", " dot ", "(dot)", "[dot]", "{dot}")):
+    low = text.lower()
+    if "at" in low and any(x in low for x in ("(at)", "[at]", "{at}", " dot ", "(dot)", "[dot]", "{dot}")):
         out += [("email", *m.span()) for m in WORDED.finditer(text)]
     if DIGIT.search(text):
         if ":" in text:
