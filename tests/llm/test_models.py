@@ -21,19 +21,18 @@ def table(spark, name, sf=SF):
 # Quality.
 
 
-def kneser_ney(words, order):
-    """Interpolated modified Kneser-Ney over characters of words, written plainly."""
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney over characters of running text, written plainly: log10 probability of a text."""
     raw = [Counter() for _ in range(order + 1)]
-    for w, n in words.items():
-        s = f" {w} "
-        for k in range(1, order + 1):
-            for i in range(len(s) - k + 1):
-                raw[k][s[i : i + k]] += n
+    for t in texts:
+        s = "\n" * (order - 1) + " ".join(t.split()) + " "
+        for i in range(order - 1, len(s)):
+            for k in range(1, order + 1):
+                raw[k][s[i - k + 1 : i + 1]] += 1
     use = [Counter() for _ in range(order + 1)]
     for k in range(1, order + 1):
         for g, n in raw[k].items():
-            left = sum(1 for h in raw[k + 1] if h[1:] == g) if k < order else 0
-            use[k][g] = n if k == order or (k > 1 and g[0] == " ") else left or n
+            use[k][g] = n if k == order or g[0] == "\n" else sum(1 for h in raw[k + 1] if h[1:] == g)
     cut = [None] + [quality.discounts(Counter(v for v in use[k].values() if v <= 4)) for k in range(1, order + 1)]
 
     def p(context, char):
@@ -46,55 +45,91 @@ def kneser_ney(words, order):
         total, n = sum(follow.values()), follow.get(context + char, 0)
         return ((n - d(n)) if n else 0) / total + sum(map(d, follow.values())) / total * low
 
-    return lambda w: sum(math.log10(p(f" {w} "[max(0, i - order + 1) : i], f" {w} "[i])) for i in range(1, len(w) + 2))
+    def log10_p(text):
+        s = "\n" * (order - 1) + " ".join(text.split()) + " "
+        return sum(math.log10(p(s[i - order + 1 : i], s[i])) for i in range(order - 1, len(s)))
 
+    return log10_p
 
-def test_probabilities_are_those_of_the_definition(spark):
-    texts = ["the cat that sat on the mat", "then the thin cat hid", "a cat a hat a rat", "catch that bat"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    seen, back = quality.tables(df, order=3)
-    own, plain = quality.Scorer(seen, back, 3), kneser_ney(Counter(" ".join(texts).split()), 3)
-    for w in ("the", "cat", "hatch", "zebra", "t", "thatthat"):
-        assert own[w] == pytest.approx(plain(w), abs=1e-9)
-    chars = [g for g in seen if len(g) == 1]
-    for context in ("", "t", "th", " c"):
-        def p(ch, c=context):
-            v, ctx = 0.0, c
-            while ctx + ch not in seen and ctx:
-                v += back.get(ctx, 0.0)
-                ctx = ctx[1:]
-            return 10 ** (v + (seen[ctx + ch] if ctx + ch in seen else back[""] + seen[""]))
-
-        assert sum(map(p, chars)) + p("\0") == pytest.approx(1, abs=1e-9)
-
-
-def test_ngrams_run_across_words(spark):
-    texts = ["the cat that sat on the mat", "then the thin cat  hid", "a cat\na hat a rat", "catch that bat"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for order in (3, 5):
-        seen, back = quality.tables(df, order=order, across=True)
-        assert "t t"[:order] in seen and {g for g in seen if len(g) == order} == {w[i : i + order] for t in texts for w in [f" {' '.join(t.split())} "] for i in range(len(w) - order + 1)}
-        own = quality.Joined(seen, back, order)
 
-        def plain(text, order=order, seen=seen, back=back):
-            w, v = f" {text} ", 0.0
-            for i in range(1, len(w)):
-                j = max(0, i - order + 1)
-                while j <= i and w[j : i + 1] not in seen:
-                    v += back.get(w[j:i], 0.0)
-                    j += 1
-                v += seen[w[j : i + 1]]
-            return v
+TRAINING = ["the cat that sat on the mat", "then the thin cat  hid", "a cat\na hat a rat", "catch that bat"]
+
 
-        for t in ("the cat sat on a mat", "a", "zebra a z", "cat cat cat cat", "hid thin"):
-            assert own.text(t.split()) == pytest.approx(plain(t), abs=1e-9)
-        assert own.text("cat the that sat".split()) != pytest.approx(own.text("sat cat that the".split()), abs=1e-3)
+def test_probabilities_are_those_of_the_definition(spark):
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(TRAINING)], "fold int, text string")
+    for order in (3, 5):
+        for f, model in enumerate(quality.tables(df, order=order)):
+            own, plain = quality.Scorer(*model, order), kneser_ney(TRAINING[f::2], order)
+            tried = ["the cat sat on a mat", "a", "zebra a z", "cat cat cat cat", "hid\n thin", "thatthat"]
+            n, p = own.texts(["", *tried, " \n"])
+            assert n.tolist() == [0, *(len(" ".join(t.split())) + 1 for t in tried), 0] and p[0] == p[-1] == 0
+            assert p[1:-1] == pytest.approx([plain(t) for t in tried], abs=1e-9)
+            words, shuffled = own.texts(["cat the that sat", "sat cat that the"])[1]
+            assert words != pytest.approx(shuffled, abs=1e-3)
+            seen, back = model
+            chars = [g for g in seen if len(g) == 1]
+            for context in ("", "t", "th", " c"):
+                def p_of(ch, c=context):
+                    v, ctx = 0.0, c
+                    while ctx + ch not in seen and ctx:
+                        v += back.get(ctx, 0.0)
+                        ctx = ctx[1:]
+                    return 10 ** (v + (seen[ctx + ch] if ctx + ch in seen else back[""] + seen[""]))
+
+                assert sum(map(p_of, chars)) + p_of("\0") == pytest.approx(1, abs=1e-9)
+
+
+def test_texts_longer_than_a_stretch_are_scored_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(0, t) for t in TRAINING], "fold int, text string")
+    own, text = quality.Scorer(*quality.tables(df)[0]), "the cat hat then that zebra " * 50
+    whole = own.texts([text, "a rat", text])
+    monkeypatch.setattr(quality, "STRETCH", 37)
+    cut = own.texts([text, "a rat", text])
+    assert cut[0].tolist() == whole[0].tolist() and cut[1] == pytest.approx(whole[1], abs=1e-9)
+
+
+def test_perplexities_thresholds_and_decisions_are_those_of_a_plain_version(spark, monkeypatch):
+    """With few labels: each fold's model, the other fold's scores, quantiles by language and band, decisions, all written plainly."""
+    monkeypatch.setattr(quality, "LEAST", 12)
+    monkeypatch.setattr(quality, "BANDS", (40, 80))
+    rng = np.random.default_rng(3)
+    say = lambda words, n: " ".join(rng.choice(words, n))
+    en, de = ["the", "cat", "sat", "on", "that", "mat"], ["der", "hund", "lag", "auf", "dem", "bett"]
+    rows = [(i, say(en if i % 3 else de, int(rng.integers(1, 30))), "en" if i % 3 else "de") for i in range(90)]
+    rows += [(100 + i, "zq xj " * (i + 1), "en") for i in range(10)] + [(200, None, "en"), (201, "cat", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    folds = {r["doc_id"]: r["f"] for r in df.select("doc_id", quality.fold().alias("f")).collect()}
+    models = [kneser_ney([t for i, t, _ in rows if i < 60 and folds[i] == f], quality.ORDER) for f in (0, 1)]
+    known = {(f, t): models[f](t) for f, t in {(1 - folds[i], t) for i, t, _ in rows if t}}
+    size = lambda t: len(" ".join(t.split())) + 1
+    band = lambda t: sum(size(t) >= n for n in (40, 80))
+    value = {i: 10 ** (-known[1 - folds[i], t] / size(t)) for i, t, _ in rows if t}
+    good = [(i, t, lang, round(math.log10(value[i]) * 1000)) for i, t, lang in rows if i < 60]
+
+    def limits(bins):
+        at = lambda q: min(b for b in bins if sum(x <= b for x in bins) >= q * len(bins))
+        return 10 ** (at(quality.LOW) / 1000) / quality.MARGIN, 10 ** (at(quality.HIGH) / 1000) * quality.MARGIN
+
+    got = by_id(quality.judged(df, labels))
+    assert len(got) == len(rows) and got[200]["perplexity"] is None and got[200]["keep"]
+    used = Counter()
+    for i, t, lang in rows:
+        if not t:
+            continue
+        choices = [[x[3] for x in good if x[2] == lang and band(x[1]) == band(t)], [x[3] for x in good if band(x[1]) == band(t)], [x[3] for x in good]]
+        n = next(n for n, c in enumerate(choices) if len(c) >= 12 and (n or lang))
+        used[n] += 1
+        low, high = limits(choices[n])
+        assert (got[i]["perplexity"], got[i]["low"], got[i]["high"]) == pytest.approx((value[i], low, high), rel=1e-9)
+        assert got[i]["keep"] == (low <= value[i] <= high)
+    assert used[0] and used[1] and sum(not r["keep"] for r in got.values()) >= 8
 
 
 def test_repeated_words_and_junk_are_rejected_more_often(spark):
     sf = "/root/testdata/sf0.1"
     got = quality.judged(table(spark, "documents", sf), table(spark, "labels", sf)).join(table(spark, "labels", sf), "doc_id").toPandas()
-    assert got[got.quality == 0].keep.mean() <= 0.18 and got[got.quality == 1].keep.mean() >= 0.995
+    assert got[got.quality == 0].keep.mean() <= 0.08 and got[got.quality == 1].keep.mean() >= 0.995
 
 
 def test_junk_is_rejected_and_trusted_text_kept(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storing import forget, shared_dir, stored
 
-__all__ = ["BLOCK_CHARS", "HashOf", "batch_of", "forget", "lean", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
+__all__ = ["BLOCK_CHARS", "HashOf", "Places", "batch_of", "forget", "lean", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
 
 #: Characters of text that one Arrow batch of results covers at most (one whole text at least).
 BLOCK_CHARS = 4_000_000
@@ -106,3 +106,44 @@ class HashOf(dict):
 
     def array(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class Places:
+    """Where each of many distinct 64-bit keys stands, looked up array by array: a table with open addressing, a third full at most."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = self._no_zero(keys)
+        bits = max(4, int(3 * len(keys)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self._key, self._at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(left):
+            free = self._at[slot] < 0
+            self._at[slot[free]] = left[free]
+            placed = self._at[slot] == left
+            self._key[slot[placed]] = keys[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & self._mask
+
+    @staticmethod
+    def _no_zero(keys: np.ndarray) -> np.ndarray:
+        return np.where(keys == 0, np.uint64(1), keys)  # 0 marks free slots
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place in the array that the table was made of, -1 for others."""
+        keys = self._no_zero(keys)
+        slot = self._home(keys)
+        got = self._key[slot]
+        out = np.where(got == keys, self._at[slot], np.int32(-1))
+        open_ = np.flatnonzero((got != keys) & (got != 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & self._mask
+            got = self._key[slot]
+            hit = got == keys[open_]
+            out[open_[hit]] = self._at[slot[hit]]
+            on = ~hit & (got != 0)
+            open_, slot = open_[on], slot[on]
+        return out
