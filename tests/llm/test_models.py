@@ -208,7 +208,7 @@ def brute(texts, ids):
 @pytest.mark.parametrize("frequent", [200_000, 20])
 def test_base_scores_against_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(lm_scores, "FREQUENT", frequent)
-    monkeypatch.setattr(lm_scores, "UPDATES", 5)
+    monkeypatch.setattr(lm_scores, "START_MET", 5_000)
     texts = ODD_TEXTS + ["A b\x0bC d", "ÀB àb", "the same words the same words"] * 4
     df = docs(spark, texts)
     rows = df.select("doc_id", "text").collect()
@@ -226,38 +226,76 @@ def test_scores_of_an_empty_table(spark):
     assert lm_scores.lm_scores(docs(spark).limit(0)).count() == 0
 
 
+def plain_states(net, inputs):
+    """The network's states one by one, written plainly."""
+    p, k, h, out = {n: v.astype(float) for n, v in net.p.items()}, net.hidden, np.zeros(net.hidden), []
+    for i in inputs:
+        a, u = p["x"][i] + p["b"], h @ p["u"]
+        r, z = (1 / (1 + np.exp(-(a[j : j + k] + u[j + k : j + 2 * k]))) for j in (0, k))
+        new = np.tanh(a[2 * k :] + r * u[:k])
+        h = (1 - z) * new + z * h
+        out.append(h)
+    return out
+
+
+def plain_log_p(net, h, token):
+    p = {n: v.astype(float) for n, v in net.p.items()}
+    c, i = divmod(int(token), net.width)
+    share = lambda x, j: x[j] - math.log(sum(math.exp(v) for v in x))
+    return share(h @ p["wc"] + p["bc"], c) + share(h @ p["wt"][c] + p["bt"][c], i)
+
+
+def test_scores_are_those_of_a_plain_network(spark, monkeypatch):
+    """The sum over a document's tokens of the plain network's probabilities; other words times their share of what the vocabulary leaves."""
+    for name, value in (("CLASSES", 4), ("WIDTH", 4), ("VOCABULARY", 15), ("START_MET", 4_000)):
+        monkeypatch.setattr(lm_scores, name, value)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(40)], int(rng.integers(0, 60)), p=np.arange(40, 0, -1) / 820)) for _ in range(60)] + [None, "new words only", "w1 " * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = []
+    train = lm_scores.train
+    monkeypatch.setattr(lm_scores, "train", lambda *a: models.append(train(*a)) or models[0])
+    got = by_id(lm_scores.lm_scores(df))
+    net = models[0].network
+    toks = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    c = Counter(w for i, t in enumerate(toks) if not lm_scores.is_held_out(i) for w in t)
+    n, v = sum(c.values()), len(c)
+    hashes = lm_scores.HashOf()
+    key = lambda w: int(hashes.array([w]).view(np.int64)[0])
+    ranked = sorted((w for w in c if w), key=lambda w: (-c[w], key(w)))
+    top = sorted([b"", *ranked[: 14]], key=lambda w: -c[w])
+    left = n + v + 1 - sum(c[w] + 1 for w in top)
+    assert len(top) == 15 and models[0].trained == n
+    for i, t in enumerate(toks):
+        ids = [top.index(w) if w in top else 15 for w in t]
+        expect = sum(plain_log_p(net, h, x) for h, x in zip(plain_states(net, [net.start, *ids[:-1]]), ids, strict=True)) / math.log(10)
+        expect += sum(math.log10((c[w] + 1) / left) for w in t if w not in top)
+        assert got[i]["score"] == pytest.approx(expect, rel=1e-4), i
+
+
 def test_gradients_are_those_of_differences():
     net = Recurrent(3, 4, 5, np.ones(12))
     rng = np.random.default_rng(0)
-    net.p = {k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in net.p.items()}
-    tokens, before = rng.integers(0, 12, (4, 3)), rng.integers(0, 12, (4, 3))
-    before[0] = net.start
-    seen = {}
-    start = {k: v.copy() for k, v in net.p.items()}
-    net.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    net.window(tokens, before, np.zeros((3, 5)), 0.0)
-    seen = {k: m[0] / 0.1 for k, m in net.moments.items()}  # gradients, clipped to norm 1
-
-    def loss():
-        docs_ = [tokens[:, j] for j in range(3)]
-        return -sum(x.sum() for x in net.score(docs_)) / 12 if (before[1:] == tokens[:-1]).all() else None
-
-    before[1:] = tokens[:-1]
-    net.p = {k: v.copy() for k, v in start.items()}
-    net.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    net.window(tokens, before, np.zeros((3, 5)), 0.0)
-    seen = {k: m[0] / 0.1 for k, m in net.moments.items()}
-    net.p = {k: v.copy() for k, v in start.items()}
-    numeric = {}
-    for k in ("u", "b", "wc", "wt", "bt", "x"):
-        i = np.unravel_index(np.abs(seen[k]).argmax(), seen[k].shape)
-        net.p[k][i] += 1e-5
-        up = loss()
-        net.p[k][i] -= 2e-5
-        numeric[k] = (up - loss()) / 2e-5
-        net.p[k][i] += 1e-5
-    ratios = [numeric[k] / seen[k][np.unravel_index(np.abs(seen[k]).argmax(), seen[k].shape)] for k in numeric]
-    assert np.allclose(ratios, ratios[0], rtol=1e-3) and ratios[0] > 0
+    net.put(net.flat + 0.3 * rng.standard_normal(net.flat.shape), np.float64)
+    tokens = rng.integers(0, 12, (6, 4))
+    before = np.vstack([np.full((1, 4), net.start), tokens[:-1]])
+    before[3, 1] = net.start  # a document begins inside the window
+    h, start = rng.standard_normal((5, 4)), net.flat.copy()
+    loss, g, _ = net.gradients(tokens, before, h)
+    numeric = np.empty_like(g)
+    for i in range(len(g)):
+        ends = []
+        for way in (1e-5, -1e-5):
+            moved = start.copy()
+            moved[i] += way
+            net.put(moved, np.float64)
+            ends.append(net.gradients(tokens, before, h)[0])
+        numeric[i] = (ends[0] - ends[1]) / 2e-5
+    assert np.abs(g).max() > 0.05 and np.allclose(g, numeric, atol=1e-8)
+    # The loss is that of scoring, where states start anew with each document.
+    net.put(start, np.float64)
+    docs_ = [tokens[:3, 1], tokens[3:, 1], *(tokens[:, j] for j in (0, 2, 3))]
+    assert loss == pytest.approx(-sum(x.sum() for x in net.score(docs_)) / 24, abs=1e-9)
 
 
 def test_probabilities_sum_to_one_and_windows_do_not_matter():
@@ -271,11 +309,11 @@ def test_probabilities_sum_to_one_and_windows_do_not_matter():
 
 
 def test_the_network_is_trained_on_every_token_of_the_training_side(spark, monkeypatch):
-    monkeypatch.setattr(lm_scores, "TRAIN_DOCS", 1)
-    monkeypatch.setattr(lm_scores, "UPDATES", 1)
+    monkeypatch.setattr(lm_scores, "START_TOKENS", 100)
+    monkeypatch.setattr(lm_scores, "START_MET", 100)
     monkeypatch.setattr(lm_scores, "SHARD_TOKENS", 2_000)
     df = docs(spark, ["one two three four five six"] * 2_000, repeat=False).select("doc_id", "text")
-    side = df.where(~lm_scores.held_out())
+    side = lm_scores.hashed_docs(df).where("not held")
     counts = lm_scores.token_counts(side)
     one, two = (lm_scores.train(d, counts) for d in (side.coalesce(1), side.repartition(7)))
     assert one.trained == two.trained == one.n == side.count() * 7

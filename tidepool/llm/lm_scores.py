@@ -3,9 +3,11 @@
 Tokens are the words of a text (runs without ASCII white space, A-Z in lower case) and one end. Documents whose crc32(doc_id) mod 7
 is not 2 are the training side; over all of it a grouped aggregation counts every token (c), their sum N and the distinct ones V.
 
+Texts are read once: their tokens' hashes are stored, and counting, training and scoring read those.
+
 The network (`recurrent`) predicts each token from the state that it carries through the whole document: a class, then a token of the
-class. Its vocabulary is the VOCABULARY most frequent tokens, among them the end, and a token for all other words. It is trained by truncated
-backpropagation: first on the driver on about TRAIN_DOCS documents, from which weights all start, then by tasks on every document of the
+class. Its vocabulary is the VOCABULARY most frequent tokens (ties: by hash), among them the end, and a token for all other words. It is trained by truncated
+backpropagation: first on the driver on a sample of about START_TOKENS tokens, from which weights all start, then by tasks on every document of the
 training side once, in ROUNDS. A round's documents are dealt by hash into shards of about SHARD_TOKENS; each shard is trained from the
 round's first weights, and the shards' weights are averaged, by tokens. Shards, and so updates, grow with the corpus. A word
 outside the vocabulary has the probability of "other" times its share (c + 1) of what the vocabulary leaves of N + V + 1, so
@@ -15,7 +17,7 @@ Counts reach documents in two ways, both exact. Tokens with c > N / FREQUENT are
 are sent to the tasks; all rarer ones are joined by hash, one row for each document and distinct rare word, spread evenly since
 none of them is frequent. Words are known by a 64-bit hash.
 
-Null texts count as empty ones (one token, the end). A null id counts as the empty string in the crc (training side). Repeated rows each
+Very long texts are scored whole, their state carried on. Null texts count as empty ones (one token, the end). A null id counts as the empty string in the crc (training side). Repeated rows each
 give a row and count each time. An empty table gives an empty one. Columns other than doc_id and text are ignored.
 """
 
@@ -25,26 +27,28 @@ import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common
-from ._common import HashOf, batch_of, forget, lean, stored, table, text_blocks
+from ._common import HashOf, Places, batch_of, forget, lean, stored, table, text_blocks
 from .recurrent import Recurrent
 
 CLASSES, WIDTH, HIDDEN = 32, 32, 24
 VOCABULARY = CLASSES * WIDTH - 1
-#: Documents that the first weights are trained on, about; tokens sent to the tasks at most.
-TRAIN_DOCS, FREQUENT = 800, 200_000
-UPDATES = 400
+#: Tokens of the sample that the first weights are trained on, about, and how many are met in that; tokens sent to the tasks at most.
+START_TOKENS, START_MET, FREQUENT = 300_000, 600_000, 200_000
+START_RATES = (0.01, 0.0005)
 #: Rounds over parts of the training side, after each of which weights are averaged; tokens of a shard, about; a round's rates, from first to last.
 ROUNDS, SHARD_TOKENS = 2, 500_000
 RATES = ((0.004, 0.002), (0.002, 0.0002))
-#: Weights that are averaged together.
-BLOCK = 4096
+#: Documents that a shard trains side by side; weights that are averaged together; tokens that are counted at a time.
+LANES, BLOCK, COUNTED = 128, 4096, 4_000_000
 #: The end's hash is that of the empty word, which no text holds.
 END = b""
 FOLDS, HELD = 7, 2
@@ -58,38 +62,55 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def held_out() -> Column:
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
-
-
 def hashed(text: str, hashes: HashOf) -> np.ndarray:
     """Hashes of the text's tokens, the end included."""
     return hashes.array([*words(text), END]).view(np.int64)
 
 
+def hashed_docs(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, held (whether it is held out), mix (a hash of id and text) and tokens (64-bit hashes) of each row."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("mix", pa.int64()), ("tokens", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hashes, row = HashOf(), TaskContext.get().partitionId() << 36
+        for part, texts in text_blocks(batches):
+            rows = row + np.arange(len(texts), dtype=np.int64)
+            row += len(texts)
+            yield batch_of(schema, rows, part.column(0), [is_held_out(i) for i in part.column(0).to_pylist()], part.column(1), [hashed(t, hashes).tobytes() for t in texts])
+
+    # By id and text, so that neither null ids nor copies are dealt alike.
+    given = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(11)).alias("mix"), "text")
+    return stored(given.mapInArrow(lean(run), "row bigint, doc_id bigint, held boolean, mix bigint, tokens binary"), "lm-words")
+
+
+def _arrays(column: pa.Array, kind: type = np.int64) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
 def token_counts(train: DataFrame) -> DataFrame:
-    """h (the token's hash) and c, over all of `train`."""
+    """h (the token's hash) and c, over all of `train` (rows of `hashed_docs`)."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        hashes = HashOf()
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            made = batch_of(schema, pa.array(np.fromiter((hashes._hash(w) for w in seen), np.uint64, len(seen)).view(np.int64)), list(seen.values()))
-            seen.clear()
+            made = batch_of(schema, *np.unique(np.concatenate(held), return_counts=True))
+            held.clear()
             return made
 
-        for _, texts in text_blocks(batches):
-            for t in texts:
-                seen.update(words(t))
-            seen[END] += len(texts)
-            if len(seen) > 600_000:
+        for batch in batches:
+            held += _arrays(batch.column(0))
+            size += sum(len(x) for x in held[-batch.num_rows :]) if batch.num_rows else 0
+            if size > COUNTED:
                 yield out()
-        if seen:
+                size = 0
+        if held:
             yield out()
 
-    return train.select("text").mapInArrow(lean(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
+    return train.select("tokens").mapInArrow(lean(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
 
 
 class Model:
@@ -97,89 +118,72 @@ class Model:
 
     def __init__(self, n: int, v: int, h: np.ndarray, c: np.ndarray, end: int):
         order = np.lexsort((h, -c))
-        pick = order[: VOCABULARY - 1]
+        pick = order[:VOCABULARY]
         if end not in h[pick]:  # the end is always a token of its own
-            pick = pick[: VOCABULARY - 2]
+            pick = pick[: VOCABULARY - 1]
         ends = h[pick] == end
         vocabulary = np.concatenate([h[pick[~ends]], [end]])
         kept = np.concatenate([c[pick[~ends]], [c[pick[ends]].sum()]])
         rank = np.argsort(-kept, kind="stable")
         vocabulary, kept = vocabulary[rank], kept[rank]
         self.other = len(vocabulary)  # the id of all other words
-        by_hash = np.argsort(vocabulary)
-        self.vocabulary, self.ids = vocabulary[by_hash], by_hash
         counts = np.zeros(CLASSES * WIDTH)
         counts[: len(kept)] = kept
         counts[self.other] = max(0, n - kept.sum())
         self.left = float(n + v + 1 - (kept + 1).sum() + (0 if ends.any() else 1))  # what the vocabulary leaves of N + V + 1
         self.left = max(self.left, 1.0)
-        by = np.argsort(h)
-        self.h, self.c = h[by], c[by]
+        # The vocabulary's tokens are among those that are sent; the end is added where it is not.
+        self.h, self.c = (h, c) if end in h else (np.append(h, end), np.append(c, 0))
+        self.known = len(h)
         self.n, self.v = n, v
         self.network = Recurrent(CLASSES, WIDTH, HIDDEN, counts)
+        ids = dict(zip(vocabulary.tolist(), range(len(vocabulary)), strict=True))
+        self.ids = np.array([ids.get(x, self.other) for x in self.h.tolist()] + [self.other], np.int64)
+
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.h.view(np.uint64))
 
-    def tokens(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, self.ids[at], self.other)
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "places"}
 
-    def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the tokens, and whether they are among the frequent ones (else the count is not known here)."""
-        if not len(self.h):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        found = self.h[at] == h
-        return np.where(found, self.c[at], 0), found
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and counts of the tokens, and whether the counts are known here (else the token is none of the frequent ones)."""
+        at = self.places.find(h.view(np.uint64))
+        found = (at >= 0) & (at < self.known)
+        return self.ids[at], np.where(found, np.append(self.c, 0)[at], 0), found
 
 
 def train(docs: DataFrame, counts: DataFrame) -> Model:
-    """`docs` is the training side, `counts` its tokens' counts."""
+    """`docs` is the training side (rows of `hashed_docs`), `counts` its tokens' counts."""
     end = int(HashOf().array([END]).view(np.int64)[0])
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("h") == end, F.col("c"))), F.lit(0)).alias("docs")).first()
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     rows = counts.where(F.col("c") * FREQUENT > size["n"]).collect()  # fewer than FREQUENT, since their counts sum up to N at most
     model = Model(size["n"], size["v"], np.array([r["h"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64), end)
-    share = min(1.0, TRAIN_DOCS / max(1, size["docs"]))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < int((1 << 30) * share))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = HashOf()
-        for _, texts in text_blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([hashed(t, hashes) for t in texts], pa.list_(pa.int64()))], names=["tokens"])
-
-    sample = chosen.select("doc_id", "text").mapInArrow(lean(run), "tokens array<bigint>").collect()
-    model.network.fit(_mixed(model, sample), updates=UPDATES)
+    # A text longer than the whole sample is left to the rounds, which meet every document; so the sample is bounded whatever the texts are.
+    share = min(1.0, START_TOKENS / max(1, size["n"]))
+    chosen = docs.where((F.pmod(F.xxhash64("mix", F.lit(10)), F.lit(1 << 30)) < int((1 << 30) * share)) & (F.octet_length("tokens") <= 8 * START_TOKENS))
+    sample = [model.look_up(np.frombuffer(r["tokens"], np.int64))[0].astype(np.uint16) for r in chosen.select("tokens").toLocalIterator()]
+    # In an order that does not depend on how the rows came.
+    model.network.fit(sorted(sample, key=lambda d: (zlib.crc32(d.tobytes()), d.tobytes())), START_MET, START_RATES)
     model.trained = train_all(docs, model)
     return model
 
 
-class Ids(dict):
-    """Word to token, remembered for the words met lately."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self._known = dict(zip(model.vocabulary.view(np.uint64).tolist(), model.ids.tolist(), strict=True))
-        self._hash, self._other = HashOf()._hash, model.other
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
-            self.clear()
-        v = self[word] = self._known.get(self._hash(word), self._other)
-        return v
-
-
 def train_all(docs: DataFrame, model: Model) -> int:
     """Trains the model's network on every document of `docs`; the number of tokens that it was trained on."""
     shards = max(1, -(-model.n // (ROUNDS * SHARD_TOKENS)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(sent.value)
-        for part, texts in text_blocks(batches):
-            made = [np.fromiter(map(ids.__getitem__, [*words(t), END]), np.uint16).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["key", "tokens"])
+        for batch in batches:
+            each = _arrays(batch.column(1))
+            flat = sent.value.look_up(np.concatenate(each))[0].astype(np.uint16) if each else np.zeros(0, np.uint16)
+            cuts = np.cumsum([0, *map(len, each)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in pairwise(cuts)], pa.binary())], names=["key", "tokens"])
 
-    # By id and text, so that neither null ids nor copies meet in one shard.
-    key = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(ROUNDS * shards)).cast("int").alias("key")
-    dealt = stored(docs.select(key, "text").mapInArrow(lean(tokens), "key int, tokens binary"), "lm-tokens")
+    key = F.pmod("mix", F.lit(ROUNDS * shards)).cast("int").alias("key")
+    dealt = stored(docs.select(key, "tokens").mapInArrow(lean(tokens), "key int, tokens binary"), "lm-tokens")
     total = 0
     for i in range(ROUNDS):
         total += _round(dealt.where(F.col("key") % ROUNDS == i).select((F.col("key") / ROUNDS).cast("int").alias("shard"), "tokens"), shards, model.network, RATES[i])
@@ -203,7 +207,7 @@ def _round(dealt: DataFrame, shards: int, network: Recurrent, rates: tuple[float
             part = [np.frombuffer(x, np.uint16) for x in sorted(held.pop(shard), key=lambda x: (zlib.crc32(x), x))]
             if shard not in nets:
                 nets[shard] = copy.deepcopy(sent.value)
-            nets[shard].follow(part, rates)
+            nets[shard].follow(part, rates, LANES)
             seen[shard] += size.pop(shard)
 
         for batch in batches:
@@ -215,7 +219,7 @@ def _round(dealt: DataFrame, shards: int, network: Recurrent, rates: tuple[float
         for shard in sorted(held):
             follow(shard)
         for shard, net in nets.items():
-            flat = net.flat()
+            flat = net.flat
             cut = [flat[j : j + BLOCK].tobytes() for j in range(0, len(flat), BLOCK)]
             yield batch_of(schema, list(range(len(cut))), [shard] * len(cut), [seen[shard]] * len(cut), cut)
 
@@ -238,51 +242,41 @@ def _round(dealt: DataFrame, shards: int, network: Recurrent, rates: tuple[float
     return rows[0]["n"]
 
 
-def _mixed(model: Model, sample: list) -> list[np.ndarray]:
-    """The sample's documents in an order that does not depend on how the rows came."""
-    docs = [model.tokens(np.array(r["tokens"], np.int64)) for r in sample]
-    return sorted(docs, key=lambda d: zlib.crc32(d.tobytes()))
-
-
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """A row for each row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """A row for each row of `docs` (rows of `hashed_docs`): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     head = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_other", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
     schema = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("head", head)])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m, hashes, row = sent.value, HashOf(), TaskContext.get().partitionId() << 36
-        for part, texts in text_blocks(batches):
-            each = [hashed(t, hashes) for t in texts]
-            flat = np.concatenate(each)
-            sizes = np.array([len(x) for x in each])
+        m = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, ids, held = (batch.column(i).to_numpy(zero_copy_only=False) if i == 0 else batch.column(i) for i in range(3))
+            each = _arrays(batch.column(3))
+            flat, sizes = np.concatenate(each), np.array([len(x) for x in each])
             doc = np.repeat(np.arange(len(each)), sizes)
-            c, found = m.frequent(flat)
-            token = m.tokens(flat)
+            token, c, found = m.look_up(flat)
             logs = np.where(found, np.log10(c + 1.0), 0.0)
             other = token == m.other
-            cuts = np.cumsum(sizes)[:-1]
-            lm = np.array([x.sum() for x in m.network.score(np.split(token, cuts))]) / np.log(10)
+            lm = np.array([x.sum() for x in m.network.score(np.split(token, np.cumsum(sizes)[:-1]))]) / np.log(10)
             total = lambda x: np.bincount(doc, x, len(each))
-            heads = {"base": total(logs), "score": lm + total(np.where(other, logs, 0.0)), "n_known": total(found).astype(np.int64), "n_other": total(other).astype(np.int64)}
-            ids = part.column(0)
-            rows = row + np.arange(len(each), dtype=np.int64)
-            row += len(each)
-            made = pa.StructArray.from_arrays([ids, pa.array([is_held_out(i) for i in ids.to_pylist()]), pa.array(sizes.astype(np.int64)), pa.array(heads["n_known"]), pa.array(heads["n_other"]), pa.array(heads["base"]), pa.array(heads["score"])], fields=list(head))
+            made = [ids, held, sizes.astype(np.int64), total(found).astype(np.int64), total(other).astype(np.int64), total(logs), lm + total(np.where(other, logs, 0.0))]
+            heads = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], fields=list(head))
             # The document's own row goes to the join with a key of its own, so that such rows are spread as the others are.
-            spread_ = _common.mix64(rows.astype(np.uint64)).view(np.int64)
-            yield batch_of(schema, pa.array(spread_), pa.array(rows), pa.array(np.zeros(len(each), np.int32)), made)
+            yield batch_of(schema, _common.mix64(rows.astype(np.uint64)).view(np.int64), rows, np.zeros(len(each), np.int32), heads)
             rare = np.flatnonzero(~found)
             if len(rare):
-                order = rare[np.lexsort((flat[rare], doc[rare]))]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(flat[order]) != 0)]))
-                times = np.diff(np.append(new, len(order))).astype(np.int32)
-                yield batch_of(schema, pa.array(flat[order[new]]), pa.array(rows[doc[order[new]]]), pa.array(times), pa.nulls(len(new), head))
+                rare = rare[np.argsort(flat[rare], kind="stable")]  # equal words of a document come together
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[rare]) != 0) | (np.diff(flat[rare]) != 0)]))
+                times = np.diff(np.append(new, len(rare))).astype(np.int32)
+                word = rare[new]
+                by = np.argsort(doc[word].astype(np.uint16 if len(each) < 65_536 else np.int64), kind="stable")
+                yield batch_of(schema, flat[word[by]], rows[doc[word[by]]], times[by], pa.nulls(len(word), head))
 
     ddl = "h bigint, row bigint, n int, head struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,n_other:bigint,base:double,score:double>"
-    parts = docs.mapInArrow(lean(run), ddl).join(counts, "h", "left")
+    parts = docs.select("row", "doc_id", "held", "tokens").mapInArrow(lean(run), ddl).join(counts, "h", "left")
     word = F.when(F.col("head").isNull(), F.col("n"))
     summed = parts.groupBy("row").agg(F.first("head", ignorenulls=True).alias("head"), F.sum(word * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), word)).alias("known"))
     rare = F.coalesce("rare", F.lit(0.0))
@@ -294,8 +288,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    given = _common.spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    side = given.where(~held_out())
+    given = hashed_docs(_common.spread(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))))
+    side = given.where("not held")
     counts = stored(token_counts(side), "token-counts")
     return score(given, train(side, counts), counts)
 

@@ -6,141 +6,217 @@ import numpy as np
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+    """In place; row by row."""
+    np.exp(np.minimum(x, 60, out=x), out=x)
+    x /= x @ np.ones((x.shape[1], 1), x.dtype)
+    return x
 
 
 class Recurrent:
     """Tokens 0 to classes * width - 1; class c has tokens c * width to (c + 1) * width - 1. Inputs: the token before, `start` at first.
 
-    P(token | h) = P(class | h) P(token | class, h); h is a gated recurrent unit's state."""
+    P(token | h) = P(class | h) P(token | class, h); h is a gated recurrent unit's state. Columns of `x` and `b` are those of the reset gate, the
+    update gate and the new state; columns of `u` those of the new state, the reset gate and the update gate."""
 
     def __init__(self, classes: int, width: int, hidden: int, counts: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.classes, self.width, self.hidden = classes, width, hidden
         n = classes * width
         self.start = n
-        scale = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
+        scale = lambda *s: rng.standard_normal(s) * 0.1
         share = np.log((counts + 0.5) / (counts.sum() + 0.5 * n)).reshape(classes, width)
         top = np.log(np.exp(share).sum(1))
-        self.p = {
-            "x": scale(n + 1, 3 * hidden), "u": scale(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32),
-            "wc": scale(hidden, classes), "bc": top.astype(np.float32),
-            "wt": scale(classes, hidden, width), "bt": (share - top[:, None]).astype(np.float32),
+        made = {
+            "x": scale(n + 1, 3 * hidden), "u": scale(hidden, 3 * hidden), "b": np.zeros(3 * hidden),
+            "wc": scale(hidden, classes), "bc": top, "wt": scale(classes, hidden, width), "bt": share - top[:, None],
         }
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        self.steps = 0
-
-    def step(self, token: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The state after a token."""
-        k, p = self.hidden, self.p
-        x, u = p["x"][token], h @ p["u"]
-        gates = x[:, : 2 * k] + u[:, : 2 * k] + p["b"][: 2 * k]
-        gates = 0.5 * np.tanh(0.5 * gates) + 0.5
-        new = np.tanh(x[:, 2 * k :] + gates[:, :k] * u[:, 2 * k :] + p["b"][2 * k :])
-        return new + gates[:, k:] * (h - new)
+        self.shapes = {k: v.shape for k, v in made.items()}
+        self.put(np.concatenate([v.ravel() for v in made.values()]))
+        self.restart()
+
+    def put(self, flat: np.ndarray, kind: type = np.float32) -> None:
+        """Takes all weights from one row."""
+        self.flat = flat.astype(kind)
+        self.p = self._views(self.flat)
+
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, shape in self.shapes.items():
+            size = int(np.prod(shape))
+            out[k] = flat[at : at + size].reshape(shape)
+            at += size
+        return out
+
+    def __getstate__(self) -> dict:
+        """Weights alone; moments are those of a course of training."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("p", "moments")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.put(self.flat, self.flat.dtype.type)
+        self.restart()
+
+    def restart(self) -> None:
+        """Forgets the moments of the updates so far."""
+        self.moments, self.steps = (np.zeros_like(self.flat), np.zeros_like(self.flat)), 0
+
+    def _halved(self) -> tuple[np.ndarray, np.ndarray]:
+        """`x` with `b`, and `u` by columns; both with the gates' parts halved, since a gate is (1 + tanh(a / 2)) / 2."""
+        k = self.hidden
+        x, u = self.p["x"] + self.p["b"], np.ascontiguousarray(self.p["u"].T)
+        x[:, : 2 * k] *= 0.5
+        u[k:] *= 0.5
+        return x, u
+
+    def step(self, a: np.ndarray, h: np.ndarray, un: np.ndarray, out: np.ndarray) -> None:
+        """Puts into `out` the state after inputs whose rows of `_halved` are the columns of `a`, from the states `h`, where un is u h. Lanes are
+        columns, so that each gate is one stretch of memory. `a` becomes the gates and the new state; `out` is used on the way."""
+        k = self.hidden
+        gates, new = a[: 2 * k], a[2 * k :]
+        gates += un[k:]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(gates[:k], un[:k], out=out)
+        new += out
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= gates[k:]
+        out += new
+
+    def _by_class(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, the order that brings tokens of a class together, and where each class begins in it."""
+        cls = (tokens // self.width).astype(np.uint8 if self.classes < 256 else np.int64)
+        order = np.argsort(cls, kind="stable")
+        return cls, order, np.searchsorted(cls[order], np.arange(self.classes + 1))
 
     def log_p(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log of P(token | h), row by row; tokens of a class are taken together."""
         out = np.empty(len(token), np.float64)
-        cls = (token // self.width).astype(np.uint8 if self.classes < 256 else np.int64)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for a in range(0, len(token), 65_536):
+            out[a : a + 65_536] = self._log_p(h[a : a + 65_536], token[a : a + 65_536])
+        return out
+
+    def _log_p(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
+        p = self.p
+        cls, order, cuts = self._by_class(token)
+        hs, cls, y = h[order], cls[order], token[order]
+        top = hs @ p["wc"] + p["bc"]
+        _softmax(top)
+        found = top[np.arange(len(hs)), cls].astype(np.float64)
         for c in range(self.classes):
-            for a in range(cuts[c], cuts[c + 1], 65_536):
-                rows = order[a : min(a + 65_536, cuts[c + 1])]
-                hs = h[rows]
-                top = hs @ self.p["wc"] + self.p["bc"]
-                low = hs @ self.p["wt"][c] + self.p["bt"][c]
-                np.exp(np.minimum(top, 60, out=top), out=top)
-                np.exp(np.minimum(low, 60, out=low), out=low)
-                out[rows] = np.log(top[:, c].astype(np.float64) / top.sum(1)) + np.log(low[np.arange(len(rows)), token[rows] - c * self.width].astype(np.float64) / low.sum(1))
+            lo, hi = cuts[c], cuts[c + 1]
+            if lo < hi:
+                low = hs[lo:hi] @ p["wt"][c] + p["bt"][c]
+                found[lo:hi] *= _softmax(low)[np.arange(hi - lo), y[lo:hi] - c * self.width]
+        out = np.empty(len(token), np.float64)
+        out[order] = np.log(np.maximum(found, 1e-300))
         return out
 
-    def window(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
-        """One update from tokens (time, lane) after `before` (the inputs), from state h; the loss a token and the state at the end.
-        Where the input is the start, the state before it is dropped, as in scoring."""
-        p, k, w = self.p, self.hidden, self.width
+    def gradients(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The loss a token of tokens (time, lane) after `before` (the inputs) from states h (a lane is a column), its gradient by all
+        weights in a row, and the states at the end. Where the input is the start, the state before it is dropped, as in scoring."""
+        p, k, kind = self.p, self.hidden, self.flat.dtype
         t, b = tokens.shape
         n = t * b
-        g = {name: np.zeros_like(v) for name, v in p.items()}
-        x_all = p["x"][before] + p["b"]
-        live = (before != self.start)[:, :, None]
-        goes_on = live.all((1, 2))
-        past, held, states = h, [], []
+        x, u = self._halved()
+        a = np.ascontiguousarray(x[before].transpose(0, 2, 1))  # becomes the reset gate, the update gate and the new state
+        live = before != self.start
+        goes_on = live.all(1)
+        un = np.empty((t, 3 * k, b), kind)
+        ins, outs = np.empty((t, k, b), kind), np.empty((t, k, b), kind)
         for i in range(t):
+            np.copyto(ins[i], outs[i - 1] if i else h)
             if not goes_on[i]:
-                past = past * live[i]
-            x, u = x_all[i], past @ p["u"]
-            gates = 0.5 * np.tanh(0.5 * (x[:, : 2 * k] + u[:, : 2 * k])) + 0.5
-            r, z = gates[:, :k], gates[:, k:]
-            new = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
-            held.append((past, u, r, z, new))
-            past = new + z * (past - new)
-            states.append(past)
-        hs = np.concatenate(states)
-        y = tokens.reshape(-1)
+                ins[i] *= live[i]
+            np.matmul(u, ins[i], out=un[i])
+            self.step(a[i], ins[i], un[i], outs[i])
+        flat = np.zeros_like(self.flat)
+        g = self._views(flat)
         # Tokens of a class are taken together, in the order of classes.
-        cls = (y // w).astype(np.uint8 if self.classes < 256 else np.int64)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        hs, y, cls = hs[order], y[order].astype(np.int64), cls[order]
-        top = _softmax(hs @ p["wc"] + p["bc"])
+        y = tokens.reshape(-1)
+        cls, order, cuts = self._by_class(y)
+        hs, y, cls = outs.transpose(0, 2, 1).reshape(n, k)[order], y[order], cls[order]
         rows = np.arange(n)
+        top = hs @ p["wc"]
+        top += p["bc"]
+        _softmax(top)
         loss = -np.log(top[rows, cls] + 1e-12).sum()
         top[rows, cls] -= 1
         top /= n
-        g["wc"], g["bc"] = hs.T @ top, top.sum(0)
-        dh_sorted = top @ p["wc"].T
+        g["wc"][:], g["bc"][:] = hs.T @ top, top.sum(0)
+        dhs = top @ p["wc"].T
         for c in range(self.classes):
             lo, hi = cuts[c], cuts[c + 1]
             if lo == hi:
                 continue
-            part, of = hs[lo:hi], (np.arange(hi - lo), y[lo:hi] - c * w)
-            low = _softmax(part @ p["wt"][c] + p["bt"][c])
+            part, of = hs[lo:hi], (rows[: hi - lo], y[lo:hi] - c * self.width)
+            low = part @ p["wt"][c]
+            low += p["bt"][c]
+            _softmax(low)
             loss -= np.log(low[of] + 1e-12).sum()
             low[of] -= 1
             low /= n
             g["wt"][c], g["bt"][c] = part.T @ low, low.sum(0)
-            dh_sorted[lo:hi] += low @ p["wt"][c].T
-        dh_all = np.empty_like(dh_sorted)
-        dh_all[order] = dh_sorted
-        dh_all = dh_all.reshape(t, b, k)
-        dh = np.zeros((b, k), dh_all.dtype)
-        da_all, du_all = np.empty((t, b, 3 * k), dh_all.dtype), np.empty((t, b, 3 * k), dh_all.dtype)
+            dhs[lo:hi] += low @ p["wt"][c].T
+        dall = np.empty_like(dhs)
+        dall[order] = dhs
+        dall = np.ascontiguousarray(dall.reshape(t, b, k).transpose(0, 2, 1))
+        r, z, new = a[:, :k], a[:, k : 2 * k], a[:, 2 * k :]
+        keep = 1 - z
+        by_z = ins - new
+        by_z *= z
+        by_z *= keep
+        by_new = new * new
+        np.subtract(1, by_new, out=by_new)
+        by_new *= keep
+        by_r = 1 - r
+        by_r *= r
+        by_r *= un[:, :k]
+        d = np.empty((t, 4 * k, b), kind)  # by the new state's part of u h, by the gates, by the new state
+        dh, tmp = np.zeros((k, b), kind), np.empty((k, b), kind)
         for i in range(t - 1, -1, -1):
-            past, u, r, z, new = held[i]
-            dh = dh + dh_all[i]
-            dnew = dh * (1 - z) * (1 - new * new)
-            da, du = da_all[i], du_all[i]
-            da[:, 2 * k :] = dnew
-            da[:, k : 2 * k] = dh * (past - new) * z * (1 - z)
-            da[:, :k] = dnew * u[:, 2 * k :] * r * (1 - r)
-            du[:, : 2 * k] = da[:, : 2 * k]
-            du[:, 2 * k :] = dnew * r
-            dh = dh * z + du @ p["u"].T
+            dh += dall[i]
+            di = d[i]
+            dn = di[3 * k :]
+            np.multiply(dh, by_new[i], out=dn)
+            np.multiply(dn, r[i], out=di[:k])
+            np.multiply(dn, by_r[i], out=di[k : 2 * k])
+            np.multiply(dh, by_z[i], out=di[2 * k : 3 * k])
+            dh *= z[i]
+            np.matmul(p["u"], di[: 3 * k], out=tmp)
+            dh += tmp
             if not goes_on[i]:
-                dh = dh * live[i]
-        flat, inputs = da_all.reshape(n, -1), before.reshape(-1).astype(np.uint16 if self.start < 65_536 else np.int64)
+                dh *= live[i]
+        d = d.transpose(0, 2, 1).reshape(n, 4 * k)
+        inputs = before.reshape(-1).astype(np.uint16 if self.start < 65_536 else np.int64)
         by = np.argsort(inputs, kind="stable")
         met = np.flatnonzero(np.diff(inputs[by], prepend=-1))
-        g["x"][inputs[by[met]]] = np.add.reduceat(flat[by], met, 0)
-        g["b"] = flat.sum(0)
-        g["u"] = np.concatenate([x[0] for x in held]).T @ du_all.reshape(n, -1)
-        norm = float(np.sqrt(sum((v**2).sum() for v in g.values())))
-        self.steps += 1
-        for name, v in g.items():
-            v = v * min(1.0, 1.0 / (norm + 1e-9))
-            m, s = self.moments[name]
-            m += 0.1 * (v - m)
-            s += 0.01 * (v * v - s)
-            p[name] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-        return float(loss / n), states[-1]
+        sums = np.add.reduceat(d[by, k:], met, 0)
+        g["x"][inputs[by[met]]] = sums
+        g["b"][:] = sums.sum(0)
+        g["u"][:] = ins.transpose(1, 0, 2).reshape(k, n) @ d[:, : 3 * k]
+        return float(loss / n), flat, outs[-1]
 
-    def restart(self) -> None:
-        """Forgets the moments of the updates so far."""
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        self.steps = 0
+    def window(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
+        """One update, by moments of gradients that are clipped to norm 1; the loss a token and the state at the end."""
+        loss, g, h = self.gradients(tokens, before, h)
+        g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
+        self.steps += 1
+        m, s = self.moments
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        s *= 0.99
+        g *= 0.01
+        s += g
+        np.sqrt(s, out=g)
+        g *= 1 / np.sqrt(1 - 0.99**self.steps)
+        g += 1e-8
+        np.divide(m, g, out=g)
+        g *= rate / (1 - 0.9**self.steps)
+        self.flat -= g
+        return loss, h
 
     def follow(self, docs: list[np.ndarray], rates: tuple[float, float], lanes: int = 128, length: int = 24) -> list[float]:
         """Goes once over all documents, at a rate that falls from the first to the second. They are laid one after the other and cut into lanes
@@ -154,59 +230,25 @@ class Recurrent:
         lanes = min(lanes, -(-len(tokens) // length))
         each = -(-len(tokens) // lanes)
         tokens, before = (np.ascontiguousarray(np.resize(x, lanes * each).reshape(lanes, each).T) for x in (tokens, before))
-        h, losses = np.zeros((lanes, self.hidden), np.float32), []
+        h, losses = np.zeros((self.hidden, lanes), self.flat.dtype), []
         for i in range(0, each, length):
             loss, h = self.window(tokens[i : i + length], before[i : i + length], h, rates[0] + (rates[1] - rates[0]) * i / each)
             losses.append(loss)
         return losses
 
-    def flat(self) -> np.ndarray:
-        """All weights in a row."""
-        return np.concatenate([v.ravel() for v in self.p.values()])
-
-    def put(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, v in self.p.items():
-            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
-
-    def fit(self, docs: list[np.ndarray], lanes: int = 64, length: int = 24, updates: int = 400, rate: float = 0.01) -> list[float]:
-        """Documents (each ending in its end token) are laid into lanes one after the other; a lane's state goes on from window
-        to window and starts anew at each document's start."""
-        docs = [d for d in docs if len(d)]
-        if not docs:
-            return []
-        h = np.zeros((lanes, self.hidden), np.float32)
-        at = [(i % len(docs), 0) for i in range(lanes)]
-        follow, losses = lanes, []
-        for n in range(updates):
-            tokens, before = np.zeros((length, lanes), np.int64), np.zeros((length, lanes), np.int64)
-            for j in range(lanes):
-                d, i = at[j]
-                if i >= len(docs[d]):
-                    d, i = follow % len(docs), 0
-                    follow += 1
-                    h[j] = 0
-                # A window that meets a document's end goes on with the next one, whose first input is the start.
-                filled = 0
-                while filled < length:
-                    part = docs[d][i : i + length - filled]
-                    tokens[filled : filled + len(part), j] = part
-                    before[filled, j] = docs[d][i - 1] if i else self.start
-                    before[filled + 1 : filled + len(part), j] = part[:-1]
-                    filled, i = filled + len(part), i + len(part)
-                    if filled < length:
-                        d, i = follow % len(docs), 0
-                        follow += 1
-                at[j] = (d, i)
-            loss, h = self.window(tokens, before, h, rate * (1 - n / updates) + 1e-4)
-            losses.append(loss)
-        return losses
+    def fit(self, docs: list[np.ndarray], least: int, rates: tuple[float, float], lanes: int = 64) -> None:
+        """Goes over all documents as often as it takes to meet `least` tokens, at a rate that falls from the first to the second."""
+        n = sum(map(len, docs))
+        times = -(-least // n) if n else 0
+        for i in range(times):
+            at = [rates[0] + (rates[1] - rates[0]) * j / times for j in (i, i + 1)]
+            self.follow(docs, (at[0], at[1]), lanes)
 
-    def score(self, docs: list[np.ndarray], length: int = 32, cells: int = 400_000) -> list[np.ndarray]:
+    def score(self, docs: list[np.ndarray], length: int = 32, cells: int = 100_000) -> list[np.ndarray]:
         """ln P of every token of each document, whole documents; states are carried across windows. Documents run side by side, longest first."""
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         out = [np.zeros(len(d)) for d in docs]
+        x, u = self._halved()
         for lo in range(0, len(order), 4096):
             group = order[lo : lo + 4096]
             sizes = np.array([len(docs[i]) for i in group])
@@ -214,14 +256,15 @@ class Recurrent:
             flat = np.concatenate([docs[i] for i in group]).astype(np.int64)
             starts = ends - sizes
             result = np.zeros(len(flat))
-            h = np.zeros((len(group), self.hidden), np.float32)
+            h = np.zeros((self.hidden, len(group)), self.flat.dtype)
             token = np.full(len(group), self.start, np.int64)
+            lives = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")  # documents longer than t come first
             states, places, held = [], [], 0
-            for t in range(int(sizes[0]) if len(sizes) else 0):
-                live = int(np.searchsorted(-sizes, -t, "left"))  # documents longer than t come first
-                h = self.step(token[:live], h[:live])
+            for t, live in enumerate(lives):
+                past, h = h[:, :live], np.empty((self.hidden, live), self.flat.dtype)
+                self.step(np.ascontiguousarray(x[token[:live]].T), past, u @ past, h)
                 where = starts[:live] + t
-                states.append(h)
+                states.append(h.T)
                 places.append(where)
                 token = flat[where]
                 held += live
