@@ -49,6 +49,8 @@ ROUNDS, SHARD_TOKENS = 2, 500_000
 RATES = ((0.004, 0.002), (0.002, 0.0002))
 #: Documents that a shard trains side by side; weights that are averaged together; tokens that are counted at a time.
 LANES, BLOCK, COUNTED = 128, 4096, 4_000_000
+#: What `score` marks a document's own sums by; rows of the counts that a partition of the join holds in memory at most.
+OWN, HELD_ROWS = (-1, -2, -3, -4), 200_000
 #: The end's hash is that of the empty word, which no text holds.
 END = b""
 FOLDS, HELD = 7, 2
@@ -68,8 +70,8 @@ def hashed(text: str, hashes: HashOf) -> np.ndarray:
 
 
 def hashed_docs(docs: DataFrame) -> DataFrame:
-    """row (a number of its own), doc_id, held (whether it is held out), mix (a hash of id and text) and tokens (64-bit hashes) of each row."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("mix", pa.int64()), ("tokens", pa.binary())])
+    """row (a number of its own), doc_id, held (whether it is held out), mix (a hash of id and text), n_tokens and tokens (64-bit hashes) of each row."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("mix", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -78,11 +80,12 @@ def hashed_docs(docs: DataFrame) -> DataFrame:
         for part, texts in text_blocks(batches):
             rows = row + np.arange(len(texts), dtype=np.int64)
             row += len(texts)
-            yield batch_of(schema, rows, part.column(0), [is_held_out(i) for i in part.column(0).to_pylist()], part.column(1), [hashed(t, hashes).tobytes() for t in texts])
+            each = [hashed(t, hashes) for t in texts]
+            yield batch_of(schema, rows, part.column(0), [is_held_out(i) for i in part.column(0).to_pylist()], part.column(1), [len(x) for x in each], [x.tobytes() for x in each])
 
     # By id and text, so that neither null ids nor copies are dealt alike.
     given = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(11)).alias("mix"), "text")
-    return stored(given.mapInArrow(lean(run), "row bigint, doc_id bigint, held boolean, mix bigint, tokens binary"), "lm-words")
+    return stored(given.mapInArrow(lean(run), "row bigint, doc_id bigint, held boolean, mix bigint, n_tokens bigint, tokens binary"), "lm-words")
 
 
 def _arrays(column: pa.Array, kind: type = np.int64) -> list[np.ndarray]:
@@ -162,7 +165,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     model = Model(size["n"], size["v"], np.array([r["h"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64), end)
     # A text longer than the whole sample is left to the rounds, which meet every document; so the sample is bounded whatever the texts are.
     share = min(1.0, START_TOKENS / max(1, size["n"]))
-    chosen = docs.where((F.pmod(F.xxhash64("mix", F.lit(10)), F.lit(1 << 30)) < int((1 << 30) * share)) & (F.octet_length("tokens") <= 8 * START_TOKENS))
+    chosen = docs.where((F.pmod(F.xxhash64("mix", F.lit(10)), F.lit(1 << 30)) < int((1 << 30) * share)) & (F.col("n_tokens") <= START_TOKENS))
     sample = [model.look_up(np.frombuffer(r["tokens"], np.int64))[0].astype(np.uint16) for r in chosen.select("tokens").toLocalIterator()]
     # In an order that does not depend on how the rows came.
     model.network.fit(sorted(sample, key=lambda d: (zlib.crc32(d.tobytes()), d.tobytes())), START_MET, START_RATES)
@@ -244,8 +247,7 @@ def _round(dealt: DataFrame, shards: int, network: Recurrent, rates: tuple[float
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """A row for each row of `docs` (rows of `hashed_docs`): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    head = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_other", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    schema = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("head", head)])
+    schema = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("value", pa.float64())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +255,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, ids, held = (batch.column(i).to_numpy(zero_copy_only=False) if i == 0 else batch.column(i) for i in range(3))
-            each = _arrays(batch.column(3))
+            rows, each = batch.column(0).to_numpy(), _arrays(batch.column(1))
             flat, sizes = np.concatenate(each), np.array([len(x) for x in each])
             doc = np.repeat(np.arange(len(each)), sizes)
             token, c, found = m.look_up(flat)
@@ -262,10 +263,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             other = token == m.other
             lm = np.array([x.sum() for x in m.network.score(np.split(token, np.cumsum(sizes)[:-1]))]) / np.log(10)
             total = lambda x: np.bincount(doc, x, len(each))
-            made = [ids, held, sizes.astype(np.int64), total(found).astype(np.int64), total(other).astype(np.int64), total(logs), lm + total(np.where(other, logs, 0.0))]
-            heads = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], fields=list(head))
-            # The document's own row goes to the join with a key of its own, so that such rows are spread as the others are.
-            yield batch_of(schema, _common.mix64(rows.astype(np.uint64)).view(np.int64), rows, np.zeros(len(each), np.int32), heads)
+            # What is known here of a document goes to the join in rows of its own, with keys that are spread as those of words are.
+            spread_ = _common.mix64(rows.astype(np.uint64)).view(np.int64)
+            for code, value in zip(OWN, (total(logs), lm + total(np.where(other, logs, 0.0)), total(found), total(other)), strict=True):
+                yield batch_of(schema, spread_, rows, np.full(len(each), code, np.int32), value)
             rare = np.flatnonzero(~found)
             if len(rare):
                 rare = rare[np.argsort(flat[rare], kind="stable")]  # equal words of a document come together
@@ -273,17 +274,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 times = np.diff(np.append(new, len(rare))).astype(np.int32)
                 word = rare[new]
                 by = np.argsort(doc[word].astype(np.uint16 if len(each) < 65_536 else np.int64), kind="stable")
-                yield batch_of(schema, flat[word[by]], rows[doc[word[by]]], times[by], pa.nulls(len(word), head))
-
-    ddl = "h bigint, row bigint, n int, head struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,n_other:bigint,base:double,score:double>"
-    parts = docs.select("row", "doc_id", "held", "tokens").mapInArrow(lean(run), ddl).join(counts, "h", "left")
-    word = F.when(F.col("head").isNull(), F.col("n"))
-    summed = parts.groupBy("row").agg(F.first("head", ignorenulls=True).alias("head"), F.sum(word * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), word)).alias("known"))
+                yield batch_of(schema, flat[word[by]], rows[doc[word[by]]], times[by], pa.nulls(len(word), pa.float64()))
+
+    parts = docs.select("row", "tokens").mapInArrow(lean(run), "h bigint, row bigint, n int, value double")
+    # Where a partition's share of the counts is small, they are held in memory, so that words need no sort.
+    if model.v <= HELD_ROWS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        counts = counts.hint("shuffle_hash")
+    word = F.when(F.col("value").isNull(), F.col("n"))
+    own = [F.sum(F.when(F.col("n") == code, F.col("value"))).alias(name) for code, name in zip(OWN, ("base", "lm", "known", "other"), strict=True)]
+    rare = [F.sum(word * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), word)).alias("rare_known")]
+    summed = parts.join(counts, "h", "left").groupBy("row").agg(*own, *rare)
     rare = F.coalesce("rare", F.lit(0.0))
     whole, left = float(np.log10(model.n + model.v + 1)), float(np.log10(model.left))
-    return summed.select(
-        "head.doc_id", "head.held_out", "head.n_tokens", (F.col("head.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("head.base") + rare - F.col("head.n_tokens") * whole).alias("base_score"), (F.col("head.score") + rare - F.col("head.n_other") * left).alias("score"),
+    return docs.select("row", "doc_id", "held", "n_tokens").join(summed, "row").select(
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("known").cast("long") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("base") + rare - F.col("n_tokens") * whole).alias("base_score"), (F.col("lm") + rare - F.col("other") * left).alias("score"),
     )
 
 

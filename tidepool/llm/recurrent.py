@@ -113,9 +113,9 @@ class Recurrent:
         out[order] = np.log(np.maximum(found, 1e-300))
         return out
 
-    def gradients(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The loss a token of tokens (time, lane) after `before` (the inputs) from states h (a lane is a column), its gradient by all
-        weights in a row, and the states at the end. Where the input is the start, the state before it is dropped, as in scoring."""
+    def gradients(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient by all weights in a row of the loss a token of tokens (time, lane) after `before` (the inputs) from states h (a lane is
+        a column), and the states at the end. Where the input is the start, the state before it is dropped, as in scoring."""
         p, k, kind = self.p, self.hidden, self.flat.dtype
         t, b = tokens.shape
         n = t * b
@@ -141,21 +141,20 @@ class Recurrent:
         top = hs @ p["wc"]
         top += p["bc"]
         _softmax(top)
-        loss = -np.log(top[rows, cls] + 1e-12).sum()
         top[rows, cls] -= 1
         top /= n
         g["wc"][:], g["bc"][:] = hs.T @ top, top.sum(0)
         dhs = top @ p["wc"].T
+        inside = y - cls.astype(y.dtype) * self.width
         for c in range(self.classes):
             lo, hi = cuts[c], cuts[c + 1]
             if lo == hi:
                 continue
-            part, of = hs[lo:hi], (rows[: hi - lo], y[lo:hi] - c * self.width)
+            part = hs[lo:hi]
             low = part @ p["wt"][c]
             low += p["bt"][c]
             _softmax(low)
-            loss -= np.log(low[of] + 1e-12).sum()
-            low[of] -= 1
+            low[rows[: hi - lo], inside[lo:hi]] -= 1
             low /= n
             g["wt"][c], g["bt"][c] = part.T @ low, low.sum(0)
             dhs[lo:hi] += low @ p["wt"][c].T
@@ -196,45 +195,43 @@ class Recurrent:
         g["x"][inputs[by[met]]] = sums
         g["b"][:] = sums.sum(0)
         g["u"][:] = ins.transpose(1, 0, 2).reshape(k, n) @ d[:, : 3 * k]
-        return float(loss / n), flat, outs[-1]
+        return flat, outs[-1]
 
-    def window(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
-        """One update, by moments of gradients that are clipped to norm 1; the loss a token and the state at the end."""
-        loss, g, h = self.gradients(tokens, before, h)
+    def window(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+        """One update, by moments of gradients that are clipped to norm 1; the states at the end."""
+        g, h = self.gradients(tokens, before, h)
         g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
         self.steps += 1
         m, s = self.moments
         m *= 0.9
-        m += 0.1 * g
+        g *= 0.1
+        m += g
         g *= g
         s *= 0.99
-        g *= 0.01
-        s += g
+        s += g  # a hundredth of the square
         np.sqrt(s, out=g)
         g *= 1 / np.sqrt(1 - 0.99**self.steps)
         g += 1e-8
         np.divide(m, g, out=g)
         g *= rate / (1 - 0.9**self.steps)
         self.flat -= g
-        return loss, h
+        return h
 
-    def follow(self, docs: list[np.ndarray], rates: tuple[float, float], lanes: int = 128, length: int = 24) -> list[float]:
+    def follow(self, docs: list[np.ndarray], rates: tuple[float, float], lanes: int = 128, length: int = 24) -> None:
         """Goes once over all documents, at a rate that falls from the first to the second. They are laid one after the other and cut into lanes
         of one length; fewer tokens than there are lanes are met twice."""
         docs = [d for d in docs if len(d)]
         if not docs:
-            return []
+            return
         tokens = np.concatenate(docs).astype(np.int64)
         before = np.concatenate([[self.start], tokens[:-1]])
         before[np.cumsum([0, *map(len, docs[:-1])])] = self.start
         lanes = min(lanes, -(-len(tokens) // length))
         each = -(-len(tokens) // lanes)
         tokens, before = (np.ascontiguousarray(np.resize(x, lanes * each).reshape(lanes, each).T) for x in (tokens, before))
-        h, losses = np.zeros((self.hidden, lanes), self.flat.dtype), []
+        h = np.zeros((self.hidden, lanes), self.flat.dtype)
         for i in range(0, each, length):
-            loss, h = self.window(tokens[i : i + length], before[i : i + length], h, rates[0] + (rates[1] - rates[0]) * i / each)
-            losses.append(loss)
-        return losses
+            h = self.window(tokens[i : i + length], before[i : i + length], h, rates[0] + (rates[1] - rates[0]) * i / each)
 
     def fit(self, docs: list[np.ndarray], least: int, rates: tuple[float, float], lanes: int = 64) -> None:
         """Goes over all documents as often as it takes to meet `least` tokens, at a rate that falls from the first to the second."""
