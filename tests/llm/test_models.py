@@ -314,7 +314,7 @@ def test_probabilities_sum_to_one_and_windows_do_not_matter():
     h = np.random.default_rng(1).standard_normal((1, 6)).astype(np.float32)
     assert np.exp(net.log_p(np.repeat(h, 12, 0), np.arange(12))).sum() == pytest.approx(1, abs=1e-6)
     texts = [np.random.default_rng(i).integers(0, 12, n) for i, n in enumerate((50, 3, 120, 1))]
-    one, two = net.score(texts), net.score(texts, length=4, cells=8)
+    one, two = net.score(texts), net.score(texts, cells=8)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(one, two, strict=True))
     assert np.allclose(net.score(texts[2:3])[0], one[2], atol=1e-5)
 

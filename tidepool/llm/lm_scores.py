@@ -49,6 +49,8 @@ ROUNDS, SHARD_TOKENS = 2, 500_000
 RATES = ((0.004, 0.002), (0.002, 0.0002))
 #: Documents that a shard trains side by side; weights that are averaged together; tokens that are counted at a time.
 LANES, BLOCK, COUNTED = 128, 4096, 4_000_000
+#: Tokens from which on a document is a long one; tokens of long documents that are scored together, about.
+LONG, HELD_TOKENS = 2_000, 1_000_000
 #: What `score` marks a document's own sums by; rows of the counts that a partition of the join holds in memory at most.
 OWN, HELD_ROWS = (-1, -2, -3, -4), 200_000
 #: The end's hash is that of the empty word, which no text holds.
@@ -251,30 +253,41 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        held = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, each = batch.column(0).to_numpy(), _arrays(batch.column(1))
-            flat, sizes = np.concatenate(each), np.array([len(x) for x in each])
-            doc = np.repeat(np.arange(len(each)), sizes)
-            token, c, found = m.look_up(flat)
-            logs = np.where(found, np.log10(c + 1.0), 0.0)
-            other = token == m.other
-            lm = np.array([x.sum() for x in m.network.score(np.split(token, np.cumsum(sizes)[:-1]))]) / np.log(10)
-            total = lambda x: np.bincount(doc, x, len(each))
-            # What is known here of a document goes to the join in rows of its own, with keys that are spread as those of words are.
-            spread_ = _common.mix64(rows.astype(np.uint64)).view(np.int64)
-            for code, value in zip(OWN, (total(logs), lm + total(np.where(other, logs, 0.0)), total(found), total(other)), strict=True):
-                yield batch_of(schema, spread_, rows, np.full(len(each), code, np.int32), value)
-            rare = np.flatnonzero(~found)
-            if len(rare):
-                rare = rare[np.argsort(flat[rare], kind="stable")]  # equal words of a document come together
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[rare]) != 0) | (np.diff(flat[rare]) != 0)]))
-                times = np.diff(np.append(new, len(rare))).astype(np.int32)
-                word = rare[new]
-                by = np.argsort(doc[word].astype(np.uint16 if len(each) < 65_536 else np.int64), kind="stable")
-                yield batch_of(schema, flat[word[by]], rows[doc[word[by]]], times[by], pa.nulls(len(word), pa.float64()))
+            # Long documents wait for each other: side by side they take as many steps as the longest of them alone.
+            now = []
+            for item in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), strict=True):
+                (held if len(item[1]) > LONG else now).append(item)
+            yield from made(now)
+            if sum(len(x) for _, x in held) > HELD_TOKENS:
+                yield from made(held)
+                held = []
+        yield from made(held)
+
+    def made(items: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not items:
+            return
+        m, rows, each = sent.value, np.array([r for r, _ in items], np.int64), [x for _, x in items]
+        flat, sizes = np.concatenate(each), np.array([len(x) for x in each])
+        doc = np.repeat(np.arange(len(each)), sizes)
+        token, c, found = m.look_up(flat)
+        logs = np.where(found, np.log10(c + 1.0), 0.0)
+        other = token == m.other
+        lm = np.array([x.sum() for x in m.network.score(np.split(token, np.cumsum(sizes)[:-1]))]) / np.log(10)
+        total = lambda x: np.bincount(doc, x, len(each))
+        # What is known here of a document goes to the join in rows of its own, with keys that are spread as those of words are.
+        spread_ = _common.mix64(rows.astype(np.uint64)).view(np.int64)
+        for code, value in zip(OWN, (total(logs), lm + total(np.where(other, logs, 0.0)), total(found), total(other)), strict=True):
+            yield batch_of(schema, spread_, rows, np.full(len(each), code, np.int32), value)
+        rare = np.flatnonzero(~found)
+        if len(rare):
+            rare = rare[np.argsort(flat[rare], kind="stable")]  # equal words of a document come together
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[rare]) != 0) | (np.diff(flat[rare]) != 0)]))
+            times = np.diff(np.append(new, len(rare))).astype(np.int32)
+            word = rare[new]
+            by = np.argsort(doc[word].astype(np.uint16 if len(each) < 65_536 else np.int64), kind="stable")
+            yield batch_of(schema, flat[word[by]], rows[doc[word[by]]], times[by], pa.nulls(len(word), pa.float64()))
 
     parts = docs.select("row", "tokens").mapInArrow(lean(run), "h bigint, row bigint, n int, value double")
     # Where a partition's share of the counts is small, they are held in memory, so that words need no sort.

@@ -93,22 +93,25 @@ class Recurrent:
     def log_p(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log of P(token | h), row by row; tokens of a class are taken together."""
         out = np.empty(len(token), np.float64)
-        for a in range(0, len(token), 65_536):
-            out[a : a + 65_536] = self._log_p(h[a : a + 65_536], token[a : a + 65_536])
+        for a in range(0, len(token), 16_384):
+            out[a : a + 16_384] = self._log_p(h[a : a + 16_384], token[a : a + 16_384])
         return out
 
     def _log_p(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         p = self.p
         cls, order, cuts = self._by_class(token)
-        hs, cls, y = h[order], cls[order], token[order]
-        top = hs @ p["wc"] + p["bc"]
-        _softmax(top)
-        found = top[np.arange(len(hs)), cls].astype(np.float64)
+        hs, cls, y, rows = h[order], cls[order], token[order], np.arange(len(h))
+        low = np.empty((len(h), self.width), hs.dtype)
         for c in range(self.classes):
-            lo, hi = cuts[c], cuts[c + 1]
-            if lo < hi:
-                low = hs[lo:hi] @ p["wt"][c] + p["bt"][c]
-                found[lo:hi] *= _softmax(low)[np.arange(hi - lo), y[lo:hi] - c * self.width]
+            if cuts[c] < cuts[c + 1]:
+                np.matmul(hs[cuts[c] : cuts[c + 1]], p["wt"][c], out=low[cuts[c] : cuts[c + 1]])
+        low += p["bt"][cls]
+        top = hs @ p["wc"]
+        top += p["bc"]
+        found = np.ones(len(h))
+        for x, at in ((top, cls), (low, y - cls.astype(y.dtype) * self.width)):
+            np.exp(np.minimum(x, 60, out=x), out=x)
+            found *= x[rows, at] / (x @ np.ones(x.shape[1], x.dtype))
         out = np.empty(len(token), np.float64)
         out[order] = np.log(np.maximum(found, 1e-300))
         return out
@@ -145,19 +148,20 @@ class Recurrent:
         top /= n
         g["wc"][:], g["bc"][:] = hs.T @ top, top.sum(0)
         dhs = top @ p["wc"].T
-        inside = y - cls.astype(y.dtype) * self.width
-        for c in range(self.classes):
-            lo, hi = cuts[c], cuts[c + 1]
-            if lo == hi:
-                continue
-            part = hs[lo:hi]
-            low = part @ p["wt"][c]
-            low += p["bt"][c]
-            _softmax(low)
-            low[rows[: hi - lo], inside[lo:hi]] -= 1
-            low /= n
-            g["wt"][c], g["bt"][c] = part.T @ low, low.sum(0)
-            dhs[lo:hi] += low @ p["wt"][c].T
+        low = np.empty((n, self.width), kind)
+        some = [(c, slice(cuts[c], cuts[c + 1])) for c in range(self.classes) if cuts[c] < cuts[c + 1]]
+        for c, at in some:
+            np.matmul(hs[at], p["wt"][c], out=low[at])
+        low += p["bt"][cls]
+        _softmax(low)
+        low[rows, y - cls.astype(y.dtype) * self.width] -= 1
+        low /= n
+        back, add = np.empty_like(dhs), np.ones((1, n), kind)
+        for c, at in some:
+            np.matmul(hs[at].T, low[at], out=g["wt"][c])
+            np.matmul(add[:, at], low[at], out=g["bt"][c : c + 1])
+            np.matmul(low[at], p["wt"][c].T, out=back[at])
+        dhs += back
         dall = np.empty_like(dhs)
         dall[order] = dhs
         dall = np.ascontiguousarray(dall.reshape(t, b, k).transpose(0, 2, 1))
@@ -187,14 +191,14 @@ class Recurrent:
             dh += tmp
             if not goes_on[i]:
                 dh *= live[i]
-        d = d.transpose(0, 2, 1).reshape(n, 4 * k)
+        by_u, by_x = (x.transpose(0, 2, 1).reshape(n, 3 * k) for x in (d[:, : 3 * k], d[:, k:]))
         inputs = before.reshape(-1).astype(np.uint16 if self.start < 65_536 else np.int64)
         by = np.argsort(inputs, kind="stable")
         met = np.flatnonzero(np.diff(inputs[by], prepend=-1))
-        sums = np.add.reduceat(d[by, k:], met, 0)
+        sums = np.add.reduceat(by_x.take(by, 0), met, 0)
         g["x"][inputs[by[met]]] = sums
         g["b"][:] = sums.sum(0)
-        g["u"][:] = ins.transpose(1, 0, 2).reshape(k, n) @ d[:, : 3 * k]
+        g["u"][:] = ins.transpose(0, 2, 1).reshape(n, k).T @ by_u
         return flat, outs[-1]
 
     def window(self, tokens: np.ndarray, before: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
@@ -241,10 +245,12 @@ class Recurrent:
             at = [rates[0] + (rates[1] - rates[0]) * j / times for j in (i, i + 1)]
             self.follow(docs, (at[0], at[1]), lanes)
 
-    def score(self, docs: list[np.ndarray], length: int = 32, cells: int = 100_000) -> list[np.ndarray]:
-        """ln P of every token of each document, whole documents; states are carried across windows. Documents run side by side, longest first."""
+    def score(self, docs: list[np.ndarray], cells: int = 65_536) -> list[np.ndarray]:
+        """ln P of every token of each document, whole documents; states are carried across windows of about `cells` tokens. Documents run side by
+        side, longest first; a window's lanes are the documents that reach into it, and what lies beyond a document's end is not looked at."""
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         out = [np.zeros(len(d)) for d in docs]
+        k, kind = self.hidden, self.flat.dtype
         x, u = self._halved()
         for lo in range(0, len(order), 4096):
             group = order[lo : lo + 4096]
@@ -253,25 +259,24 @@ class Recurrent:
             flat = np.concatenate([docs[i] for i in group]).astype(np.int64)
             starts = ends - sizes
             result = np.zeros(len(flat))
-            h = np.zeros((self.hidden, len(group)), self.flat.dtype)
-            token = np.full(len(group), self.start, np.int64)
-            lives = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")  # documents longer than t come first
-            states, places, held = [], [], 0
-            for t, live in enumerate(lives):
-                past, h = h[:, :live], np.empty((self.hidden, live), self.flat.dtype)
-                self.step(np.ascontiguousarray(x[token[:live]].T), past, u @ past, h)
-                where = starts[:live] + t
-                states.append(h.T)
-                places.append(where)
-                token = flat[where]
-                held += live
-                if held >= cells or t % length == length - 1 and held >= cells // 4:
-                    at = np.concatenate(places)
-                    result[at] = self.log_p(np.concatenate(states), flat[at])
-                    states, places, held = [], [], 0
-            if places:
-                at = np.concatenate(places)
-                result[at] = self.log_p(np.concatenate(states), flat[at])
+            h, t = np.zeros((k, len(group)), kind), 0
+            while len(group) and t < sizes[0]:
+                live = int(np.searchsorted(-sizes, -t, "left"))  # documents longer than t come first
+                steps = min(max(1, cells // live), 512 if live <= 16 else 48, int(sizes[0]) - t)
+                at = starts[:live] + np.arange(t, t + steps)[:, None]
+                inside = at < ends[:live]
+                before = flat[np.clip(at - 1, 0, len(flat) - 1)]
+                if t == 0:
+                    before[0] = self.start
+                a = np.ascontiguousarray(x[before].transpose(0, 2, 1))
+                un, outs, past = np.empty((3 * k, live), kind), np.empty((steps, k, live), kind), np.ascontiguousarray(h[:, :live])
+                for i in range(steps):
+                    np.matmul(u, past, out=un)
+                    self.step(a[i], past, un, outs[i])
+                    past = outs[i]
+                at = at[inside]
+                result[at] = self.log_p(outs.transpose(0, 2, 1)[inside], flat[at])
+                h, t = past, t + steps
             for i, a, b in zip(group, starts, ends, strict=True):
                 out[i] = result[a:b]
         return out
