@@ -22,7 +22,7 @@ def test_numbers_are_null_safe(spark):
 
 
 def test_missing_values_fire_only_decode_and_dimension(spark):
-    df = spark.createDataFrame([("a", 0, None, float("nan"), None, None)], "image_id string, _pos long, decode_ok boolean, blur_score double, width int, height int")
+    df = spark.createDataFrame([("a", 0, None, None, float("nan"), None, None)], "image_id string, _pos long, decode_ok boolean, decode_error string, blur_score double, width int, height int")
     assert actions(df, "decode") == [("drop", "decode_error")]
     assert actions(df, "dimension") == [("drop", "smaller than 1x1")]
     assert actions(df, "blur") == [("keep", "")]
@@ -80,7 +80,7 @@ def test_relative_values():
 def test_tags_and_orientation(spark):
     df = spark.createDataFrame([(["a/b", "", "a//b", " a", "a/ b"], 3, 2)], "tags array<string>, w int, h int")
     r = df.select(tag_problems("tags"), orientation_of("w", "h")).first()
-    assert r[0] == ["", "a//b", " a", "a/ b"] and r[1] == "landscape"
+    assert r[0] == ["", "a//b"] and r[1] == "landscape"
 
 
 def test_selection():
@@ -102,9 +102,11 @@ def test_files():
     assert [c.name for c in made.checks] == ["blur", "noise"] and made.policies["noise"].batch_size == 7
     assert config.from_toml(config.template(made)).checks == made.checks
     assert [c.name for c in config.from_toml('[select]\nuse = ["quality"]\nblur = { min_score = 1.0 }\n').checks][:1] == ["blur"]
+    assert [c.name for c in config.from_toml('[select]\ncategories = ["QUALITY"]\n').checks] == [c.name for c in config.from_toml('[select]\ncategories = "quality"\n').checks] == [n for n, c in CHECKS.items() if c.category == "quality"]
+    assert [c.name for c in config.from_toml("[runtime]\nbatch_size = 9\n").checks] == list(CHECKS)
     recipe = config.from_yaml("version: 1\noperators:\n - use: quality.blur\n   with: {min_score: 3.0}\n   drop: {range: '[0, 0.1]'}\n")
     assert recipe.checks[0].config["min_score"] == 3.0 and recipe.checks[0].rule_ranges() == {"drop": "[0, 0.1]"}
-    for bad in ("[select]\nuse=['blur']\n[operators]\nblur={}", "[x]\n", "[select]\nuse=[]", "[select]\nuse=['blur']\n[runtime]\nbatch_size=0", "[select]\nuse=['blur']\n[runtime]\nodd=1"):
+    for bad in ("[select]\nuse=['blur']\n[operators]\nblur={}", "[x]\n", "[select]\nuse=[]", "[select]\ncategories=[1]", "[select]\ncategories=['no_such']", "[select]\nuse=['blur']\n[runtime]\nbatch_size=0", "[select]\nuse=['blur']\n[runtime]\nodd=1"):
         with pytest.raises(ConfigError):
             config.from_toml(bad)
     for bad in ("version: 2\noperators: [{use: blur}]", "version: 1\noperators: []", "version: 1\noperators: [{with: {}}]"):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidepool import streaming
 from tidepool.errors import ConfigError, NotFoundError, StateError, ValidationError
 from tidepool.operators import pixels
-from tidepool.operators.computers import PER_IMAGE, Computer, Registry, builtin, decode
+from tidepool.operators.checks import Check
+from tidepool.operators.computers import PER_IMAGE, Computer, Registry, builtin, decode, run_parameters
 from tidepool.plans.cleaner import BasicCleaner
 from tidepool.sources import annotations, images, importer, raw, urls
 from tidepool.sources.storage import Prefix, Storage, safe_path
@@ -79,7 +80,7 @@ def test_a_run_from_images_to_views(spark, folder, tmp_path):
     assert result.summary()["total"] == 5 and result.operators().count() == len(cleaner.config.checks)
     assert result.relations("exact_duplicate").count() == 1
     assert result.explain("white")["blank_action"] == "drop"
-    assert result.operator("blank").columns == ["image_id", "blank_action", "blank_reason"]
+    assert result.operator("blank").columns == ["image_id", "blank_score", "blank_action", "blank_reason"]
     assert result.state_frame().count() == len(cleaner.config.checks)
     with pytest.raises(KeyError):
         result.operator("none")
@@ -100,6 +101,72 @@ def test_a_run_from_images_to_views(spark, folder, tmp_path):
     assert again.summary()["review"] == 4
 
 
+def jpeg(spark, x):
+    """The bytes of a JPEG that the JVM writes of an image."""
+    jvm, h, w = spark._jvm, *x.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(w, h, 5 if x.ndim == 3 else 10)
+    for i in range(h):
+        for j in range(w):
+            image.getRaster().setSample(j, i, 0, int(x[i, j] if x.ndim == 2 else x[i, j, 0]))
+            if x.ndim == 3:
+                image.getRaster().setSample(j, i, 1, int(x[i, j, 1]))
+                image.getRaster().setSample(j, i, 2, int(x[i, j, 2]))
+    return _written(jvm, image, "jpg")
+
+
+def _written(jvm, image, kind):
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, kind, out)
+    return bytes(out.toByteArray())
+
+
+def test_formats_are_decoded_on_the_default_path(spark):
+    smooth = np.add.outer(np.arange(16) * 6, np.arange(24) * 4)[:, :, None] + np.array([0, 40, 5])
+    jvm = spark._jvm
+    indexed = jvm.java.awt.image.BufferedImage(5, 16, 13)
+    binary = jvm.java.awt.image.BufferedImage(11, 16, 12)
+    for i in range(16):
+        for j in range(5):
+            indexed.setRGB(j, i, -65536 if (i + j) % 2 else -1)
+        for j in range(11):
+            binary.setRGB(j, i, -1 if (i * 11 + j) % 3 == 0 else -16777216)
+    checker = np.array([[(255, 0, 0) if (i + j) % 2 else (255, 255, 255) for j in range(5)] for i in range(16)])
+    dots = np.array([[(255,) * 3 if (i * 11 + j) % 3 == 0 else (0,) * 3 for j in range(11)] for i in range(16)])
+    alpha = np.dstack([NOISY, np.full(NOISY.shape[:2], 9)])
+    cases = {
+        "jpeg": (jpeg(spark, smooth), smooth, 6), "gray": (jpeg(spark, smooth[:, :, 0]), np.repeat(smooth[:, :, :1], 3, 2), 6), "png": (png(NOISY), NOISY, 0), "alpha": (png(alpha), NOISY, 0),
+        "gif": (_written(jvm, indexed, "gif"), checker, 0), "palette": (_written(jvm, indexed, "png"), checker, 0), "bits": (_written(jvm, binary, "png"), dots, 0), "bits_gif": (_written(jvm, binary, "gif"), dots, 0),
+    }
+    bad = {"cut": png(NOISY)[:200], "header": jpeg_header(16, 8), "webp": b"RIFF\0\0\0\0WEBPVP8 ", "text": b"no image", "none": None}
+    df = spark.createDataFrame([(n, bytearray(c[0])) for n, c in cases.items()] + [(n, None if b is None else bytearray(b)) for n, b in bad.items()], "image_id string, content binary")
+    flat = Computer("flat", PER_IMAGE, {"flat": "string"}, image=lambda x, c: {"flat": "" if x.rgb is None else ",".join(map(str, [*x.rgb.shape, *x.rgb.ravel()]))})
+    out, _ = run_parameters(df, ["decode_ok", "decode_error", "format", "flat"], Registry([*builtin(), flat]))
+    got = {r["image_id"]: r for r in out.collect()}
+    for n, (_, x, near) in cases.items():
+        assert got[n]["decode_ok"], (n, got[n]["decode_error"])
+        v = np.array(got[n]["flat"].split(","), int)
+        assert tuple(v[:3]) == x.shape and np.abs(v[3:].reshape(x.shape) - x).max() <= near, n
+    assert not any(got[n]["decode_ok"] for n in bad) and got["webp"]["decode_error"] == "ValueError: cannot decode WEBP data" and got["cut"]["decode_error"]
+
+
+def test_each_image_is_decoded_once(spark, folder, tmp_path):
+    log = tmp_path / "seen"
+
+    def seen(x, c):
+        with log.open("ab") as f:
+            f.write(b".")
+        return {"seen": 1}
+
+    registry = Registry([*builtin(), Computer("counter", PER_IMAGE, {"seen": "int"}, image=seen)])
+    check = Check("seen", "test", ("seen",), {"action": "review"}, lambda c: (F.lit(False), F.lit("")))
+    cleaner = BasicCleaner([check, "exact_duplicate", "perceptual_duplicate", "blur"], registry)
+    result = cleaner.run(rows(spark, folder), str(tmp_path / "out"), run_id="r")
+    assert result.status == "completed", result.state()["error"]
+    assert log.stat().st_size == 5
+    assert set(result.state_frame().select("operator_name", "processed_count", "failed_count").collect()) == {("seen", 5, 0), ("exact_duplicate", 5, 0), ("perceptual_duplicate", 5, 0), ("blur", 4, 1)}
+    assert result.operator("blur").columns == ["image_id", "blur_score", "blur_action", "blur_reason"]
+
+
 def test_dry_run_sample_and_failures(spark, folder, tmp_path):
     cleaner = BasicCleaner(["semantic_duplicate"])
     assert cleaner.dry_run(["image_id"]).errors

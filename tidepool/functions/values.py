@@ -50,8 +50,8 @@ def sorted_unique(a: Column | str) -> Column:
 
 
 def tag_problems(tags: Column | str) -> Column:
-    """The tags that are no path `a/b/c` of non-empty parts without blanks around them; an empty array where all are fine."""
-    bad = lambda t: t.isNull() | (t == "") | F.exists(F.split(t, "/"), lambda p: (F.trim(p) == "") | (F.trim(p) != p))
+    """The tags that are no path `a/b/c` of non-empty parts; an empty array where all are fine."""
+    bad = lambda t: t.isNull() | F.exists(F.split(t, "/"), lambda p: p == "")
     return F.filter(tags, bad)
 
 

@@ -25,6 +25,9 @@ ACTIONS = ("keep", "review", "drop", "restricted")
 #: The column that gives a table its order; "first of a group" refers to it.
 POSITION = "_pos"
 
+#: The checks whose evaluations do not repeat their parameters.
+PLAIN = ("decode", "dimension")
+
 Config = Mapping[str, Any]
 Fires = Callable[[Config], tuple[Column, Column]]
 
@@ -52,9 +55,14 @@ class Check:
         return f"{self.name}_reason"
 
     @property
-    def evaluation_columns(self) -> tuple[str, ...]:
+    def outcome_columns(self) -> tuple[str, ...]:
         return (self.action_column, self.reason_column, *self.extra_columns)
 
+    @property
+    def evaluation_columns(self) -> tuple[str, ...]:
+        """The parameters that the check shows, then what it makes of them."""
+        return (*(() if self.name in PLAIN else self.required), *self.outcome_columns)
+
     @property
     def qualified(self) -> str:
         return f"{self.category}.{self.name}"
@@ -175,7 +183,7 @@ def _megapixel(c: Config) -> tuple[Column, Column]:
 
 
 def _exposure(c: Config) -> tuple[Column, Column]:
-    sides = [(number(f"{n}_pixel_ratio"), _real(c, f"max_{n}_ratio"), n) for n in ("dark", "bright", "clipped")]
+    sides = [(number(f"{n}_pixel_ratio"), _real(c, f"max_{n}_pixel_ratio"), n) for n in ("dark", "bright", "clipped")]
     clauses = F.concat_ws("; ", *[F.when(x > most, F.lit(f"{n} pixel ratio above {most}")) for x, most, n in sides])
     return clauses != "", clauses
 
@@ -204,7 +212,7 @@ def _check(name: str, category: str, required: str, defaults: Config, fires: Fir
 CHECKS: dict[str, Check] = {
     c.name: c
     for c in (
-        _check("decode", "format", "decode_ok", {"action": "drop"}, lambda c: (~flag("decode_ok"), F.lit("decode_error"))),
+        _check("decode", "format", "decode_ok decode_error", {"action": "drop"}, lambda c: (~flag("decode_ok"), F.lit("decode_error"))),
         _check("dimension", "size", "width height", {"min_width": 1, "min_height": 1, "action": "drop"}, _dimension, metric="width"),
         _check("aspect_ratio", "size", "aspect_ratio", {"min_ratio": 0.2, "max_ratio": 5.0, "action": "review"}, _outside("aspect_ratio", "min_ratio", "max_ratio", "aspect ratio"), metric="aspect_ratio"),
         _check("megapixel", "size", "megapixels", {"min_megapixels": 0.01, "max_megapixels": None, "action": "review"}, _megapixel, metric="megapixels"),
@@ -212,15 +220,15 @@ CHECKS: dict[str, Check] = {
         _check("brightness", "quality", "brightness_score", {"min_score": 30.0, "max_score": 225.0, "action": "review"}, _outside("brightness_score", "min_score", "max_score", "brightness"), metric="brightness_score"),
         _check("contrast", "quality", "contrast_score", {"min_score": 10.0, "action": "review"}, _bound("contrast_score", "min_score", lambda x, b: x < b, "contrast score below {}"), metric="contrast_score"),
         _check("blank", "content", "blank_score", {"threshold": 0.98, "action": "drop"}, _bound("blank_score", "threshold", lambda x, b: x >= b, "blank score at least {}"), metric="blank_score"),
-        _check("exposure", "quality", "dark_pixel_ratio bright_pixel_ratio clipped_pixel_ratio", {"max_dark_ratio": 0.95, "max_bright_ratio": 0.95, "max_clipped_ratio": 0.98, "action": "review"}, _exposure, metric="dark_pixel_ratio"),
+        _check("exposure", "quality", "dark_pixel_ratio bright_pixel_ratio clipped_pixel_ratio", {"max_dark_pixel_ratio": 0.95, "max_bright_pixel_ratio": 0.95, "max_clipped_pixel_ratio": 0.98, "action": "review"}, _exposure, metric="dark_pixel_ratio"),
         _check("noise", "quality", "noise_score", {"max_score": 0.75, "action": "review"}, _bound("noise_score", "max_score", lambda x, b: x > b, "noise score above {}"), metric="noise_score"),
         _check("mono_color", "content", "mono_color_score", {"threshold": 0.98, "action": "review"}, _bound("mono_color_score", "threshold", lambda x, b: x >= b, "mono color score at least {}"), metric="mono_color_score"),
         _check("border_padding", "content", "border_padding_ratio border_padding_sides border_padding_color", {"max_ratio": 0.25, "min_side_ratio": 0.08, "colors": ["white", "black", "solid"], "action": "review"}, _border, metric="border_padding_ratio"),
-        _check("animated", "format", "animated frame_count", {"action": "review"}, lambda c: (flag("animated"), F.lit("animated image"))),
+        _check("animated", "format", "frame_count animated", {"action": "review"}, lambda c: (flag("animated"), F.lit("animated image"))),
         _check("orientation", "metadata", "exif_orientation orientation_risk", {"action": "review"}, _orientation),
         _check("exact_duplicate", "duplicate", "exact_duplicate_group_id exact_duplicate_count", {"keep": "first", "action": "drop"}, lambda c: (F.lit(True), F.concat(F.lit("duplicate in group "), clean_text("exact_duplicate_group_id"))), grouped=("exact_duplicate_group_id", "exact_duplicate_count"), actions=("drop",)),
         _check("perceptual_duplicate", "duplicate", "perceptual_duplicate_group_id perceptual_duplicate_count perceptual_duplicate_distance", {"max_distance": 10, "keep": "first", "action": "drop"}, lambda c: (F.lit(True), F.concat(F.lit("perceptual duplicate in group "), clean_text("perceptual_duplicate_group_id"), F.lit(" distance "), _whole_text(F.col("perceptual_duplicate_distance")))), grouped=("perceptual_duplicate_group_id", "perceptual_duplicate_count"), actions=("drop",)),
-        _check("semantic_duplicate", "duplicate", "semantic_duplicate_group_id semantic_duplicate_count semantic_duplicate_score semantic_nearest_image_id", {"threshold": 0.92, "keep": "first", "action": "drop", "provider": "default", "model_id": None, "index": "exact", "batch_size": 32}, lambda c: (F.lit(True), F.concat(F.lit("semantic duplicate in group "), clean_text("semantic_duplicate_group_id"), F.lit(" score "), F.format_string("%.4f", F.coalesce(number("semantic_duplicate_score"), F.lit(0.0))), F.lit(" nearest "), clean_text("semantic_nearest_image_id"))), grouped=("semantic_duplicate_group_id", "semantic_duplicate_count"), actions=("drop", "review")),
+        _check("semantic_duplicate", "duplicate", "semantic_duplicate_group_id semantic_duplicate_count semantic_duplicate_score semantic_duplicate_nearest_image_id", {"threshold": 0.92, "keep": "first", "action": "drop", "provider": "default", "model_id": None, "index": "exact", "batch_size": 32}, lambda c: (F.lit(True), F.concat(F.lit("semantic duplicate in group "), clean_text("semantic_duplicate_group_id"), F.lit(" score "), F.format_string("%.4f", F.coalesce(number("semantic_duplicate_score"), F.lit(0.0))), F.lit(" nearest "), clean_text("semantic_duplicate_nearest_image_id"))), grouped=("semantic_duplicate_group_id", "semantic_duplicate_count"), actions=("drop", "review")),
     )
 }
 

@@ -1,7 +1,8 @@
 """Parameter computers: what each produces, needs and is configured by, and how a plan of them is ordered and run.
 
-Row-local image computers of one run share one pass over the bytes: a single mapInPandas decodes each image once and returns only the
-columns that are asked for. Table computers are column expressions, aggregate computers are joins with grouped sums.
+Row-local image computers of one run share one pass over the bytes: each image is decoded once (JPEG, PNG and GIF inside the JVM) and a
+single mapInPandas returns only the columns that are asked for. Where grouping computers follow, which read their table more than once, that pass's
+columns are stored first, with the rows' positions. Table computers are column expressions, aggregate computers are joins with grouped sums.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, ModelError
 from ..functions import number
+from ..storing import stored
 from . import duplicates, pixels
+from .rasters import RASTER, with_raster
 
 PER_IMAGE, TABLE, AGGREGATE = "per_image", "table", "dataset_aggregate"
 _MODES = (PER_IMAGE, TABLE, AGGREGATE)
@@ -123,7 +126,7 @@ def builtin(embed: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> li
         Computer("duplicate_group_computer", AGGREGATE, {"exact_duplicate_group_id": "string", "exact_duplicate_count": "bigint"}, ("content_hash",), table=lambda df, c: duplicates.exact_groups(df), relations={"exact_duplicate": duplicates.exact_pairs}),
         Computer("perceptual_duplicate_group_computer", AGGREGATE, {"perceptual_duplicate_group_id": "string", "perceptual_duplicate_count": "bigint", "perceptual_duplicate_distance": "bigint"}, ("phash",), ("max_distance",), table=lambda df, c: duplicates.perceptual_groups(df, c.get("max_distance", 10)), relations={"perceptual_duplicate": duplicates.perceptual_pairs}),
         Computer("semantic_embedding_computer", PER_IMAGE, {"embedding": "array<float>", "semantic_embedding_ref": "string"}, config=("provider", "model_id", "batch_size"), images=embedding, before_run=check_provider),
-        Computer("semantic_duplicate_group_computer", AGGREGATE, {"semantic_duplicate_group_id": "string", "semantic_duplicate_count": "bigint", "semantic_duplicate_score": "double", "semantic_nearest_image_id": "string"}, ("embedding",), ("threshold",), table=lambda df, c: duplicates.semantic_groups(df, c.get("threshold", 0.92)), relations={"semantic_duplicate": duplicates.semantic_pairs}),
+        Computer("semantic_duplicate_group_computer", AGGREGATE, {"semantic_duplicate_group_id": "string", "semantic_duplicate_count": "bigint", "semantic_duplicate_score": "double", "semantic_duplicate_nearest_image_id": "string"}, ("embedding",), ("threshold",), table=lambda df, c: duplicates.semantic_groups(df, c.get("threshold", 0.92)), relations={"semantic_duplicate": duplicates.semantic_pairs}),
     ]
 
 
@@ -175,14 +178,13 @@ class Registry:
         return [(self.by_name[n], tuple(p for p in self.by_name[n].types if p in asked[n])) for n in seen]
 
 
-def decode(data: bytes | None) -> tuple[np.ndarray | None, str]:
-    """RGB pixels of uncompressed images (BMP of 24 or 32 bits, binary PGM and PPM) and of PNG without interlacing; else an error.
-
-    Compressed formats are decoded by Spark's image source (`sources.images`), which gives pixels as columns."""
+def decode(data: bytes | None, raster: bytes | None = None) -> tuple[np.ndarray | None, str]:
+    """RGB pixels, or an error. `raster` has the samples that the JVM found (`rasters`); without them uncompressed images are read (BMP of 24
+    or 32 bits, binary PGM and PPM) and PNG of 8 bits without interlacing."""
     if data is None:
         return None, "no data"
     try:
-        return _decode(data), ""
+        return (_decode(data) if raster is None else pixels.from_raster(data, raster)), ""
     except Exception as e:
         return None, f"{type(e).__name__}: {e}"[:200]
 
@@ -233,7 +235,8 @@ def _decode(data: bytes) -> np.ndarray:
             palette = np.frombuffer(next(c for k, c in parts if k == b"PLTE"), np.uint8).reshape(-1, 3)
             return palette[x[:, :, 0]]
         return np.repeat(x[:, :, :1], 3, 2) if channels < 3 else x[:, :, :3]
-    raise ValueError("cannot identify image data")
+    kind = pixels.image_format(data)
+    raise ValueError(f"cannot decode {kind} data" if kind else "cannot identify image data")
 
 
 def _pixels_of(row: Mapping) -> tuple[np.ndarray | None, str]:
@@ -248,8 +251,10 @@ def run_images(df: DataFrame, steps: Sequence[tuple[Computer, tuple[str, ...]]],
     """Adds the asked columns of the PER_IMAGE steps. `df` has `content` (bytes), and `image` (Spark's struct) where it is decoded already."""
     asked = [(c, names, dict(config.get(c.name, {}))) for c, names in steps]
     columns = [(n, c.types[n]) for c, names, _ in asked for n in names]
-    keep = [c for c in df.columns if c not in ("content", "image") and c not in {n for n, _ in columns}]
+    keep = [c for c in df.columns if c not in ("content", "image", RASTER) and c not in {n for n, _ in columns}]
     has_image = "image" in df.columns
+    if not has_image:
+        df = with_raster(df)
     extra = [f"`{n}` {t}" for n, t in columns]
     pandas_int = {"int": "Int32", "bigint": "Int64", "boolean": "boolean"}
 
@@ -260,7 +265,7 @@ def run_images(df: DataFrame, steps: Sequence[tuple[Computer, tuple[str, ...]]],
             for i in range(len(frame)):
                 data = frame["content"].iat[i]
                 data = bytes(data) if data is not None else None
-                rgb, error = _pixels_of(frame["image"].iat[i]) if has_image else decode(data)
+                rgb, error = _pixels_of(frame["image"].iat[i]) if has_image else decode(data, frame[RASTER].iat[i])
                 all_images.append(Image(data, rgb, error))
             for c, names, conf in asked:
                 for got in c.images(all_images, conf) if c.images else (c.image(x, conf) for x in all_images):
@@ -272,7 +277,7 @@ def run_images(df: DataFrame, steps: Sequence[tuple[Computer, tuple[str, ...]]],
             yield out
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields] + extra)
-    return df.select(*keep, "content", *(["image"] if has_image else [])).mapInPandas(run, schema)
+    return df.select(*keep, "content", "image" if has_image else RASTER).mapInPandas(run, schema)
 
 
 def run_parameters(df: DataFrame, wanted: Sequence[str], registry: Registry, config: Mapping[str, Mapping] | None = None) -> tuple[DataFrame, list[str]]:
@@ -287,6 +292,8 @@ def run_parameters(df: DataFrame, wanted: Sequence[str], registry: Registry, con
         if "content" not in df.columns:
             raise ConfigError("image computers need the column `content`")
         df = run_images(df, images, config)
+        if any(c.mode == AGGREGATE for c, _ in steps):
+            df = stored(df, "parameters")
     for c, _ in steps:
         if c.mode != PER_IMAGE:
             df = c.table(df, config.get(c.name, {}))

@@ -65,7 +65,7 @@ def perceptual_pairs(grouped: DataFrame) -> DataFrame:
 
 
 def semantic_groups(rows: DataFrame, threshold: float = 0.92, key: str = "embedding") -> DataFrame:
-    """Adds semantic_duplicate_group_id, _count, _score and semantic_nearest_image_id: each row belongs to the most similar earlier keeper."""
+    """Adds semantic_duplicate_group_id, _count, _score and semantic_duplicate_nearest_image_id: each row belongs to the most similar earlier keeper."""
     fine = F.col(key).isNotNull() & (F.size(key) > 0) & F.forall(key, lambda x: x.isNotNull() & ~F.isnan(x))
     used = rows.where(fine).select(F.col(POSITION).alias("pos"), "image_id", F.col(key).cast("array<double>").alias("vector"))
     led = lead(used.select("pos", "image_id"), similarity_edges(used, threshold), best_is_least=False, own=1.0)
@@ -74,11 +74,11 @@ def semantic_groups(rows: DataFrame, threshold: float = 0.92, key: str = "embedd
         "semantic_duplicate_group_id": F.coalesce(F.concat(F.lit("semantic-"), F.col("keeper_id")), F.lit("")),
         "semantic_duplicate_count": F.coalesce("_size", F.lit(1)).cast("long"),
         "semantic_duplicate_score": F.col("value"),
-        "semantic_nearest_image_id": F.coalesce("keeper_id", F.lit("")),
+        "semantic_duplicate_nearest_image_id": F.coalesce("keeper_id", F.lit("")),
     }
     return out.withColumns(made).drop("keeper_pos", "keeper_id", "value", "_size")
 
 
 def semantic_pairs(grouped: DataFrame) -> DataFrame:
-    members = grouped.where("semantic_duplicate_group_id != '' and semantic_nearest_image_id != image_id")
-    return members.select(F.col("semantic_nearest_image_id").alias("source_image_id"), F.col("image_id").alias("target_image_id"), F.col("semantic_duplicate_score").alias("score"), F.col("semantic_duplicate_group_id").alias("group_id"))
+    members = grouped.where("semantic_duplicate_group_id != '' and semantic_duplicate_nearest_image_id != image_id")
+    return members.select(F.col("semantic_duplicate_nearest_image_id").alias("source_image_id"), F.col("image_id").alias("target_image_id"), F.col("semantic_duplicate_score").alias("score"), F.col("semantic_duplicate_group_id").alias("group_id"))

@@ -258,6 +258,71 @@ def icc_and_dpi(data: bytes) -> tuple[bool, float | None, float | None]:
     return False, None, None
 
 
+def from_raster(data: bytes, raster: bytes) -> np.ndarray:
+    """Rows of RGB from the samples that `rasters` hands out and the image's header. Alpha is dropped; a palette's colours are put in."""
+    kind, x = image_format(data), np.frombuffer(raster, np.uint8)
+    w, h, channels, mode, _ = size_and_mode(data)
+    if kind == "GIF":
+        return _gif(data, x, w, h)
+    if len(x) == w * h * channels:
+        x = x.reshape(h, w, channels)
+        if channels < 3:
+            x = x[:, :, :1]
+        else:  # blue, green and red, after alpha where there is one
+            x = x[:, :, :-4:-1]
+        if mode == "P":
+            return _palette(data)[x[:, :, 0]]
+        return np.repeat(x, 3, 2) if x.shape[2] == 1 else x
+    bits = data[24] if kind == "PNG" else 0
+    if channels != 1 or bits not in (1, 2, 4):
+        raise ValueError(f"unsupported samples of {kind}")
+    x = _unpacked(x, w, h, bits)
+    if mode == "P":
+        return _palette(data)[x]
+    return np.repeat((x.astype(np.uint16) * 255 // ((1 << bits) - 1)).astype(np.uint8)[:, :, None], 3, 2)
+
+
+def _unpacked(x: np.ndarray, w: int, h: int, bits: int) -> np.ndarray:
+    """Samples of fewer than 8 bits; lines begin at whole bytes."""
+    ones = np.unpackbits(x.reshape(h, -1), axis=1)[:, : w * bits].reshape(h, w, bits)
+    return (ones @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8)
+
+
+def _palette(data: bytes) -> np.ndarray:
+    """256 colours of a PNG; those that it does not give are black."""
+    out = np.zeros((256, 3), np.uint8)
+    given = np.frombuffer(next(c for k, c in _png_chunks(data) if k == b"PLTE"), np.uint8).reshape(-1, 3)
+    out[: len(given)] = given
+    return out
+
+
+def _gif(data: bytes, x: np.ndarray, w: int, h: int) -> np.ndarray:
+    """The first frame on the screen, which has the background's colour where the frame does not reach."""
+
+    def colours(at: int, flags: int) -> np.ndarray:
+        out, n = np.zeros((256, 3), np.uint8), 2 << (flags & 7) if flags & 0x80 else 0
+        out[:n] = np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3)
+        return out
+
+    screen = colours(13, data[10])
+    at = 13 + (3 * (2 << (data[10] & 7)) if data[10] & 0x80 else 0)
+    while data[at] == 0x21:  # extensions before the frame
+        at += 2
+        while data[at]:
+            at += 1 + data[at]
+        at += 1
+    left, top, fw, fh, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+    if len(x) != fw * fh:
+        x = _unpacked(x, fw, fh, next(b for b in (1, 2, 4) if -(-fw * b // 8) * fh == len(x)))
+    frame = (colours(at + 10, flags) if flags & 0x80 else screen)[x.reshape(fh, fw)]
+    if (left, top, fw, fh) == (0, 0, w, h):
+        return frame
+    out = np.empty((max(h, top + fh), max(w, left + fw), 3), np.uint8)
+    out[:] = screen[data[11]]
+    out[top : top + fh, left : left + fw] = frame
+    return out[:h, :w]
+
+
 def gps(tags: dict) -> tuple[float | None, float | None]:
     """Latitude and longitude in signed decimal degrees."""
 

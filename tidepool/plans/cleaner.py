@@ -29,6 +29,8 @@ from . import config as configs
 from .preview import filtered, html
 
 INPUT_COLUMNS = ("image_id", "image_uri")
+#: The columns of a run's states by check.
+STATE = ("operator_name", "status", "processed_count", "skipped_count", "failed_count", "message")
 
 
 @dataclass(frozen=True)
@@ -170,9 +172,10 @@ class BasicCleaner(Cleaner):
                 told("parameters", {"computers": ran})
                 self._relations(spark, result.path, ran)
             self._evaluate(spark, result.path)
-            state |= {"status": "completed", "finished_at": datetime.now(UTC).isoformat()}
+            state |= {"status": "completed", "operator_states": self._states(spark, result.path), "finished_at": datetime.now(UTC).isoformat()}
         except Exception as e:
-            state |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:2000], "finished_at": datetime.now(UTC).isoformat()}
+            error = f"{type(e).__name__}: {e}"[:2000]
+            state |= {"status": "failed", "error": error, "operator_states": self._states(spark, result.path, error), "finished_at": datetime.now(UTC).isoformat()}
             if raise_on_error:
                 files.write(f"{result.path}/state.json", state)
                 raise
@@ -180,6 +183,18 @@ class BasicCleaner(Cleaner):
         told(state["status"], {"run_id": run_id})
         return result
 
+    def _states(self, spark: SparkSession, path: str, error: str | None = None) -> list[dict]:
+        """The rows that each check saw, counted in one aggregation over the stored parameters."""
+        files, where, checks = JsonFiles(spark), f"{path}/tables/parameter_table.parquet", self.config.checks
+        if error is not None and not files.exists(f"{where}/_SUCCESS"):
+            return [dict(zip(STATE, (c.name, "failed", 0, 0, 0, error), strict=True)) for c in checks]
+        table = spark.read.parquet(where)
+        nothing = lambda c: F.concat(*[F.lit("")] + [F.coalesce(F.col(p).cast("string"), F.lit("")) for p in c.check.required if p in table.columns]) == ""
+        n, *lost = table.agg(F.count("*"), *[F.count_if(nothing(c)) for c in checks]).first()
+        if error is not None:
+            return [dict(zip(STATE, (c.name, "failed", 0, n, 0, error), strict=True)) for c in checks]
+        return [dict(zip(STATE, (c.name, "completed", n - k, 0, k, None), strict=True)) for c, k in zip(checks, lost, strict=True)]
+
     def _relations(self, spark: SparkSession, path: str, ran: Sequence[str]) -> None:
         table = spark.read.parquet(f"{path}/tables/parameter_table.parquet")
         for name in ran:
@@ -190,7 +205,7 @@ class BasicCleaner(Cleaner):
     def _evaluate(self, spark: SparkSession, path: str) -> None:
         table = spark.read.parquet(f"{path}/tables/parameter_table.parquet")
         merged = merge_actions(evaluate(table, list(self.config.checks)), self.config.checks)
-        own = [n for c in self.config.checks for n in c.check.evaluation_columns]
+        own = list(dict.fromkeys(n for c in self.config.checks for n in c.check.evaluation_columns))
         merged.select(POSITION, *INPUT_COLUMNS, "final_action", "final_reason", "triggered_operator_names", *own).write.mode("overwrite").parquet(f"{path}/tables/evaluation_table.parquet")
 
     def reevaluate(self, result: CleanerResult) -> CleanerResult:
@@ -233,8 +248,8 @@ class CleanerResult:
         return self.spark.read.parquet(f"{self.path}/tables/evaluation_table.parquet")
 
     def full(self) -> DataFrame:
-        drop = [c for c in INPUT_COLUMNS]
-        return self.parameters().join(self.evaluations().drop(*drop), POSITION)
+        have, made = self.parameters(), self.evaluations()
+        return have.join(made.drop(*[c for c in made.columns if c in have.columns and c != POSITION]), POSITION)
 
     def view(self, kind: str) -> DataFrame:
         """clean, review, dropped, restricted, full, parameters or evaluations."""
@@ -263,11 +278,10 @@ class CleanerResult:
         return self.evaluations().select("image_id", *check.check.evaluation_columns)
 
     def state_frame(self) -> DataFrame:
-        """A row for each check: processed, failed and skipped rows."""
-        n = self.evaluations().count()
-        done = self.status == "completed"
-        rows = [(c.name, c.check.category, "completed" if done else "failed", n if done else 0, 0, 0) for c in self.cleaner.config.checks]
-        return self.spark.createDataFrame(rows, "operator string, category string, status string, processed bigint, skipped bigint, failed bigint")
+        """A row for each check as the run left it: its status, the rows it processed, those skipped (the run failed before them) and
+        those that failed (their parameters could not be computed, so that the check saw nothing), and the run's error."""
+        rows = [tuple(s.get(k) for k in STATE) for s in self.state()["operator_states"]]
+        return self.spark.createDataFrame(rows, "operator_name string, status string, processed_count bigint, skipped_count bigint, failed_count bigint, message string")
 
     def explain(self, image_id: str) -> dict:
         row = self.full().where(F.col("image_id") == image_id).first()

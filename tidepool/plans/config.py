@@ -62,8 +62,8 @@ def from_toml(text: str) -> CleanConfig:
         raise ConfigError(str(e)) from None
     if unknown := given.keys() - {"select", "operators", "runtime"}:
         raise ConfigError(f"unknown sections: {', '.join(sorted(unknown))}")
-    if ("select" in given) == ("operators" in given):
-        raise ConfigError("one of [select] and [operators] is needed")
+    if "select" in given and "operators" in given:
+        raise ConfigError("[select] and [operators] exclude each other")
     policies: dict[str, NodePolicy] = {}
     base = given.get("runtime", {})
 
@@ -75,14 +75,20 @@ def from_toml(text: str) -> CleanConfig:
             policies[name] = NodePolicy.of({**base, **run})
         return config
 
-    if "operators" in given:
-        selectors = [{n: block(n, c)} for n, c in given["operators"].items()]
-        checks = select(selectors)
+    blocks = given.get("operators", {})
+    if not isinstance(blocks, Mapping) or not isinstance(given.get("select", {}), Mapping):
+        raise ConfigError("[select] and [operators] are tables")
+    settings = {n: block(n, c) for n, c in blocks.items()}
+    if "select" not in given:
+        # The checks that have settings, or all of them.
+        checks = select([{n: c} for n, c in settings.items()] if settings else ["ALL"])
     else:
-        names = given["select"].get("use")
-        if not isinstance(names, list) or not names:
-            raise ConfigError("[select] needs a list `use`")
-        checks = select(names, {n: block(n, c) for n, c in given["select"].items() if n != "use"})
+        chosen = dict(given["select"])
+        names = chosen.pop("categories", None) if "categories" in chosen else chosen.pop("use", None)
+        names = [names] if isinstance(names, str) else names
+        if not isinstance(names, list) or not names or not all(isinstance(n, str) and n for n in names):
+            raise ConfigError("[select] needs `categories` or `use`: a name or a list of names")
+        checks = select(names, {n: block(n, c) for n, c in chosen.items()})
     return CleanConfig(tuple(checks), NodePolicy.of(base), policies)
 
 

@@ -24,13 +24,6 @@ def directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFra
     return df.select(F.col("path").alias("image_uri"), F.col("path").alias("source_uri"), F.col("length").alias("file_size_bytes"), "content")
 
 
-def decoded(spark: SparkSession, path: str) -> DataFrame:
-    """image_uri, content and image (Spark's struct; height -1 where decoding fails) of all images under a path."""
-    raw = directory(spark, path)
-    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(path)
-    return raw.join(image.select(F.col("image.origin").alias("image_uri"), "image"), "image_uri", "left")
-
-
 def local_path(uri: str) -> str:
     """A file system path of a plain path or a file address (percent-decoded, drive letters kept); other schemes are errors."""
     if len(uri) > 1 and uri[1] == ":" and uri[0].isalpha():

@@ -132,5 +132,5 @@ def sample(df: DataFrame, n: int, seed: str, key: str = "image_id") -> DataFrame
     """n rows chosen by hash, the same for the same seed whatever the partitions are, in table order."""
     if n < 0:
         raise ValueError("a sample's size is not negative")
-    chosen = df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(n)
+    chosen = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
     return chosen.orderBy(POSITION) if POSITION in df.columns else chosen

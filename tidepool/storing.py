@@ -7,15 +7,19 @@ import tempfile
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ConflictError, NotFoundError, StateError
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode, as in tests, and an error on a cluster, whose
+    machines have no folder in common that could be guessed."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StateError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -42,6 +46,7 @@ class JsonFiles:
 
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        self.gateway = spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -57,9 +62,23 @@ class JsonFiles:
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(data, indent=1, sort_keys=True, default=str).encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(part, p):
-            raise StateError(f"cannot write {path}")
+        self._replace(fs, part, p)
+
+    def _replace(self, fs, part, p) -> None:
+        """One step where the file system has it, so that there is a whole file at every moment."""
+        hadoop = self.jvm.org.apache.hadoop.fs
+        over = self.gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        try:
+            hadoop.FileContext.getFileContext(p.toUri(), self.conf).rename(part, p, over)
+        except Py4JJavaError:
+            fs.delete(p, False)
+            if not fs.rename(part, p):
+                raise StateError(f"cannot write {p}") from None
+
+    def remove(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
 
     def write_new(self, path: str, data: Any) -> None:
         """Writes a file that must not be there yet; of two writers one fails."""

@@ -22,7 +22,7 @@ from ..errors import AuthorizationError, ConflictError, NameConflictError, NotFo
 from ..sources.storage import Prefix, Storage, unverified
 from ..storing import JsonFiles
 from . import vectors as vec
-from .rows import KEY, SYSTEM, add_fields, check_rows, conform, counters, merged, name_key, relaxed
+from .rows import KEY, SYSTEM, add_fields, check_rows, conform, counters, merged, name_key, outside, relaxed
 
 MAIN = "main"
 
@@ -369,7 +369,7 @@ class Dataset:
         new = conform(frame, schema, partial=mode == "patch")
         check_rows(new, schema, list(self.repo.state()["prefixes"]), list(self.repo.tags(archived=False)))
         now = conform(View(self, base.snapshot, branch).frame(), schema)
-        if mode == "patch" and (gone := new.join(now, KEY, "left_anti").first()):
+        if mode == "patch" and (gone := outside(new, now, [KEY]).first()):
             raise ValidationError(f"{gone[KEY]} is not in {branch}")
         changes = merged(now, new, mode, fields)
         snapshot = uuid.uuid4().hex
@@ -380,8 +380,10 @@ class Dataset:
             self._verify(changes.where("change != 'removed'") if verify == "all" else changes.where("change in ('inserted', 'updated', 'same')"))
         sums = counters(changes).first()
         if not any(sums) and schema == old and checkpoint is None:
+            self.repo.manager.files.remove(f"{data}-changes")
             return CommitResult(base, False, 0, 0, 0)
         changes.where("change != 'removed'").drop("change").repartitionByRange(F.col(KEY)).sortWithinPartitions(KEY).write.parquet(data)
+        self.repo.manager.files.remove(f"{data}-changes")
         state["snapshots"][snapshot] = {"parent": base.snapshot, "data": data, "mode": mode, "message": message, "at": datetime.now(UTC).isoformat(), "counts": sums.asDict()}
         state["branches"][branch] = snapshot
         if checkpoint is not None:
@@ -445,7 +447,7 @@ class Dataset:
         where = [KEY, "storage_prefix_id", "relative_path"]
         if missing := [c for c in where if c not in frame.columns]:
             raise ValidationError(f"missing columns: {', '.join(missing)}")
-        if extra := frame.select(*where).join(view.frame(where), where, "left_anti").first():
+        if extra := outside(frame.select(*where), view.frame(where), where).first():
             raise ValidationError(f"{extra[KEY]} is not in the source at this place")
         new = self.repo.create_dataset(name, [T.StructField(f.name, f.dataType, True) for f in frame.schema.fields if f.name not in SYSTEM.fieldNames()])
         rows = conform(frame, new.schema())

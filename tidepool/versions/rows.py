@@ -141,5 +141,10 @@ def merged(current: DataFrame, submitted: DataFrame, mode: str, fields: Sequence
     return both.select(key, *[value(c).alias(c) for c in names], change.alias("change"))
 
 
+def outside(rows: DataFrame, of: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys are not among those of the other table."""
+    return rows.join(of.select(*keys), list(keys), "left_anti")
+
+
 def counters(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("inserted", "updated", "removed")])
