@@ -48,9 +48,9 @@ START_RATES = (0.01, 0.0005)
 ROUNDS, SHARD_TOKENS = 2, 500_000
 RATES = ((0.004, 0.002), (0.002, 0.0002))
 #: Documents that a shard trains side by side; weights that are averaged together; tokens that are counted at a time.
-LANES, BLOCK, COUNTED = 128, 4096, 4_000_000
+LANES, BLOCK, COUNTED = 128, 4096, 2_000_000
 #: Tokens from which on a document is a long one; tokens of long documents that are scored together, about.
-LONG, HELD_TOKENS = 2_000, 1_000_000
+LONG, HELD_TOKENS = 2_000, 500_000
 #: What `score` marks a document's own sums by; rows of the counts that a partition of the join holds in memory at most.
 OWN, HELD_ROWS = (-1, -2, -3, -4), 200_000
 #: The end's hash is that of the empty word, which no text holds.
