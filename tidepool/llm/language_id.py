@@ -10,11 +10,13 @@ goes with each language (smoothed), and the host priors, which are smoothed alon
 host's domain, the host; each level's counts are shrunk to its parent's distribution with the weight STRENGTH. A row's own first
 decision is taken out of its host's and domain's counts, so that it does not vouch for itself.
 
-The training sample is bounded by TRAIN_DOCS and the languages by MOST_LANGUAGES, which bounds the tables sent to the tasks. Counts of hosts,
-domains, suffixes and declared languages are joined as tables and never gathered.
+The training sample is that many documents of each language (TRAIN_DOCS), so that no language goes without; every language that labels
+name is known. The tables sent to the tasks are bounded by the languages and the sample; n-grams that a language has not are not held for it. Counts of hosts,
+domains, suffixes and declared languages are joined as tables and never gathered. Of declared languages the primary subtag counts, whole.
 
-Rows without text, address or markup go by the prior alone. Null texts and addresses count as empty. Repeated rows each give a row. Without
-training text the language is null. An empty table gives an empty one. Columns that are not named are ignored.
+Rows without text, address or markup go by the prior alone. Null texts and addresses count as empty. Repeated rows each give a row. Very long texts
+are read whole. Equal posteriors go to the language with more training text, then to the first by name. Without training text the language is null.
+An empty table gives an empty one. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_of, lean, spread, stored, table, text_blocks
+from ._common import batch_of, forget, lean, spread, stored, table, text_blocks
 
-#: Documents that the text likelihood is trained on, about, and languages that it knows at most (the most frequent).
-TRAIN_DOCS, MOST_LANGUAGES = 4_000, 200
+#: Documents of each language that the text likelihood is trained on, about.
+TRAIN_DOCS = 1_000
 #: Weight of a parent's distribution, in rows; pseudo-count of declared languages and suffixes; exponent of the text likelihood.
 STRENGTH, SMOOTH, TEMPER = 20.0, 1.0, 0.3
-GRAMS, CACHE = 3, 400_000
+#: Characters of an n-gram; numbers (words times languages) that are remembered, and that are made at a time.
+GRAMS, CACHE, MADE = 3, 1_600_000, 1_000_000
 
 ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1>", re.S | re.I)
 HIDDEN = re.compile(r"<(script|style|nav|head|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -52,12 +55,41 @@ def grams(word: str) -> list[str]:
     return [w[i : i + GRAMS] for i in range(len(w) - GRAMS + 1)]
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Languages, and log-likelihoods of each n-gram by language."""
+class Grams:
+    """log P(n-gram | language) by n-gram and language, held where a language has the n-gram; elsewhere `none`, by language."""
+
+    def __init__(self, langs: list[str], counts: list[tuple[str, str, int]]):
+        self.langs, at = langs, {x: i for i, x in enumerate(langs)}
+        self.gram: dict[str, int] = {}
+        for _, g, _ in counts:
+            self.gram.setdefault(g, len(self.gram))
+        row = np.array([self.gram[g] for _, g, _ in counts], np.int64)
+        lang, n = np.array([at[x] for x, _, _ in counts], np.int64), np.array([k for _, _, k in counts], float)
+        total = np.bincount(lang, n, len(langs)) + 0.5 * (len(self.gram) + 1)
+        self.none = np.log(0.5 / total)
+        order = np.argsort(row, kind="stable")
+        self.lang, self.value = lang[order], (np.log((n + 0.5) / total[lang]) - self.none[lang])[order]
+        self.starts = np.searchsorted(row[order], np.arange(len(self.gram) + 2))  # one more row, of an n-gram that nobody has
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Words by languages: the sum over a word's n-grams."""
+        each = [grams(w) for w in words]
+        get, n = self.gram.get, len(self.gram)
+        found = np.fromiter((get(g, n) for e in each for g in e), np.int64)
+        sizes = np.array([len(e) for e in each])
+        word, held = np.repeat(np.arange(len(words)), sizes), self.starts[found + 1] - self.starts[found]
+        at = np.repeat(self.starts[found] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        cell = np.repeat(word, held) * len(self.langs) + self.lang[at]
+        return np.bincount(cell, self.value[at], len(words) * len(self.langs)).reshape(len(words), -1) + sizes[:, None] * self.none
+
+
+def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], Grams | None]:
+    """Languages, those with more training text first, and their n-grams."""
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    n = docs.where("lang is not null").count()  # reads no text
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    # A row for each language, of which the model holds more than a row each.
+    shares = docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg((F.lit(float(most)) / F.count("*")).alias("share"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.col("share")
+    known = known.join(F.broadcast(shares), "lang").where(part).select("doc_id", "lang", "text")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,54 +105,39 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], dict[str,
 
     counted = known.mapInArrow(lean(run), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = stored(counted, "language-grams")
-    langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    at = {x: i for i, x in enumerate(langs)}
-    table_: dict[str, np.ndarray] = {}
-    for r in counted.toLocalIterator():
-        if r["lang"] in at:
-            table_.setdefault(r["gram"], np.zeros(len(langs)))[at[r["lang"]]] = r["n"]
-    if not langs:
-        return [], {}
-    total = sum(table_.values()) + 0.5 * (len(table_) + 1)
-    model = {g: np.log((v + 0.5) / total) for g, v in table_.items()}
-    model[""] = np.log(0.5 / total)  # of n-grams that were never seen
-    return langs, model
+    langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    rows = [tuple(r) for r in counted.toLocalIterator()]
+    forget(counted)
+    return (langs, Grams(langs, rows)) if langs else ([], None)
 
 
 class Likelihood:
     """Log-likelihoods of texts by language, by words that are remembered for a while; new words of a block are scored together."""
 
-    def __init__(self, model: dict[str, np.ndarray]):
-        self.gram = {g: i for i, g in enumerate(model)}
-        self.matrix = np.array(list(model.values()))
-        self.none = self.gram[""]
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((0, self.matrix.shape[1]))
-
-    def _learn(self, words: list[str]) -> None:
-        each = [grams(w) for w in words]
-        get, none = self.gram.get, self.none
-        found = np.fromiter((get(g, none) for e in each for g in e), np.int64)
-        starts = np.cumsum([0, *map(len, each[:-1])])
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.table = np.concatenate([self.table, np.add.reduceat(self.matrix[found], starts)])
+    def __init__(self, model: Grams):
+        self.model, self.at = model, {}
+        self.table = np.zeros((0, len(model.langs)))
 
     def texts(self, texts: list[str]) -> np.ndarray:
+        n = len(self.model.langs)
         split = [t.lower().split() for t in texts]
         new = list({w for s in split for w in s if w not in self.at})
-        if len(self.at) + len(new) > CACHE:
+        if (len(self.at) + len(new)) * n > CACHE:
             self.at, self.table = {}, self.table[:0]
             new = list({w for s in split for w in s})
-        for i in range(0, len(new), 50_000):
-            self._learn(new[i : i + 50_000])
-        out = np.zeros((len(texts), self.table.shape[1]))
+        step, made = max(1, MADE // n), [self.table]
+        for i in range(0, len(new), step):
+            made.append(self.model.of(new[i : i + step]))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.table = np.concatenate(made)
+        out = np.zeros((len(texts), n))
         for i, s in enumerate(split):
             if s:
                 out[i] = self.table[np.fromiter(map(self.at.__getitem__, s), np.int64, len(s))].sum(0)
         return out
 
 
-def text_evidence(rows: DataFrame, model: dict[str, np.ndarray], n: int, html: bool) -> DataFrame:
+def text_evidence(rows: DataFrame, model: Grams, n: int, html: bool) -> DataFrame:
     """Adds `evidence` (log-likelihood of the text by language) in place of `text`."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != "text"]
@@ -141,7 +158,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def fused(rows: DataFrame, langs: list[str], model: dict[str, np.ndarray], html: bool) -> DataFrame:
+def fused(rows: DataFrame, langs: list[str], model: Grams | None, html: bool) -> DataFrame:
     """`rows` has text, declared and host besides any keys; adds lang, confidence, text_lang (by text alone) and keeps the rest but the text."""
     n = len(langs)
     if not n:
@@ -149,7 +166,7 @@ def fused(rows: DataFrame, langs: list[str], model: dict[str, np.ndarray], html:
     name = lambda i: F.when(i.isNotNull(), F.element_at(F.array(*map(F.lit, langs)), i))
     parts = F.split("host", r"\.")
     domain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))
-    read = text_evidence(rows, model, n, html).withColumns({"declared": F.lower(F.substring(F.coalesce("declared", F.lit("")), 1, 2)), "suffix": F.element_at(parts, -1), "domain": domain})
+    read = text_evidence(rows, model, n, html).withColumns({"declared": F.regexp_extract(F.lower(F.coalesce("declared", F.lit(""))), "^[a-z]+", 0), "suffix": F.element_at(parts, -1), "domain": domain})
     top = F.array_position("evidence", F.array_max("evidence")).cast("int")
     read = stored(read.withColumn("first", F.when(F.exists("evidence", lambda v: v != 0), top)), "evidence")
     counted = F.array(*[F.count_if(F.col("first") == i + 1) for i in range(n)]).cast("array<double>")
