@@ -71,6 +71,34 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     assert key(decontaminate.leaks(docs(spark, rows, repeat=False), items(spark, tests))) == one
 
 
+def test_short_items_are_found_as_whole_lines(spark):
+    rows = ["What is it?\nnobody knows", "say what is it now", "first line here\r\n  WHAT -- is, it \nlast", "one two three four five six seven", "x", None, "what is\nit"]
+    found = sorted(map(tuple, decontaminate.leaks(docs(spark, rows, repeat=False), items(spark, ["what is it", "One two, three four five six seven!", "", None, "say what"])).drop("text_hash").collect()))
+    assert found == [(0, 0, 0, 0, 3, 3, 1.0), (2, 0, 3, 0, 3, 3, 1.0), (3, 1, 0, 0, 7, 7, 1.0)]
+
+
+def test_columns_with_the_operators_names(spark):
+    rows, tests = corpus(random.Random(8))
+    df = docs(spark, rows).withColumns({n: decontaminate.F.lit(1) for n in ("leak_id", "_leak_id", "leak_hash", "item_id", "h", "words", "region")})
+    out = decontaminate.clean(df, items(spark, tests))
+    assert out.columns == df.columns and out.count() == decontaminate.clean(docs(spark, rows), items(spark, tests)).count()
+
+
+def test_recall_against_all_places_without_masks():
+    """Random overlaps that count by the rule, from seeds or not; at least nine of ten hold a seed."""
+    rng = random.Random(2)
+    held = counted = 0
+    for _ in range(4000):
+        n, identity = rng.randint(13, 60), rng.uniform(0.7, 1.0)
+        same = [rng.random() < identity for _ in range(n)]
+        a, b, m = decontaminate.best_run(decontaminate.np.array(same))
+        if m < decontaminate.MIN_MATCHES or m < decontaminate.MIN_IDENTITY * (b - a):
+            continue
+        counted += 1
+        held += any(all(same[i + j] for j, c in enumerate(f) if c == "1") for f in decontaminate.MASKS for i in range(n - len(f) + 1))
+    assert counted > 1000 and held >= 0.9 * counted, held / counted
+
+
 def test_empty_tables(spark):
     some, none = docs(spark), docs(spark).limit(0)
     assert decontaminate.leaks(none, items(spark, ["a b c d e f g h i j k l m n o p"])).count() == 0

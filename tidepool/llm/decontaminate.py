@@ -8,8 +8,12 @@ themselves: along that offset the best run (a match counts 1, a substitution -2)
 Document hashes first pass a Bloom filter of the test hashes. Its size is bounded by `MOST_BITS` whatever the benchmark is, so that
 it can be sent to all tasks; a fuller filter only lets more hashes through to the join, which decides.
 
-Null and empty texts hold no tokens and take no part; items shorter than the shortest mask cannot be found. Repeated rows and ids
-are matched each by itself (rows are told apart by id and text hash). Empty tables give an empty result. Other columns are ignored.
+Items shorter than the shortest mask are found where a whole line of a document (or its whole text) has their tokens and no others: such
+short runs of words occur by chance inside sentences. Their lines are looked for in a pass of their own, if there are such items.
+
+Null and empty texts hold no tokens and take no part. Repeated rows and ids
+are matched each by itself (rows are told apart by id and text hash). Very long texts are read whole; of a document only the stretches around
+hits go on. Of equally good runs the earlier counts. Empty tables give an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -185,7 +189,37 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield batch_of(schema, *map(list, zip(*rows, strict=True)))
 
     slim = pairs.select("doc_id", "text_hash", "item_id", "shift", "start", "words", "item_words")
-    return slim.mapInArrow(lean(verify), "doc_id bigint, text_hash bigint, item_id bigint, doc_start int, item_start int, n_words int, n_matches int, share double")
+    out = slim.mapInArrow(lean(verify), "doc_id bigint, text_hash bigint, item_id bigint, doc_start int, item_start int, n_words int, n_matches int, share double")
+    short = item_words.where(F.size("words").between(1, min(map(len, MASKS)) - 1)).select("item_id", F.col("words").alias("item_words"), F.xxhash64("words").alias("h"))
+    return out if short.isEmpty() else out.unionByName(whole_lines(docs, short))
+
+
+def whole_lines(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Overlaps, as above, of lines that have a short item's tokens and no others. `short` has item_id, item_words and their hash h."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("doc_start", pa.int32()), ("words", pa.list_(pa.int64()))])
+    most = min(map(len, MASKS)) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = HashOf()
+        for part, texts in text_blocks(batches):
+            pick, starts, words = [], [], []
+            for i, t in enumerate(texts):
+                at = 0
+                for line in t.splitlines():
+                    w = tokens(line)
+                    if 0 < len(w) <= most:
+                        pick.append(i)
+                        starts.append(at)
+                        words.append(hashes.array(w).view(np.int64))
+                    at += len(w)
+            chosen = pa.array(pick, pa.int64())
+            yield batch_of(schema, part.column(0).take(chosen), part.column(1).take(chosen), starts, words)
+
+    given = spread(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")))
+    lines = given.mapInArrow(lean(run), "doc_id bigint, text_hash bigint, doc_start int, words array<bigint>").withColumn("h", F.xxhash64("words"))
+    met = lines.join(short, "h").where(F.col("words") == F.col("item_words"))
+    size = F.size("item_words")
+    return met.select("doc_id", "text_hash", "item_id", "doc_start", F.lit(0).alias("item_start"), size.alias("n_words"), size.alias("n_matches"), F.lit(1.0).alias("share"))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -197,8 +231,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no benchmark passage, all columns kept."""
-    found = overlaps(docs, items).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_leak_id")) & (F.xxhash64("text") == F.col("_leak_hash")), "left_anti")
+    found = overlaps(docs, items).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    return docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found["leak_id"]) & (F.xxhash64(docs["text"]) == found["leak_hash"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +278,17 @@ WITH m AS (
 ), g AS (
   SELECT *, n_matches / CAST(n AS DOUBLE) AS share FROM f
   WHERE n_matches >= least({MIN_MATCHES}, ceil({MIN_SHARE}::DOUBLE * n)) AND n_matches >= {MIN_IDENTITY}::DOUBLE * n_words
+), y AS (
+  SELECT r, doc_id, j, regexp_extract_all(lower(lines[j]), '[\p{{L}}\p{{N}}_]+') AS w
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS j FROM (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]') AS lines FROM documents))
+), x AS (
+  SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y
+), z AS (
+  SELECT doc_id, r, item_id, doc_start, item_start, n_words, n_matches, share FROM g
+  UNION ALL
+  SELECT x.doc_id, x.r, i.item_id, CAST(before AS INTEGER), 0, CAST(len(i.w) AS INTEGER), CAST(len(i.w) AS INTEGER), 1.0 FROM x JOIN i ON x.w = i.w WHERE len(i.w) BETWEEN 1 AND {min(map(len, MASKS)) - 1}
 )
-SELECT doc_id, item_id, doc_start, item_start, n_words, n_matches, share FROM g
+SELECT doc_id, item_id, doc_start, item_start, n_words, n_matches, share FROM z
 QUALIFY row_number() OVER (PARTITION BY doc_id, r, item_id ORDER BY n_matches DESC, n_words, doc_start, item_start DESC, share DESC) = 1
 """
 
