@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.llm import top_k
@@ -9,10 +10,10 @@ SCHEMA = "vec_id bigint, embedding array<float>, label int, shard int"
 
 def brute(rows, step=50, k=5):
     ok = [(i, np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = []
-    for q, v in ok:
+    ok, out = [(i, v) for i, v in ok if len(v)], []
+    for n_q, (q, v) in enumerate(ok):
         if q % step == 0:
-            best = sorted(((-int(v @ w), i) for i, w in ok if i != q))[:k]
+            best = sorted(((-int(v @ w), i) for n, (i, w) in enumerate(ok) if n != n_q and len(w) == len(v)))[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -33,6 +34,19 @@ def test_against_brute_force_with_many_small_shards(spark):
     assert found(df, shard=60, block=4) == expect
 
 
+def test_repeated_ids_and_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 120, rng.standard_normal(3 if i % 4 else 5).round(2).tolist()) for i in range(300)] + [(50, [1.0, 2.0, 3.0])] * 3 + [(100, []), (150, [1.0] * 9)]
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], SCHEMA)
+    assert found(df) == found(df, shard=40, block=3) == brute(rows)
+
+
+def test_scores_that_would_not_be_exact_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e17, 2.0], 0, 0), (7, [1e17, 0.5], 0, 0)], SCHEMA)
+    with pytest.raises(OverflowError):
+        top_k.top_k(df, F.col("vec_id") % 50 == 0)
+
+
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0, 0), (7, [0.5, 0.5], 0, 0)], SCHEMA)
     assert found(df) == [(0, 1, 7, 128 * 256 + 128 * 512)]
@@ -49,4 +63,4 @@ def test_branch_and_bound_leaves_out_vectors():
     rng = np.random.default_rng(1)
     v = np.concatenate([np.floor(256 * (c + 0.02 * rng.standard_normal((500, 16)))) for c in rng.standard_normal((16, 16))])
     best = top_k.Best(1, 5)
-    assert top_k.search(top_k.BallTree(np.arange(len(v)), v), np.array([-1]), v[:1], best) < len(v) / 2
+    assert top_k.search(top_k.BallTree(np.arange(len(v)), np.arange(len(v)), v), np.array([-1]), v[:1], best) < len(v) / 2
