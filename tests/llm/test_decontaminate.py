@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+
 from tidepool.llm import decontaminate
 
 from .helpers import docs
@@ -74,6 +76,12 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
 def test_short_items_are_found_as_whole_lines(spark):
     rows = ["What is it?\nnobody knows", "say what is it now", "first line here\r\n  WHAT -- is, it \nlast", "one two three four five six seven", "x", None, "what is\nit"]
     found = sorted(map(tuple, decontaminate.leaks(docs(spark, rows, repeat=False), items(spark, ["what is it", "One two, three four five six seven!", "", None, "say what"])).drop("text_hash").collect()))
+    with duckdb.connect() as con:
+        con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+        con.executemany("INSERT INTO benchmark VALUES (?, ?)", list(enumerate(["what is it", "One two, three four five six seven!", "", None, "say what"])))
+        assert sorted(con.sql(decontaminate.SQL).fetchall()) == found
     assert found == [(0, 0, 0, 0, 3, 3, 1.0), (2, 0, 3, 0, 3, 3, 1.0), (3, 1, 0, 0, 7, 7, 1.0)]
 
 

@@ -280,7 +280,7 @@ WITH m AS (
   WHERE n_matches >= least({MIN_MATCHES}, ceil({MIN_SHARE}::DOUBLE * n)) AND n_matches >= {MIN_IDENTITY}::DOUBLE * n_words
 ), y AS (
   SELECT r, doc_id, j, regexp_extract_all(lower(lines[j]), '[\p{{L}}\p{{N}}_]+') AS w
-  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS j FROM (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]') AS lines FROM documents))
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS j FROM (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS lines FROM documents))
 ), x AS (
   SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y
 ), z AS (
