@@ -2,7 +2,7 @@ import random
 
 import duckdb
 
-from tidepool.llm import decontaminate
+from tidepool.llm import _common, decontaminate
 
 from .helpers import docs
 
@@ -68,8 +68,8 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     rows, tests = corpus(random.Random(6))
     key = lambda df: sorted((r["doc_id"], r["item_id"], r["n_matches"]) for r in df.collect())
     one = key(decontaminate.leaks(docs(spark, rows, repeat=False), items(spark, tests)))
-    monkeypatch.setattr(decontaminate, "LEAST_BITS", 1 << 8)
-    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 8)
+    monkeypatch.setattr(_common, "LEAST_BITS", 1 << 8)
+    monkeypatch.setattr(_common, "MOST_BITS", 1 << 8)
     assert key(decontaminate.leaks(docs(spark, rows, repeat=False), items(spark, tests))) == one
 
 

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..storing import forget, shared_dir, stored
 
-__all__ = ["BLOCK_CHARS", "HashOf", "Places", "batch_of", "forget", "lean", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
+__all__ = ["BLOCK_CHARS", "Filter", "HashOf", "Places", "batch_of", "forget", "lean", "make_filter", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
 
 #: Characters of text that one Arrow batch of results covers at most (one whole text at least).
 BLOCK_CHARS = 4_000_000
+#: Bits of a Bloom filter for each hash, and at least and at most.
+BITS_A_HASH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 26
 #: The setting that bounds Arrow batches in bytes, Spark's default and ours.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 
@@ -147,3 +149,35 @@ class Places:
             on = ~hit & (got != 0)
             open_, slot = open_[on], slot[on]
         return out
+
+
+class Filter:
+    """A Bloom filter of 64-bit hashes with three bits each."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.bytes = np.uint64(bits), words.view(np.uint8)
+
+    def _has(self, at: np.ndarray) -> np.ndarray:
+        at = at & (self.bits - np.uint64(1))
+        return (self.bytes[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def where(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may be in the set."""
+        found = np.flatnonzero(self._has(hashes))
+        for shift in (20, 40):
+            found = found[self._has(hashes[found] >> np.uint64(shift))]
+        return found
+
+
+def make_filter(hashed: DataFrame) -> Filter:
+    """From a column `h`. At most MOST_BITS / 64 rows reach the driver."""
+    n = hashed.count()
+    bits = LEAST_BITS
+    while bits < min(n * BITS_A_HASH, MOST_BITS):
+        bits *= 2
+    places = hashed.select(F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(bits - 1) for s in (0, 20, 40)])).alias("at"))
+    rows = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).collect()
+    words = np.zeros(bits // 64, np.uint64)
+    for r in rows:
+        words[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return Filter(bits, words)

@@ -5,7 +5,7 @@ of documents; the kept tokens of each place give a hash, so that a place survive
 training hashes are joined; each hit names a document, an item and the offset between them, and is verified on the tokens
 themselves: along that offset the best run (a match counts 1, a substitution -2) must have enough matches and identity.
 
-Document hashes first pass a Bloom filter of the test hashes. Its size is bounded by `MOST_BITS` whatever the benchmark is, so that
+Document hashes first pass a Bloom filter of the test hashes. Its size is bounded (`_common.MOST_BITS`) whatever the benchmark is, so that
 it can be sent to all tasks; a fuller filter only lets more hashes through to the join, which decides.
 
 Items shorter than the shortest mask are found where a whole line of a document (or its whole text) has their tokens and no others: such
@@ -26,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import HashOf, batch_of, lean, mix64, spread, stored, table, text_blocks
+from ._common import Filter, HashOf, batch_of, lean, make_filter, mix64, spread, stored, table, text_blocks
 
 #: Kept (1) and ignored (0) positions.
 MASKS = ("11101011", "111001011", "1101100101", "1011010011")
 #: An overlap counts from so many matching tokens on, or from this share of an item that is shorter, at this identity.
 MIN_MATCHES, MIN_SHARE, MIN_IDENTITY = 13, 0.7, 0.7
-#: Bits of the filter for each test hash, and at least and at most.
-BITS_A_HASH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 26
 
 TOKEN = re.compile(r"\w+")
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64))
@@ -56,38 +54,6 @@ def seeds(words: np.ndarray, mask: int) -> np.ndarray:
     return mix64(out)
 
 
-class Filter:
-    """A Bloom filter of 64-bit hashes with three bits each."""
-
-    def __init__(self, bits: int, words: np.ndarray):
-        self.bits, self.bytes = np.uint64(bits), words.view(np.uint8)
-
-    def _has(self, at: np.ndarray) -> np.ndarray:
-        at = at & (self.bits - np.uint64(1))
-        return (self.bytes[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-    def where(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions of the hashes that may be in the set."""
-        found = np.flatnonzero(self._has(hashes))
-        for shift in (20, 40):
-            found = found[self._has(hashes[found] >> np.uint64(shift))]
-        return found
-
-
-def make_filter(hashed: DataFrame) -> Filter:
-    """From a column `h`. At most MOST_BITS / 64 rows reach the driver."""
-    n = hashed.count()
-    bits = LEAST_BITS
-    while bits < min(n * BITS_A_HASH, MOST_BITS):
-        bits *= 2
-    places = hashed.select(F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(bits - 1) for s in (0, 20, 40)])).alias("at"))
-    rows = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).collect()
-    words = np.zeros(bits // 64, np.uint64)
-    for r in rows:
-        words[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return Filter(bits, words)
-
-
 def item_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of test items: (h, item_id, at) for each mask and place, and (item_id, words) with the tokens' hashes."""
     words_schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.int64()))])

@@ -2,15 +2,15 @@
 
 Words are runs without white space; a document is the set of its 5-word n-grams (one n-gram of all words where there are fewer).
 Documents with equal sets are one node with a multiplicity. Band and row counts are chosen for a target recall at the threshold
-(`bands_for`). Nodes are shuffled on band hashes; those that share one with another node are candidates, and only their texts are
-read again. Candidates are verified on the full sets, every pair of nodes that shares a band hash, in blocks of bounded size.
+(`bands_for`). Nodes are shuffled on band hashes; those that share one with another node are candidates, and only their sets are
+cut again, once, and move on. Candidates are verified on the full sets, every pair of nodes that shares a band hash, in blocks of bounded size.
 
 No pair becomes a row. Nodes that share band hashes are brought together by a label (the least node met in their buckets), each
 label's nodes are dealt by hash to blocks of bounded bytes, and each two blocks that share a bucket meet in one task, which counts
 each node's links and gives a spanning forest of them. So the rows between stages follow the nodes, and a large group of copies is
 spread over many tasks, while no link is lost. Links of a forest are joined into classes by minimum labels with pointer jumping.
 
-Null texts and texts without words have no n-grams and no links; each row of this kind is a class of its own. Rows with the same id
+Very long texts are read whole. Null texts and texts without words have no n-grams and no links; each row of this kind is a class of its own. Rows with the same id
 and text are copies of each other. Empty tables give an empty result. `one_of_each` keeps all columns, whatever their names.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import HashOf, batch_of, forget, lean, mix64, spread, stored, table, text_blocks
+from ._common import HashOf, batch_of, forget, lean, make_filter, mix64, spread, stored, table, text_blocks
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Hashes of a signature at most; nodes and n-grams of a block, about.
@@ -158,25 +158,33 @@ def forest(linked: np.ndarray, left: int) -> np.ndarray:
         root = new
 
 
-def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """node, root, n_links (documents in linked nodes), n_sets (linked nodes): a row for each node and task that found it links."""
-    met = block_pairs(nodes).join(nodes.select("node", "rep", "n_docs"), "node")
-    met = met.select("node", "block", "low", "high", "n_docs", F.coalesce("rep.doc_id", F.lit(0)).alias("near_id"), F.col("rep.text_hash").alias("near_hash"))
-    text = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("near_id"), text_hash().alias("near_hash"), F.col("text").cast("string").alias("text"))
-    read = met.join(text, ["near_id", "near_hash"])
-    payload = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("block", pa.int64()), ("node", pa.binary()), ("n_docs", pa.int64()), ("grams", pa.binary())])
+def n_gram_sets(docs: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+    """node, n_docs, grams: each candidate's set, read once from its representative's text. Rows that a Bloom filter of the candidates' keys does
+    not know leave no text behind the scan; the join decides."""
+    key = F.xxhash64("near_id", "near_hash")
+    passes = make_filter(candidates.select(key.alias("h")))
+    sent = docs.sparkSession.sparkContext.broadcast(passes)
+    schema = pa.schema([("near_id", pa.int64()), ("near_hash", pa.int64()), ("grams", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = HashOf(), set()
-        for part, texts in text_blocks(batches):
-            keys = list(zip(*(part.column(i).to_pylist() for i in (0, 1, 3)), strict=True))
-            first = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]  # rows equal in id and text are read once
-            if len(seen) > 500_000:
-                seen.clear()
-            part = part.take(pa.array(first, pa.int64()))
-            yield batch_of(payload, *part.columns[:5], [grams(texts[i], hashes, n).tobytes() for i in first])
-
-    sets = read.select("low", "high", "block", "node", "n_docs", "text").mapInArrow(lean(cut), "low bigint, high bigint, block bigint, node binary, n_docs bigint, grams binary")
+        hashes = HashOf()
+        for batch in batches:
+            known = sent.value.where(batch.column(2).to_numpy().view(np.uint64))
+            for part, texts in text_blocks([batch.take(pa.array(known))]):
+                yield batch_of(schema, part.column(0), part.column(1), [grams(t, hashes, n).tobytes() for t in texts])
+
+    given = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("near_id"), text_hash().alias("near_hash"), F.col("text").cast("string").alias("text"))
+    read = spread(given.select("near_id", "near_hash", key.alias("key"), "text")).mapInArrow(lean(cut), "near_id bigint, near_hash bigint, grams binary")
+    # Rows equal in id and text are one.
+    return stored(candidates.join(read, ["near_id", "near_hash"]).select("node", "n_docs", "grams").dropDuplicates(["node"]), "sets")
+
+
+def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """node, root, n_links (documents in linked nodes), n_sets (linked nodes): a row for each node and task that found it links."""
+    met = stored(block_pairs(nodes), "met")
+    candidates = stored(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n_docs", F.coalesce("rep.doc_id", F.lit(0)).alias("near_id"), F.col("rep.text_hash").alias("near_hash")), "candidates")
+    sets = n_gram_sets(docs, candidates, n)
+    sets = met.join(sets, "node").select("low", "high", "block", "node", "n_docs", "grams")
     out = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("n_links", pa.int64()), ("n_sets", pa.int64())])
 
     def verify(low: int, high: int, rows: dict[bytes, tuple]) -> pa.RecordBatch | None:
