@@ -42,7 +42,34 @@ def test_rebalancing_edits_the_map(spark, tmp_path):
     for m in (first, grown):
         m.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
-    assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 2).shard_of == grown.shard_of
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 2) == grown and sharding.SlotMap.versions(spark, str(tmp_path / "map")) == [1, 2]
+
+
+def test_a_stored_map_is_found_again_and_edited(spark, tmp_path):
+    d, store = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tmp_path / "map")
+    one, first = sharding.shard(d, store=store)
+    two, again = sharding.shard(d, store=store)
+    assert again == first and sorted(one.collect()) == sorted(two.collect())
+    more = d.union(d.where("doc_id < 300").withColumns({"doc_id": sharding.F.col("doc_id") + 10**6}))
+    placed, edited = sharding.shard(more, store=store)
+    assert edited.version == 2 and sharding.SlotMap.versions(spark, store) == [1, 2]
+    kept = [i for i in range(sharding.SLOTS) if i not in set(edited.moved)]
+    assert all(first.shard_of[i] == edited.shard_of[i] for i in kept) and len(edited.moved) < 0.2 * 1300
+    loads = edited.loads()
+    assert sum(loads) == placed.agg(sharding.F.sum("size")).first()[0] and max(loads) <= 1.02 * sum(loads) / 16
+
+
+def test_a_shard_without_slots_is_kept(spark, tmp_path):
+    few = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    _, places = sharding.shard(few, shards=5, slots=8, store=str(tmp_path / "map"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == places and places.shards == 5
+
+
+def test_equal_rows_and_ties(spark):
+    rows = spark.createDataFrame([(7, "same")] * 5 + [(None, "same")] * 2 + [(i, "x" * 9) for i in range(40)], "doc_id long, text string")
+    placed = sharding.shard(rows, shards=3, slots=16)[0].collect()
+    assert len(placed) == 47 and len({(r["shard"], r["slot"]) for r in placed}) == 47
+    assert len({r["shard"] for r in placed if r["doc_id"] == 7}) == 1
 
 
 def test_empty_table(spark):

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.query,
     "op10_lm_scores": lm_scores.query,
 }
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontaminate.SQL, "op5_top_k": top_k.SQL, "op6_ngram_jaccard_join": near_join.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.SQL, "op4_decontamination": decontaminate.SQL, "op5_top_k": top_k.SQL, "op6_ngram_jaccard_join": near_join.SQL}
