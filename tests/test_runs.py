@@ -1,3 +1,4 @@
+import pathlib
 import struct
 import zipfile
 import zlib
@@ -14,6 +15,7 @@ from tidepool.operators.computers import PER_IMAGE, Computer, Registry, builtin,
 from tidepool.plans.cleaner import BasicCleaner
 from tidepool.sources import annotations, images, importer, raw, urls
 from tidepool.sources.storage import Prefix, Storage, safe_path
+from tidepool.storing import shared_dir
 from tidepool.sources.tabular import Dataset, fingerprint, grid_limit, register_format, sample, sorted_by, with_position
 
 
@@ -160,9 +162,12 @@ def test_each_image_is_decoded_once(spark, folder, tmp_path):
     registry = Registry([*builtin(), Computer("counter", PER_IMAGE, {"seen": "int"}, image=seen)])
     check = Check("seen", "test", ("seen",), {"action": "review"}, lambda c: (F.lit(False), F.lit("")))
     cleaner = BasicCleaner([check, "exact_duplicate", "perceptual_duplicate", "blur"], registry)
+    kept = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = sorted(p.name.split("-")[0] for p in kept.iterdir())
     result = cleaner.run(rows(spark, folder), str(tmp_path / "out"), run_id="r")
     assert result.status == "completed", result.state()["error"]
     assert log.stat().st_size == 5
+    assert sorted(p.name.split("-")[0] for p in kept.iterdir()) == before  # nothing of the run's own is left there
     assert set(result.state_frame().select("operator_name", "processed_count", "failed_count").collect()) == {("seen", 5, 0), ("exact_duplicate", 5, 0), ("perceptual_duplicate", 5, 0), ("blur", 4, 1)}
     assert result.operator("blur").columns == ["image_id", "blur_score", "blur_action", "blur_reason"]
 

@@ -24,7 +24,7 @@ from ..operators.computers import PER_IMAGE, Registry, builtin, run_parameters
 from ..operators.duplicates import relation
 from ..operators.merge import action_summary, bucket, merge_actions, operator_summary
 from ..sources.tabular import Dataset, fingerprint, sample, with_position
-from ..storing import JsonFiles
+from ..storing import JsonFiles, scratch
 from . import config as configs
 from .preview import filtered, html
 
@@ -167,8 +167,9 @@ class BasicCleaner(Cleaner):
         told("started", {"run_id": run_id})
         try:
             if not files.exists(f"{result.path}/tables/parameter_table.parquet/_SUCCESS"):
-                parameters, ran = run_parameters(df, self.wanted(), self.registry, self.computer_config())
-                parameters.drop("content", "image").write.mode("overwrite").parquet(f"{result.path}/tables/parameter_table.parquet")
+                with scratch():
+                    parameters, ran = run_parameters(df, self.wanted(), self.registry, self.computer_config())
+                    parameters.drop("content", "image").write.mode("overwrite").parquet(f"{result.path}/tables/parameter_table.parquet")
                 told("parameters", {"computers": ran})
                 self._relations(spark, result.path, ran)
             self._evaluate(spark, result.path)

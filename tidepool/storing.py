@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -30,6 +32,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _inside:
+        _inside[-1].append(out)
+    return out
+
+
+#: What the open calls of `settled` have stored on their way.
+_inside: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is stored inside is deleted at the end."""
+    _inside.append([])
+    try:
+        yield
+    finally:
+        for df in _inside.pop():
+            forget(df)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stores the table that `make` gives, and deletes what was stored to make it."""
+    with scratch():
+        out = stored(make(), name)
+        _inside[-1] = [d for d in _inside[-1] if d is not out]
+    if _inside:
+        _inside[-1].append(out)
     return out
 
 
