@@ -36,6 +36,18 @@ def test_the_rows_are_those_of_plain_stages(spark):
     assert got == expect and 0 < len(got) < len(docs)
 
 
+def test_nothing_but_the_result_is_left_in_the_shared_folder(spark):
+    import pathlib
+
+    from tidepool.storing import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    corpus_pipeline.run(spark, SF).count()
+    quality.query(spark, SF).count()
+    assert sorted(p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before) == ["pipeline-byte_bpe", "quality"]
+
+
 def test_stages_keep_the_columns(spark):
     docs = table(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:

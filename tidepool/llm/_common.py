@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storing import forget, shared_dir, stored
+from ..storing import forget, settled, shared_dir, stored
 
-__all__ = ["BLOCK_CHARS", "Filter", "HashOf", "Places", "batch_of", "forget", "lean", "make_filter", "mix64", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
+__all__ = ["BLOCK_CHARS", "Filter", "HashOf", "Places", "batch_of", "forget", "lean", "make_filter", "mix64", "settled", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
 
 #: Characters of text that one Arrow batch of results covers at most (one whole text at least).
 BLOCK_CHARS = 4_000_000

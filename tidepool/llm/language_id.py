@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_of, forget, lean, spread, stored, table, text_blocks
+from ._common import batch_of, forget, lean, settled, spread, stored, table, text_blocks
 
 #: Documents of each language that the text likelihood is trained on, about.
 TRAIN_DOCS = 1_000
@@ -204,4 +204,4 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+    return settled(lambda: identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")), "languages")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common
-from ._common import HashOf, Places, batch_of, forget, lean, stored, table, text_blocks
+from ._common import HashOf, Places, batch_of, forget, lean, settled, stored, table, text_blocks
 from .recurrent import Recurrent
 
 CLASSES, WIDTH, HIDDEN = 32, 32, 24
@@ -313,4 +313,4 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return settled(lambda: lm_scores(table(spark, sf_dir, "documents")), "lm-scores")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import HashOf, batch_of, forget, lean, make_filter, mix64, spread, stored, table, text_blocks
+from ._common import HashOf, batch_of, forget, lean, make_filter, mix64, settled, spread, stored, table, text_blocks
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Hashes of a signature at most; nodes and n-grams of a block, about.
@@ -267,7 +267,7 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("text_hash", "rep", "alone")
+    return settled(lambda: join(table(spark, sf_dir, "documents")).drop("text_hash", "rep", "alone"), "near-join")
 
 
 #: The same by comparing all documents that share an n-gram; classes by closure over the links.

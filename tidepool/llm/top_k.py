@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import batch_of, lean, stored, table
+from ._common import batch_of, lean, settled, stored, table
 
 #: Vectors of a shard, about; of a leaf at most; queries of a block, about.
 SHARD, LEAF, BLOCK = 16_384, 128, 2_048
@@ -237,7 +237,7 @@ def _of_length(rows: DataFrame, n: int, n_asked: int, k: int, shard: int, block:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return settled(lambda: top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0), "top-k")
 
 
 SQL = """
