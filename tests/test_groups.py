@@ -27,7 +27,7 @@ def sequential(items, value, holds, better):
 
 
 @pytest.mark.parametrize("small", [0, 10**6])
-@pytest.mark.parametrize("distance", [3, 16])
+@pytest.mark.parametrize("distance", [0, 3, 7, 10, 16])
 def test_hamming_groups_are_those_of_the_loop(spark, distance, small, monkeypatch):
     monkeypatch.setattr(leaders, "SMALL", small)
     rng = random.Random(distance)
@@ -58,6 +58,7 @@ def test_similarity_groups_are_those_of_the_loop(spark, threshold, small, monkey
     centres = rng.standard_normal((8, 6))
     v = centres[rng.integers(0, 8, 90)] + 0.2 * rng.standard_normal((90, 6))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[60:80], v[82:88] = v[:20], 0.4 * v[3]  # equal ones, some of them too short to be near themselves
     rows = [(str(i), i, x.tolist()) for i, x in enumerate(v)] + [("n", 90, None)]
     df = spark.createDataFrame(rows, "image_id string, _pos long, embedding array<double>")
     expect = sequential(list(v), lambda a, b: float(a @ b), lambda s: s >= threshold, lambda s, t: s > t)

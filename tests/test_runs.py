@@ -239,6 +239,28 @@ def test_import(spark, folder, tmp_path):
         raw.validate(table.withColumn("tags", F.array(F.lit("a//b"))))
 
 
+def test_import_fetches_each_address_once(spark, tmp_path):
+    log = tmp_path / "fetched"
+
+    def get(url):
+        with log.open("a") as f:
+            f.write(url + "\n")
+        if "bad" in url:
+            raise OSError("gone")
+        return png(NOISY) if "text" not in url else b"no image"
+
+    addresses = [f"https://a.example/{n}.png" for n in ("one", "two", "bad", "three", "text")] + ["ftp://a.example/x.png"]
+    out = importer.run_import(importer.from_urls(spark.createDataFrame([(u,) for u in addresses], "url string"), get), f"file://{tmp_path}/store", str(tmp_path / "out"))
+    assert sorted(log.read_text().split()) == sorted(addresses[:5])
+    assert out.report["succeeded"] == 3 and out.report["failed"] == 3
+    failed = {(r["source_uri"].rsplit("/", 1)[-1], r["stage"]) for r in spark.read.json(out.failure_path).collect()}
+    assert failed == {("bad.png", "source"), ("text.png", "metadata"), ("x.png", "source")}
+    assert images.read_by_uri(spark.read.parquet(out.raw_path).select("image_uri")).where("ok").count() == 3
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith(".staging")]
+    gone = images.read_by_uri(spark.createDataFrame([(None,), ("/no/such/file",), (f"{tmp_path}/fetched",)], "image_uri string"))
+    assert sorted(r["ok"] for r in gone.collect()) == [False, False, True]
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(u,) for u in ("https://a.example/x.jpg?y", "ftp://a/x.jpg", "http://localhost/x.jpg", "http://10.1.2.3/x.png", "http://[::1]/x.png", "https://a.example/x.txt", "https://u:p@127.0.0.1/x.gif", None)], "url string")
     assert [r[0] == "" for r in df.select(urls.url_error("url")).collect()] == [True] + [False] * 7

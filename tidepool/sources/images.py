@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pixels
+from . import places
 
 #: The image suffixes and their content types.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
@@ -44,19 +45,23 @@ def object_parts(uri: str) -> tuple[str, str]:
 
 
 def read_by_uri(df: DataFrame, column: str = "image_uri") -> DataFrame:
-    """Adds ok, content and error by reading each row's address through the file systems that Spark knows.
-
-    The addresses are joined to the files that a scan of their folders lists; a row whose file is missing is an error of its own."""
-    spark = df.sparkSession
-    parents = [r[0] for r in df.select(F.regexp_replace(column, r"/[^/]*$", "").alias("d")).distinct().limit(10_001).collect()]
-    if len(parents) > 10_000:
-        raise ValueError("more than 10,000 folders; read them with `directory` and join")
-    key = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    if not parents:
-        return df.withColumns({"ok": F.lit(False), "content": F.lit(None).cast("binary"), "error": F.lit("")})
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(parents).select(key(F.col("path")).alias("_path"), "content")
-    out = df.join(files, key(F.col(column)) == F.col("_path"), "left").drop("_path")
-    return out.withColumns({"ok": F.col("content").isNotNull(), "error": F.when(F.col("content").isNull(), F.concat(F.lit("cannot read "), F.coalesce(column, F.lit("")))).otherwise("")})
+    """Adds ok, content and error by reading each row's address in the tasks; nothing is listed, and a row that cannot be read is an error of its own."""
+    rest = [f for f in df.schema.fields if f.name not in ("ok", "content", "error")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            data, errors = [], []
+            for uri in frame[column]:
+                try:
+                    data.append(places.read(uri or ""))
+                    errors.append("")
+                except Exception as e:
+                    data.append(None)
+                    errors.append(f"cannot read {uri or ''}: {type(e).__name__}")
+            yield frame.assign(ok=[e == "" for e in errors], content=data, error=errors)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", ok boolean, content binary, error string"
+    return df.select(*[f.name for f in rest]).mapInPandas(run, schema)
 
 
 RAW_FACTS = {

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import IntegrityError, NameConflictError, NotFoundError, UnsafePathError
-from ..storing import JsonFiles
+from . import places
 
 
 def safe_path(path: str) -> str:
@@ -119,10 +119,17 @@ class Storage:
 
 
 def unverified(rows: DataFrame, root: str) -> DataFrame:
-    """The rows (asset_id, relative_path) whose file is missing or has other bytes; the files are read and digested by Spark."""
-    if not JsonFiles(rows.sparkSession).exists(root):
-        return rows
-    files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file://") + "/")
-    found = files.select(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), F.concat(F.lit(r"^\Q"), base, F.lit(r"\E")), F.lit("")).alias("relative_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("_digest"))
-    return rows.join(found, "relative_path", "left").where(~F.col("asset_id").eqNullSafe(F.col("_digest"))).drop("_digest")
+    """The rows (asset_id, relative_path) whose file is missing or has other bytes. Tasks read the files that are named, and no others."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            bad = []
+            for asset, path in zip(frame["asset_id"], frame["relative_path"], strict=True):
+                try:
+                    bad.append("sha256:" + hashlib.sha256(places.read(f"{root.rstrip('/')}/{path}")).hexdigest() != asset)
+                except (OSError, ValueError):
+                    bad.append(True)
+            yield frame[bad]
+
+    named = rows.select("asset_id", "relative_path")
+    return named.mapInPandas(run, "asset_id string, relative_path string")
