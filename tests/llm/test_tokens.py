@@ -64,14 +64,31 @@ def test_empty_table(spark, op):
     assert op(docs(spark).limit(0)).count() == 0
 
 
-def test_counts_are_those_of_the_library(spark):
+@pytest.mark.parametrize("frequent", [200_000, 50, 0])
+def test_counts_are_those_of_the_library(spark, monkeypatch, frequent):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own = token_counts.Counting(P.path("byte_bpe_50k.json"), P.PATTERN)
-    for text in [t or "" for t in ODD_TEXTS] + sample()[:150]:
-        assert own.count(text) == len(lib.encode(text, add_special_tokens=False).ids), text[:80]
-    found = by_id(token_counts.count_tokens(docs(spark), P.path("byte_bpe_50k.json"), P.PATTERN))
-    for i, text in enumerate(ODD_TEXTS):
+    texts = [*ODD_TEXTS, *sample()[:150]]
+    monkeypatch.setattr(token_counts, "FREQUENT", frequent)
+    out = token_counts.count_tokens(docs(spark, texts), P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert out.count() == docs(spark, texts).count()
+    found = by_id(out)
+    for i, text in enumerate(texts):
         assert found[i]["n_bytes"] == len((text or "").encode())
-        assert found[i]["n_tokens"] == own.count(text or "")
+        assert found[i]["n_tokens"] == len(lib.encode(text or "", add_special_tokens=False).ids), text
+
+
+def test_pieces_are_counted_once_for_each_pre_token(spark):
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = f.read()
+    words = token_counts.with_pieces(token_counts.distinct(docs(spark), file, P.PATTERN), file).collect()
+    assert len({r["w"] for r in words}) == len(words) == len({(r["g"], r["h"]) for r in words})
+    assert {r["w"]: r["c"] for r in words}[" see"] == 3  # a row and its two copies
+
+
+def test_the_least_count_of_frequent_rows(spark):
+    counts = spark.createDataFrame([(i, c) for i, c in enumerate([900, 500, 500, 40, 3, 3, 3, 1])], "i int, c long")
+    for most, reach in ((0, 0), (1, 1), (2, 1), (3, 3), (4, 4), (6, 4), (7, 7), (8, 8)):
+        assert counts.where(token_counts.F.col("c") >= token_counts.least_frequent(counts, most)).count() == reach
+    assert token_counts.least_frequent(counts.limit(0), 5) == 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storing import forget, settled, shared_dir, stored
 
-__all__ = ["BLOCK_CHARS", "Filter", "HashOf", "Places", "batch_of", "forget", "lean", "make_filter", "mix64", "settled", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
+__all__ = ["BLOCK_CHARS", "Filter", "HashOf", "Places", "batch_of", "forget", "lean", "least_frequent", "make_filter", "mix64", "settled", "shared_dir", "spread", "stored", "table", "text_blocks", "utf8_bytes"]
 
 #: Characters of text that one Arrow batch of results covers at most (one whole text at least).
 BLOCK_CHARS = 4_000_000
@@ -181,3 +181,15 @@ def make_filter(hashed: DataFrame) -> Filter:
     for r in rows:
         words[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
     return Filter(bits, words)
+
+
+def least_frequent(counts: DataFrame, most: int) -> int:
+    """A count that at most `most` rows of a column `c` reach, the least one as far as bins of a sixteenth of an octave tell."""
+    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("top")).orderBy(F.desc("bin")).collect()
+    found, seen = (bins[0]["top"] + 1 if bins else 1), 0
+    for b in bins:
+        seen += b["n"]
+        if seen > most:
+            break
+        found = b["least"]
+    return found
