@@ -13,7 +13,7 @@ round's first weights, and the shards' weights are averaged, by tokens. Shards,
 outside the vocabulary has the probability of "other" times its share (c + 1) of what the vocabulary leaves of N + V + 1, so
 that a text's probability is a proper one over all texts.
 
-Counts reach documents in two ways, both exact. Tokens with c > N / FREQUENT are at most FREQUENT many whatever the corpus is, and
+Counts reach documents in two ways, both exact. The most frequent tokens, FREQUENT at most whatever the corpus is,
 are sent to the tasks; all rarer ones are joined by hash, one row for each document and distinct rare word, spread evenly since
 none of them is frequent. Words are known by a 64-bit hash.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common
-from ._common import HashOf, Places, batch_of, forget, lean, settled, stored, table, text_blocks
+from ._common import HashOf, Places, batch_of, forget, lean, least_frequent, settled, stored, table, text_blocks
 from .recurrent import Recurrent
 
 CLASSES, WIDTH, HIDDEN = 32, 32, 24
@@ -122,6 +122,8 @@ class Model:
     """What the tasks need: the frequent tokens' counts, the vocabulary and the network. Of bounded size."""
 
     def __init__(self, n: int, v: int, h: np.ndarray, c: np.ndarray, end: int):
+        by = np.argsort(h)  # rows come in any order
+        h, c = h[by], c[by]
         order = np.lexsort((h, -c))
         pick = order[:VOCABULARY]
         if end not in h[pick]:  # the end is always a token of its own
@@ -163,8 +165,9 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     """`docs` is the training side (rows of `hashed_docs`), `counts` its tokens' counts."""
     end = int(HashOf().array([END]).view(np.int64)[0])
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    rows = counts.where(F.col("c") * FREQUENT > size["n"]).collect()  # fewer than FREQUENT, since their counts sum up to N at most
-    model = Model(size["n"], size["v"], np.array([r["h"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64), end)
+    # FREQUENT rows at most, and the vocabulary's, where equal counts leave them out of these.
+    rows = counts.where(F.col("c") >= least_frequent(counts, FREQUENT)).unionByName(counts.orderBy(F.desc("c"), "h").limit(VOCABULARY)).distinct().toArrow()
+    model = Model(size["n"], size["v"], rows["h"].to_numpy(), rows["c"].to_numpy(), end)
     # A text longer than the whole sample is left to the rounds, which meet every document; so the sample is bounded whatever the texts are.
     share = min(1.0, START_TOKENS / max(1, size["n"]))
     chosen = docs.where((F.pmod(F.xxhash64("mix", F.lit(10)), F.lit(1 << 30)) < int((1 << 30) * share)) & (F.col("n_tokens") <= START_TOKENS))
