@@ -132,6 +132,45 @@ def test_repeated_words_and_junk_are_rejected_more_often(spark):
     assert got[got.quality == 0].keep.mean() <= 0.08 and got[got.quality == 1].keep.mean() >= 0.995
 
 
+def many_trusted(spark):
+    """6,000 trusted documents, more than once were trained on; each has a character of its own."""
+    texts = [f"{'the cat sat on the mat ' * (i % 4)}x{chr(0x4E00 + i)}y" for i in range(6000)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    return df, spark.range(6000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+
+
+def test_models_learn_from_every_trusted_document(spark):
+    df, labels = many_trusted(spark)
+    models = quality.tables(df.select(quality.fold().alias("fold"), "text"))
+    rows = df.select("doc_id", quality.fold().alias("f"), "text").collect()
+    assert sum(len(g) == 1 and g > "\u4dff" for m in models for g in m[0]) == 6000
+    own = [quality.Scorer(*m) for m in models]
+    want = {}
+    for f in (0, 1):
+        of = [r for r in rows if r["f"] == f]
+        n, p = own[1 - f].texts([r["text"] for r in of])
+        want |= {r["doc_id"]: 10 ** (-x / m) for r, m, x in zip(of, n, p, strict=True)}
+    got = {r["doc_id"]: r["perplexity"] for r in quality.judged(df, labels).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_models_too_large_to_be_sent_are_joined(spark, monkeypatch):
+    df = docs(spark).union(docs(spark, ["the cat sat on the mat " * i for i in range(40)], repeat=False).withColumn("doc_id", F.expr("doc_id + 100")))
+    for trusted in (range(100, 130), [101], []):
+        labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+        found = []
+        for sent, ids, held, stretch in ((4_000_000, 1_000_000, 300_000, 1 << 18), (0, 0, 20, 50)):
+            for name, v in zip(("SENT", "SENT_IDS", "HELD", "STRETCH"), (sent, ids, held, stretch), strict=True):
+                monkeypatch.setattr(quality, name, v)
+            rows = quality.judged(df, labels).collect()
+            key = lambda r: (str(r["doc_id"]), r["text_hash"])
+            found.append(sorted(rows, key=key))
+        assert len(found[0]) == len(found[1]) == df.count()
+        for a, b in zip(*found, strict=True):
+            assert a[:4] == b[:4] and a["keep"] == b["keep"] and (a["perplexity"] is None) == (b["perplexity"] is None)
+            assert a["perplexity"] is None or a["perplexity"] == pytest.approx(b["perplexity"], rel=1e-9)
+
+
 def test_junk_is_rejected_and_trusted_text_kept(spark):
     got = quality.judged(table(spark, "documents"), table(spark, "labels")).join(table(spark, "labels"), "doc_id").toPandas()
     assert got[got.quality == 1].keep.mean() >= 0.995

@@ -5,11 +5,12 @@ model of the other fold, so that no document meets a model that has seen it, and
 characters, up to ORDER, and run across words (white space between words counts as one blank), so that the order of words matters.
 All counts are grouped aggregations sharded by n-gram: raw counts at the highest order, the numbers of left neighbours at the lower
 ones, each context's total and its numbers of followers seen once, twice and more; these tables are joined by context to the discounted
-probabilities and back-off weights. Documents are scored with them, and a document's perplexity (a character) is
+probabilities and back-off weights, and level by level to the interpolated ones. Documents are scored with them, and a document's perplexity (a character) is
 compared with quantiles of its own language and band of length (short texts vary more): those of all trusted documents of that language and
 band, of the band in all languages where these are fewer than LEAST, or of all trusted documents. Text is rejected above the upper or below the lower threshold.
 
-The training sample is bounded by TRAIN_DOCS and TRAIN_CHARS, which also bounds the tables sent to the tasks; the quantiles are those of all trusted documents.
+The models are trained on the whole text of all trusted documents, and the quantiles are those of all of them. Tables of up to SENT rows are sent to
+the tasks as hashes; larger ones stay where they are, and the n-grams of the documents are joined to them, with the same probabilities.
 
 Null texts and texts without words hold no evidence (perplexity null) and are kept; documents with a null language are judged by
 the thresholds of all languages. Ids with conflicting labels are not trusted; null ids never are. Repeated rows each give a row. A perplexity
@@ -19,9 +20,8 @@ is kept. An empty table gives an empty one. `accepted` keeps all columns, whatev
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from ._common import Places, batch_of, forget, lean, settled, spread, stored, table, text_blocks
 
 ORDER, FOLDS = 5, 2
-#: Trusted documents and characters that the models are trained on, about; a sample by hash of the id.
-TRAIN_DOCS, TRAIN_CHARS = 4_000, 16_000_000
+#: Rows of the models, and trusted ids, that are sent to the tasks; more of them are joined.
+SENT, SENT_IDS = 4_000_000, 1_000_000
+#: Distinct n-grams that a task counts before it hands them on.
+HELD = 300_000
 #: Quantiles of trusted perplexities, widened on both sides by the factor; trusted documents that thresholds need for their own.
 LOW, HIGH, MARGIN, LEAST = 0.001, 0.996, 1.02, 50
 #: Scored characters from which the second and the third band of length begin.
@@ -57,17 +59,33 @@ def running(text: str, order: int = ORDER) -> str:
     return START * (order - 1) + (" ".join(words) + " " if words else "")
 
 
+def stretches(s: str, order: int) -> Iterator[list[str]]:
+    """All n-grams of a running text, some at a time."""
+    n = len(s) - order + 1
+    for a in range(0, n, STRETCH):
+        yield [s[i : i + order] for i in range(a, min(a + STRETCH, n))]
+
+
 def grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """fold, gram, n: how often each n-gram of the highest order occurs. `docs` has fold and text."""
     schema = pa.schema([("fold", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [Counter() for _ in range(FOLDS)]
+
+        def handed_on() -> pa.RecordBatch:
+            out = batch_of(schema, [f for f, c in enumerate(seen) for _ in c], [g for c in seen for g in c], [n for c in seen for n in c.values()])
+            for c in seen:
+                c.clear()
+            return out
+
         for part, texts in text_blocks(batches):
-            seen = [Counter() for _ in range(FOLDS)]
             for f, t in zip(part.column(0).to_pylist(), texts, strict=True):
-                s = running(t, order)
-                seen[f].update(s[i : i + order] for i in range(len(s) - order + 1))
-            yield batch_of(schema, [f for f, c in enumerate(seen) for _ in c], [g for c in seen for g in c], [n for c in seen for n in c.values()])
+                for some in stretches(running(t, order), order):
+                    seen[f].update(some)
+                    if sum(map(len, seen)) > HELD:
+                        yield handed_on()
+        yield handed_on()
 
     return docs.select("fold", "text").mapInArrow(lean(run), "fold int, gram string, n bigint").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
 
@@ -95,79 +113,120 @@ def discounts(seen: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i + 1 - 0.05) for i, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)))
 
 
-Tables = tuple[dict[str, float], dict[str, float]]
-
-
-def tables(docs: DataFrame, order: int = ORDER) -> list[Tables]:
-    """For each fold: log10 probabilities by n-gram and back-off weights by context, of a bounded training table with fold and text."""
+def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """fold, seen, k (its length), gram, value: log10 of each seen n-gram's interpolated probability (`seen`; that of an unseen character for
+    the empty one) and log10 of each context's back-off weight (not `seen`), of a training table with fold and text. An n-gram's ending is
+    seen where the n-gram is, so that a character needs as many look-ups as its longest seen n-gram is short of the order."""
     raw = stored(grams(docs, order), "grams")
     n = stored(counts(raw, order), "counts")
     few: dict[tuple[int, int], dict[int, int]] = {}
     for r in n.where("n <= 4").groupBy("fold", "k", "n").agg(F.count("*").alias("m")).collect():
         few.setdefault((r["fold"], r["k"]), {})[r["n"]] = r["m"]
     cut = F.lit(0.0)
-    for (f, k), seen in few.items():
-        d = discounts(seen)
+    for f, k in sorted({(r["fold"], r["k"]) for r in n.select("fold", "k").distinct().collect()}):
+        d = discounts(few.get((f, k), {}))
         cut = F.when((F.col("fold") == f) & (F.col("k") == k), F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(cut)
     cuts = n.withColumn("cut", cut).withColumn("ctx", F.expr("substring(gram, 1, k - 1)"))
     ctx = cuts.groupBy("fold", "ctx", "k").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-    high = cuts.join(ctx, ["fold", "ctx", "k"]).select("fold", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p")).toArrow()
-    gamma = ctx.select("fold", "ctx", (F.col("freed") / F.col("total")).alias("g")).toArrow()
+    own = cuts.join(ctx, ["fold", "ctx", "k"]).select("fold", "k", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("high"), (F.col("freed") / F.col("total")).alias("free"))
+    own = stored(own, "discounted")
+    every = [stored(ctx.select("fold", F.lit(False).alias("seen"), F.col("k") - 1, F.col("ctx"), F.log10(F.col("freed") / F.col("total"))).toDF("fold", "seen", "k", "gram", "value"), "weights")]
+    p = own.where("k = 1").groupBy("fold").agg((1 / (1 + F.count("*"))).alias("p")).select("fold", F.lit("").alias("gram"), "p")
+    for k in range(order + 1):
+        if k:
+            lower = p.select("fold", F.col("gram").alias("rest"), F.col("p").alias("lower"))
+            longer = own.where(F.col("k") == k).withColumn("rest", F.expr("substring(gram, 2)"))
+            p = stored(longer.join(lower, ["fold", "rest"]).select("fold", "gram", (F.col("high") + F.col("free") * F.col("lower")).alias("p")), "interpolated")
+        every.append(p.select("fold", F.lit(True).alias("seen"), F.lit(k).alias("k"), "gram", F.log10("p").alias("value")))
+    out = every[0]
+    for e in every[1:]:
+        out = out.union(e)
     forget(raw)
     forget(n)
+    return out
 
-    def of(made: pa.Table, f: int) -> dict[str, float]:
-        part = made.filter(pa.compute.equal(made.column(0), f))
-        return dict(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
 
-    return [backed_off(of(high, f), of(gamma, f)) for f in range(FOLDS)]
+Tables = tuple[dict[str, float], dict[str, float]]
 
 
-def backed_off(high: dict[str, float], gamma: dict[str, float]) -> Tables:
-    """log10 of each seen n-gram's interpolated probability, and log10 of each context's back-off weight. An n-gram's ending is seen
-    where the n-gram is, so that a character needs as many look-ups as its longest seen n-gram is short of the order."""
-    if not high:
-        return {}, {}
-    p: dict[str, float] = {"": 1 / (1 + sum(len(g) == 1 for g in high))}
-    for g in sorted(high, key=len):
-        p[g] = high[g] + gamma[g[:-1]] * p[g[1:]]
-    return {g: math.log10(v) for g, v in p.items()}, {c: math.log10(v) for c, v in gamma.items()}
+def tables(docs: DataFrame, order: int = ORDER) -> list[Tables]:
+    """For each fold the rows of a small `model`, as dictionaries: log10 probabilities by n-gram and back-off weights by context."""
+    made: list[Tables] = [({}, {}) for _ in range(FOLDS)]
+    for r in model(docs, order).collect():
+        made[r["fold"]][0 if r["seen"] else 1][r["gram"]] = r["value"]
+    return made
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+#: Base of the n-grams' hashes.
+BASE = np.uint64(0x9E6C63D0876A9A99)
+
+
+def rolling(codes: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each length the hash of the n-gram that ends at each place (at the first places, of what there is)."""
+    one = codes.astype(np.uint64) + np.uint64(1)
+    out, power = [one], np.uint64(1)
+    for j in range(1, most):
+        with np.errstate(over="ignore"):
+            power = power * BASE
+        h = out[-1].copy()
+        h[j:] += one[:-j] * power
+        out.append(h)
+    return out
+
+
+def hashed(some: list[str], k: int) -> np.ndarray:
+    """Hashes of n-grams of k characters."""
+    return rolling(_codes("".join(some)), k)[-1][k - 1 :: k] if some and k else np.zeros(len(some), np.uint64)
+
+
+def hashes(made: DataFrame) -> DataFrame:
+    """The rows of a model with hashes for n-grams: seen, k, hash, value."""
+    schema = pa.schema([("seen", pa.bool_()), ("k", pa.int32()), ("hash", pa.int64()), ("value", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.array(batch.column(1).to_pylist(), np.int32)
+            out = np.zeros(len(k), np.uint64)
+            for one in set(k.tolist()):
+                at = np.flatnonzero(k == one)
+                out[at] = hashed(batch.column(2).take(pa.array(at)).to_pylist(), one)
+            yield batch_of(schema, batch.column(0), k, out.view(np.int64), batch.column(3))
+
+    return made.select("seen", F.col("k").cast("int"), "gram", "value").mapInArrow(lean(run), "seen boolean, k int, hash bigint, value double")
+
+
 class Scorer:
     """log10 probabilities of texts. N-grams are known by 64-bit hashes, one table for each length."""
 
-    BASE = np.uint64(0x9E6C63D0876A9A99)
-
     def __init__(self, seen: dict[str, float], back: dict[str, float], order: int = ORDER):
-        self.order, self.floor, self.base = order, seen.get("", 0.0), back.get("", 0.0)
-        self.seen = [self._table(seen, k) for k in range(1, order + 1)]
-        self.back = [self._table(back, k) for k in range(1, order)]
-
-    def _table(self, values: dict[str, float], k: int) -> tuple[Places, np.ndarray]:
-        some = [g for g in values if len(g) == k]
-        keys = self._hashes(_codes("".join(some)), k)[-1][k - 1 :: k] if some else np.zeros(0, np.uint64)
-        return Places(keys), np.array([values[g] for g in some])
-
-    def _hashes(self, codes: np.ndarray, most: int) -> list[np.ndarray]:
-        """For each length the hash of the n-gram that ends at each place (at the first places, of what there is)."""
-        one = codes.astype(np.uint64) + np.uint64(1)
-        out, power = [one], np.uint64(1)
-        for j in range(1, most):
-            with np.errstate(over="ignore"):
-                power = power * self.BASE
-            h = out[-1].copy()
-            h[j:] += one[:-j] * power
-            out.append(h)
+        def some(values: dict[str, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+            of = [g for g in values if len(g) == k]
+            return hashed(of, k), np.array([values[g] for g in of])
+
+        self._fill(lambda is_seen, k: some(seen if is_seen else back, k), order)
+
+    @classmethod
+    def of(cls, made: DataFrame, order: int = ORDER) -> Scorer | None:
+        """Of one fold's rows of a model, None if there are none."""
+        rows = hashes(made).toArrow()
+        if not len(rows):
+            return None
+        is_seen, k, key, value = (c.to_numpy() for c in rows.columns)
+        out = cls.__new__(cls)
+        out._fill(lambda s, n: (key[at := (is_seen == s) & (k == n)].view(np.uint64), value[at]), order)
         return out
 
+    def _fill(self, rows: Callable[[bool, int], tuple[np.ndarray, np.ndarray]], order: int) -> None:
+        self.order, self.floor, self.base = order, *(float(rows(s, 0)[1].sum()) for s in (True, False))
+        self.seen, self.back = ([(Places(h), v) for h, v in (rows(s, k) for k in range(1, order + s))] for s in (True, False))
+
     def places(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each character after the first order - 1."""
-        h = self._hashes(codes, self.order)
+        h = rolling(codes, self.order)
         left = np.arange(self.order - 1, len(codes))
         out = np.zeros(len(codes))
         for k in range(self.order, 0, -1):
@@ -200,19 +259,25 @@ class Scorer:
         return sizes - reach, np.add.reduceat(each, ends - sizes) if len(texts) else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> list[Tables]:
+def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The model of the whole text of all trusted documents."""
     ids, given = trusted_ids(labels), docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    size = given.select("doc_id", F.char_length("text").alias("chars")).join(ids, "doc_id", "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).first()
-    share = min(1.0, TRAIN_DOCS / max(1, size["n"]), TRAIN_CHARS / max(1, size["chars"]))
-    # About TRAIN_DOCS ids at most, so that they can be sent to all tasks and no text moves before it is chosen.
-    chosen = F.broadcast(ids.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int((1 << 30) * share)))
-    return tables(given.join(chosen, "doc_id", "left_semi").select(fold().alias("fold"), "text"))
+    # Ids that can be sent leave texts where they are; more of them are met by shuffled texts, which need no sorting.
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("shuffle_hash")
+    return model(given.join(ids, "doc_id", "left_semi").select(fold().alias("fold"), "text"))
 
 
-def score(docs: DataFrame, models: list[Tables]) -> DataFrame:
+def score(docs: DataFrame, made: DataFrame) -> DataFrame:
     """doc_id, text_hash, lang, n_scored (characters and bounds), log10_p, perplexity; a row for each row of `docs`."""
+    given = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_hash"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    given = given.select("doc_id", "text_hash", "lang", fold().alias("fold"), "text")
+    out = by_sent_tables(spread(given), made) if made.count() <= SENT else by_join(spread(given), made)
+    return out.withColumn("perplexity", F.when(F.col("n_scored") > 0, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_scored"))))
+
+
+def by_sent_tables(given: DataFrame, made: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), ("n_scored", pa.int64()), ("log10_p", pa.float64())])
-    sent = docs.sparkSession.sparkContext.broadcast([Scorer(*m) if m[0] else None for m in models])
+    sent = given.sparkSession.sparkContext.broadcast([Scorer.of(made.where(F.col("fold") == f)) for f in range(FOLDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = sent.value
@@ -226,10 +291,38 @@ def score(docs: DataFrame, models: list[Tables]) -> DataFrame:
                     n[at], p[at] = scorer.texts([texts[i] for i in at])
             yield batch_of(schema, *part.columns[:3], n, p)
 
-    given = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_hash"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    given = given.select("doc_id", "text_hash", "lang", fold().alias("fold"), "text")
-    out = spread(given).mapInArrow(lean(run), "doc_id bigint, text_hash bigint, lang string, n_scored bigint, log10_p double")
-    return out.withColumn("perplexity", F.when(F.col("n_scored") > 0, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_scored"))))
+    return given.mapInArrow(lean(run), "doc_id bigint, text_hash bigint, lang string, n_scored bigint, log10_p double")
+
+
+def by_join(given: DataFrame, made: DataFrame, order: int = ORDER) -> DataFrame:
+    """The same by joins alone, for models of any size. Rows of equal id and text add up and are divided by their number."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fold", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
+    folds = [r["fold"] for r in made.select("fold").distinct().collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_blocks(batches):
+            for i, h, f, t in zip(*(part.column(c).to_pylist() for c in (0, 1, 3)), texts, strict=True):
+                for some in stretches(running(t, order), order):
+                    c = Counter(some)
+                    yield batch_of(schema, [i] * len(c), [h] * len(c), [1 - f if 1 - f in folds else f] * len(c), list(c), list(c.values()))
+
+    each = given.mapInArrow(lean(run), "doc_id bigint, text_hash bigint, fold int, gram string, n bigint")
+    wanted = stored(each.select("fold", "gram").distinct(), "wanted")
+    known = [made.where((F.col("seen") == s) & (F.col("k") == k)).select("fold", "gram", "value") for k in range(order + 1) for s in (True, False)]
+    p = known[0]
+    for k in range(1, order + 1):
+        ends = wanted.select("fold", F.expr(f"substring(gram, {order - k + 1})").alias("gram")).distinct()
+        ends = ends.withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})")).withColumn("rest", F.expr("substring(gram, 2)"))
+        ends = ends.join(known[2 * k].withColumnRenamed("value", "own"), ["fold", "gram"], "left").join(known[2 * k - 1].toDF("fold", "ctx", "weight"), ["fold", "ctx"], "left")
+        longer = F.coalesce("own", F.coalesce("weight", F.lit(0.0)) + F.col("lower"))
+        p = stored(ends.join(p.toDF("fold", "rest", "lower"), ["fold", "rest"]).select("fold", "gram", longer.alias("value")), "looked-up")
+    # Sums of decimals are the same in whatever order.
+    summed = each.join(p, ["fold", "gram"]).groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n"), F.sum(F.col("value").cast("decimal(16,13)") * F.col("n").cast("decimal(18,0)")).alias("p"))
+    rows = given.select("doc_id", "text_hash", "lang").withColumn("same", F.count("*").over(Window.partitionBy("doc_id", "text_hash")))
+    summed = summed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n", F.col("p").cast("double").alias("p"))
+    out = rows.join(summed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    n, p = (F.coalesce(F.col(c) / F.col("same"), F.lit(0.0)) for c in ("n", "p"))
+    return out.select("doc_id", "text_hash", "lang", n.cast("bigint").alias("n_scored"), p.alias("log10_p"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
