@@ -2,6 +2,7 @@ import base64
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidepool.llm import decontaminate, pii, quality
@@ -53,3 +54,15 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_quality_stage_learns_from_every_trusted_document(spark, tmp_path):
+    """A form of text that 20 of 8,000 trusted documents have, all of them beyond the sample of 4,000 that was once trained on, is kept."""
+    ids = spark.range(8000).withColumnRenamed("id", "doc_id")
+    beyond = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) >= 1 << 29).select("doc_id", quality.fold().alias("f")).orderBy("doc_id").collect()
+    rare = {r["doc_id"] for f in (0, 1) for r in [r for r in beyond if r["f"] == f][:10]}
+    words = "the cat sat on that mat and then hid under a red hat near my old bed".split()
+    say = lambda i: " ".join(words[(i * 7 + j * j * (1 + i % 5)) % len(words)] for j in range(20))
+    docs = spark.createDataFrame([(i, "zq xj wv " * 12 if i in rare else say(i) + chr(0x4E00 + i) * (i % 80 == 0), "en") for i in range(8000)], "doc_id long, text string, lang string")
+    ids.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert rare <= {r["doc_id"] for r in corpus_pipeline.good_quality(spark, docs, str(tmp_path)).collect()}
