@@ -92,6 +92,15 @@ def test_ties_of_whole_numbers_go_to_the_earliest_keeper(spark, threshold):
     assert {r["pos"]: (r["keeper_pos"], r["value"]) for r in led} == {i: (k, 9.0 if s is None else s) for i, (k, s) in expect.items()}
 
 
+def test_far_hamming_edges_follow_the_rows(spark):
+    """Beyond the bands' distance: one edge for each member, not for each pair."""
+    rng = random.Random(7)
+    hashes = ["0" * 16] + [f"{sum(1 << b for b in rng.sample(range(64), 6)):016x}" for _ in range(299)]
+    df = spark.createDataFrame([(i, str(i), h) for i, h in enumerate(hashes)], "pos long, image_id string, hash string")
+    edges = leaders.hamming_edges(df, 18).collect()
+    assert len(edges) == 299 and {(e["early"], e["value"]) for e in edges} == {(0, 6.0)}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([("a", 0, None)], "image_id string, _pos long, embedding array<double>")
     assert duplicates.semantic_groups(df, 0.3).first()["semantic_duplicate_count"] == 1
