@@ -2,11 +2,13 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.errors import ConflictError, NameConflictError, NotFoundError, ValidationError
 from tidepool.sources.storage import Prefix
 from tidepool.versions import Manager, ModelDefinition, ModelRegistry
+from tidepool.versions.rows import check_once, merged
 
 SCORE = T.StructField("score", T.LongType(), True)
 
@@ -73,6 +75,43 @@ def test_rejected_rows(spark, repo):
     assert d.open_branch().snapshot == v.snapshot
 
 
+def test_a_commit_evaluates_its_frame_once(spark, repo):
+    d = repo.create_dataset("d", [SCORE])
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    count = F.udf(counted, "long").asNondeterministic()
+    one = d.commit(d.open_branch(), rows(spark, range(6)).withColumn("score", count("score")))
+    assert seen.value == 6 and one.inserted == 6
+    two = d.commit(one.view, rows(spark, [1, 2], 5).select("asset_id", count("score").alias("score")), "patch", fields=["score"])
+    assert seen.value == 8 and (two.inserted, two.updated, two.removed) == (0, 2, 0)
+
+
+def test_a_first_commit_joins_nothing(spark, repo):
+    d = repo.create_dataset("d", [SCORE])
+    plan = merged(d.open_branch().frame(), rows(spark, [1]), "upsert")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_faults_are_named_and_leave_nothing(spark, repo, monkeypatch):
+    d = repo.create_dataset("d", [SCORE])
+    v = d.commit(d.open_branch(), rows(spark, [1, 2, 3])).view
+    patch = {"mode": "patch", "fields": ["score"]}
+    few = lambda *ids: rows(spark, ids, 4).select("asset_id", "score")
+    for frame, more, said in [(few(1, 7), patch, "is not in main"), (few(1, 2, 2), patch, "is there twice"), (few(7, 7), patch, "is there twice"), (rows(spark, [4, 4]), {}, "is there twice"), (rows(spark, [1]).replace("p", "q"), {}, "not bound"), (few(1).withColumn("asset_id", F.lit(None).cast("string")), patch, "not a digest")]:
+        with pytest.raises(ValidationError, match=said):
+            d.commit(v, frame, **more)
+    assert d.recover() == []
+    # Ids whose hashes are equal are told apart.
+    monkeypatch.setattr("tidepool.versions.rows.F.xxhash64", lambda c: F.lit(1).cast("long"))
+    assert d.commit(v, few(1, 2), **patch).updated == 2
+    with pytest.raises(ValidationError, match="is there twice"):
+        check_once(few(1, 2, 2))
+
+
 def test_branches_clone_materialize(spark, repo):
     d = repo.create_dataset("d", [SCORE])
     v = d.commit(d.open_branch(), rows(spark, [1, 2])).view

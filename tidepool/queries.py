@@ -351,10 +351,11 @@ class Versions:
         self.repo = Manager(spark, root).create_repo("orders")
         self.repo.bind_prefix(Prefix("p", "store", "file", f"{root}/store"))
         self.data = self.repo.create_dataset("orders", [T.StructField("status", T.StringType(), True), T.StructField("price", T.DoubleType(), True)])
-        now, new = (self.assets(x) for x in sides(spark, sf_dir))
-        self.view = self.data.commit(self.data.open_branch(), now, checkpoint="first").view
+        now, new = sides(spark, sf_dir)
+        self.view = self.data.commit(self.data.open_branch(), self.assets(now), checkpoint="first").view
         if mode:
-            sent = new.join(now, "asset_id", "left_semi").select("asset_id", "status") if mode == "patch" else new
+            # The orders that are there are found by their short keys.
+            sent = self.assets(new.join(now, "asset_id", "left_semi")).select("asset_id", "status") if mode == "patch" else self.assets(new)
             self.result = self.data.commit(self.view, sent, mode, ["status"] if mode == "patch" else ())
             self.view = self.result.view
 

@@ -22,7 +22,7 @@ from ..errors import AuthorizationError, ConflictError, NameConflictError, NotFo
 from ..sources.storage import Prefix, Storage, unverified
 from ..storing import JsonFiles
 from . import vectors as vec
-from .rows import KEY, SYSTEM, add_fields, check_rows, conform, counters, merged, name_key, outside, relaxed
+from .rows import BAD, KEY, OUTSIDE, SYSTEM, add_fields, check_once, check_rows, conform, counters, faults, merged, name_key, outside, relaxed
 
 MAIN = "main"
 
@@ -260,7 +260,7 @@ class View:
         schema = self.dataset.schema()
         spark = self.dataset.repo.manager.spark
         if self.snapshot is None:
-            df = spark.createDataFrame([], relaxed(schema))
+            df = spark.createDataFrame([], relaxed(schema)).limit(0)  # which the optimizer knows to be empty: joins with it move nothing
         else:
             df = spark.read.schema(T.StructType([T.StructField(f.name, relaxed(f.dataType)) for f in schema.fields])).parquet(self.dataset.snapshots()[self.snapshot]["data"])
         for v in vectors:
@@ -367,17 +367,21 @@ class Dataset:
                 raise ValidationError(f"cannot patch {', '.join(bad)}")
             frame = frame.select(KEY, *fields)
         new = conform(frame, schema, partial=mode == "patch")
-        check_rows(new, schema, list(self.repo.state()["prefixes"]), list(self.repo.tags(archived=False)))
+        fault = faults(new.columns, schema, list(self.repo.state()["prefixes"]), list(self.repo.tags(archived=False)))
         now = conform(View(self, base.snapshot, branch).frame(), schema)
-        if mode == "patch" and (gone := outside(new, now, [KEY]).first()):
-            raise ValidationError(f"{gone[KEY]} is not in {branch}")
-        changes = merged(now, new, mode, fields)
+        changes = merged(now, new, mode, fields, fault=fault)
         snapshot = uuid.uuid4().hex
         data = f"{self.path}/data/{snapshot}"
+        # The submitted frame is evaluated once; what is wrong with its rows is read from what is stored.
         changes.write.parquet(f"{data}-changes")
-        changes = self.repo.manager.spark.read.parquet(f"{data}-changes")
-        if verify != "none":
-            self._verify(changes.where("change != 'removed'") if verify == "all" else changes.where("change in ('inserted', 'updated', 'same')"))
+        changes = self.repo.manager.spark.read.schema(changes.schema).parquet(f"{data}-changes")
+        try:
+            self._check(changes, branch)
+            if verify != "none":
+                self._verify(changes.where("change != 'removed'") if verify == "all" else changes.where("change in ('inserted', 'updated', 'same')"))
+        except ValidationError:
+            self.repo.manager.files.remove(f"{data}-changes")
+            raise
         sums = counters(changes).first()
         if not any(sums) and schema == old and checkpoint is None:
             self.repo.manager.files.remove(f"{data}-changes")
@@ -391,6 +395,13 @@ class Dataset:
         self.log.write(n, state)
         return CommitResult(View(self, snapshot, branch), True, sums["inserted"], sums["updated"], sums["removed"])
 
+    def _check(self, changes: DataFrame, branch: str) -> None:
+        if row := changes.where(F.col("change").startswith(BAD)).first():
+            raise ValidationError(f"{row[KEY]}: {row['change'].removeprefix(BAD)}")
+        check_once(changes.where(F.col("change").isin("inserted", "updated", "same", OUTSIDE)).select(KEY))
+        if row := changes.where(F.col("change") == OUTSIDE).first():
+            raise ValidationError(f"{row[KEY]} is not in {branch}")
+
     def _verify(self, rows: DataFrame) -> None:
         for p in self.repo.prefixes():
             if bad := unverified(rows.where(F.col("storage_prefix_id") == p.prefix_id).select(KEY, "relative_path"), p.root).first():

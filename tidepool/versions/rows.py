@@ -21,6 +21,8 @@ SYSTEM = T.StructType([
 ])
 KEY = "asset_id"
 MODES = ("replace", "upsert", "patch")
+#: What `merged` says of rows that make a commit fail.
+BAD, OUTSIDE = "bad: ", "outside"
 _ATOMS = (T.BooleanType, T.IntegerType, T.LongType, T.DoubleType, T.StringType)
 
 
@@ -102,32 +104,46 @@ def conform(df: DataFrame, schema: T.StructType, partial: bool = False) -> DataF
     return df.select(*made)
 
 
-def check_rows(df: DataFrame, schema: T.StructType, prefixes: Sequence[str] | None = None, tags: Sequence[str] | None = None) -> None:
-    """One pass over the rows for all rules, and one for repeated ids."""
+def faults(columns: Sequence[str], schema: T.StructType, prefixes: Sequence[str] | None = None, tags: Sequence[str] | None = None) -> Column:
+    """What is wrong with a row of these columns, or null."""
     bad = F.when(~F.coalesce(F.col(KEY).rlike("^sha256:[0-9a-f]{64}$"), F.lit(False)), "asset_id is not a digest")
-    if prefixes is not None and "storage_prefix_id" in df.columns:
+    if prefixes is not None and "storage_prefix_id" in columns:
         bad = bad.when(~F.coalesce(F.col("storage_prefix_id").isin(list(prefixes) or [""]), F.lit(False)), "storage prefix is not bound")
-    if tags is not None and "tag_ids" in df.columns:
+    if tags is not None and "tag_ids" in columns:
         bad = bad.when(F.size(F.array_except("tag_ids", F.array(*map(F.lit, tags)).cast("array<string>"))) > 0, "a tag is unknown or archived")
     for f in schema.fields:
-        if f.name in df.columns:
+        if f.name in columns:
             bad = bad.when(~fits(F.col(f"`{f.name}`"), f.dataType, f.nullable), f"{f.name} is missing or not valid")
-    if row := df.select(KEY, bad.alias("bad")).where("bad is not null").first():
-        raise ValidationError(f"{row[KEY]}: {row['bad']}")
-    if row := df.groupBy(KEY).count().where("count > 1").first():
+    return bad
+
+
+def check_once(rows: DataFrame) -> None:
+    """Ids are grouped by a hash of 64 bits, so that the long ids stay where they are; those of hashes that are there twice are compared."""
+    hashed = F.xxhash64(KEY)
+    twice = rows.groupBy(hashed.alias("h")).count().where("count > 1").select("h")
+    if twice.first() and (row := rows.withColumn("h", hashed).join(twice, "h", "left_semi").groupBy(KEY).count().where("count > 1").first()):
         raise ValidationError(f"{row[KEY]} is there twice")
 
 
-def merged(current: DataFrame, submitted: DataFrame, mode: str, fields: Sequence[str] = (), key: str = KEY) -> DataFrame:
+def check_rows(df: DataFrame, schema: T.StructType, prefixes: Sequence[str] | None = None, tags: Sequence[str] | None = None) -> None:
+    """One pass over the rows for all rules, and one for repeated ids."""
+    if row := df.select(KEY, faults(df.columns, schema, prefixes, tags).alias("bad")).where("bad is not null").first():
+        raise ValidationError(f"{row[KEY]}: {row['bad']}")
+    check_once(df.select(KEY))
+
+
+def merged(current: DataFrame, submitted: DataFrame, mode: str, fields: Sequence[str] = (), key: str = KEY, fault: Column | None = None) -> DataFrame:
     """All rows of both sides with `change` (inserted, updated, same, removed, kept) and the columns of `current`; removed rows are
-    marked, not left out. One full join by the key."""
+    marked, not left out. One full join by the key.
+
+    With `fault`, of submitted rows, `change` is BAD and what it says where it is not null, and a patch's rows that `current` has not are OUTSIDE."""
     if mode not in MODES:
         raise ValidationError(f"mode must be one of {', '.join(MODES)}")
     names = [c for c in current.columns if c != key]
     old = current.select(F.col(key), F.struct(*names).alias("_old"))
     sent = [c for c in (fields if mode == "patch" else names) if c in submitted.columns]
-    new = submitted.select(F.col(key), F.struct(*[F.col(c) for c in sent]).alias("_new"))
-    both = old.join(new, key, "left" if mode == "patch" else "full")
+    new = submitted.select(F.col(key), F.struct(*[F.col(c) for c in sent]).alias("_new"), (F.lit(None).cast("string") if fault is None else fault).alias("_fault"))
+    both = old.join(new, key, "left" if mode == "patch" and fault is None else "full")
 
     def value(c: str) -> Column:
         given = F.col(f"_new.{c}") if c in sent else F.col(f"_old.{c}")
@@ -137,7 +153,8 @@ def merged(current: DataFrame, submitted: DataFrame, mode: str, fields: Sequence
     same = F.lit(True)
     for c in names:
         same = same & value(c).eqNullSafe(F.col(f"_old.{c}"))
-    change = F.when(F.col("_new").isNull(), gone).when(F.col("_old").isNull(), "inserted").when(same, "same").otherwise("updated")
+    change = F.when(F.col("_fault").isNotNull(), F.concat(F.lit(BAD), "_fault")).when(F.col("_new").isNull(), gone)
+    change = change.when(F.col("_old").isNull(), OUTSIDE if mode == "patch" else "inserted").when(same, "same").otherwise("updated")
     return both.select(key, *[value(c).alias(c) for c in names], change.alias("change"))
 
 
