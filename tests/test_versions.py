@@ -167,3 +167,24 @@ def test_vectors(spark, repo):
     assert models.runtime("m")([b"xy"]).tolist() == [[2.0, 1.0]]
     with pytest.raises(NameConflictError):
         models.register(ModelDefinition("m", "toy", "x", "2", 2))
+
+
+def test_a_patch_moves_few_bytes(spark):
+    """Bytes shuffled an order where no join is small enough to be sent to all tasks, as over larger tables."""
+    import __spark_entry__ as entry
+
+    sc, sf_dir, off = spark.sparkContext._jsc.sc(), "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = moved()
+    spark.conf.set(off, "-1")
+    try:
+        r = entry.queries()["dataset_patch_counts"](spark, sf_dir).first()
+    finally:
+        spark.conf.unset(off)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert (r["inserted"], r["updated"], r["removed"]) == (0, orders // 10, 0)
+    assert 0 < moved() - before < 300 * orders
